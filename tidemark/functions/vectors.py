@@ -6,6 +6,9 @@ double before arithmetic (they are stored as float at rest).
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,3 +64,27 @@ def vec_max(list_col) -> Column:
 
 def zeros_like(v) -> Column:
     return F.transform(as_double(v), lambda x: F.lit(0.0))
+
+
+def dot_const(v, const: list[float]) -> Column:
+    """Dot product with a constant vector as plain arithmetic over the non-zero
+    coefficients (whole-stage codegen, no lambda per row)."""
+    e = as_double(v)
+    terms = [e[i] * F.lit(float(c)) for i, c in enumerate(const) if c != 0.0]
+    return reduce(lambda a, b: a + b, terms) if terms else F.lit(0.0)
+
+
+def norm_dim(v, dim: int) -> Column:
+    """Euclidean norm of a vector of known dimension, as plain arithmetic."""
+    e = as_double(v)
+    return F.sqrt(reduce(lambda a, b: a + b, [e[i] * e[i] for i in range(dim)]))
+
+
+def cosine_const(v, const: list[float], v_norm: Column | None = None) -> Column:
+    """Cosine with a constant vector (0 when either side is the zero vector);
+    pass a materialised ``v_norm`` when comparing against many constants."""
+    cn = math.sqrt(sum(float(c) * float(c) for c in const))
+    vn = v_norm if v_norm is not None else norm_dim(v, len(const))
+    if cn == 0.0:
+        return F.lit(0.0)
+    return F.coalesce(F.try_divide(dot_const(v, const), vn * F.lit(cn)), F.lit(0.0))

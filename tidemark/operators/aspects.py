@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.fixed import DEFAULT_LEXICON, SIMILARITY_THRESHOLD
 from tidemark.functions.models import hashed_encoder
 from tidemark.functions.text import fill_text, is_blank
-from tidemark.functions.vectors import cosine
+from tidemark.functions.vectors import cosine_const, norm_dim
 
 MAX_ASPECT_VECTORS = 10_000
 
@@ -36,8 +36,8 @@ def term_match(text_lower: Column, term: str) -> Column:
     return text_lower.rlike(term.replace("*", ".*"))
 
 
-def keyword_flags(text: Column, lexicon: dict = DEFAULT_LEXICON) -> dict[str, Column]:
-    low = F.lower(fill_text(text))
+def keyword_flags(text: Column, lexicon: dict = DEFAULT_LEXICON, lowered: bool = False) -> dict[str, Column]:
+    low = text if lowered else F.lower(fill_text(text))
     out = {}
     for aspect, terms in lexicon.items():
         cond = F.lit(False)
@@ -47,9 +47,9 @@ def keyword_flags(text: Column, lexicon: dict = DEFAULT_LEXICON) -> dict[str, Co
     return out
 
 
-def matched_terms(text: Column, lexicon: dict = DEFAULT_LEXICON) -> Column:
+def matched_terms(text: Column, lexicon: dict = DEFAULT_LEXICON, lowered: bool = False) -> Column:
     """map<aspect, array<term>> listing which terms matched (aspects with none omitted)."""
-    low = F.lower(fill_text(text))
+    low = text if lowered else F.lower(fill_text(text))
     keys, vals = [], []
     for aspect, terms in lexicon.items():
         hits = F.array(*[F.when(term_match(low, t), F.lit(t)) for t in terms])
@@ -90,17 +90,23 @@ def _vec_lit(v: list[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in v])
 
 
-def semantic_scores(emb: Column, vectors: dict[str, list[float]]) -> dict[str, Column]:
-    return {a: cosine(emb, _vec_lit(v)) for a, v in vectors.items()}
+def semantic_scores(emb: Column, vectors: dict[str, list[float]],
+                    emb_norm: Column | None = None) -> dict[str, Column]:
+    return {a: cosine_const(emb, v, emb_norm) for a, v in vectors.items()}
 
 
 def extract_aspects(text: Column, lexicon: dict = DEFAULT_LEXICON, emb: Column | None = None,
                     vectors: dict[str, list[float]] | None = None, use_keyword: bool = True,
-                    use_semantic: bool = True, threshold: float = SIMILARITY_THRESHOLD) -> Column:
+                    use_semantic: bool = True, threshold: float = SIMILARITY_THRESHOLD,
+                    lowered: Column | None = None, emb_norm: Column | None = None) -> Column:
     """map<aspect, score>: 1.0 for a keyword hit, the cosine for a semantic hit
-    (>= threshold), the larger of the two when both; blank text → empty map."""
-    kw = keyword_flags(text, lexicon) if use_keyword else {}
-    sem = semantic_scores(emb, vectors) if (use_semantic and vectors and emb is not None) else {}
+    (>= threshold), the larger of the two when both; blank text → empty map.
+    ``lowered`` may carry a materialised lower-cased text column."""
+    if use_keyword:
+        kw = keyword_flags(lowered, lexicon, lowered=True) if lowered is not None else keyword_flags(text, lexicon)
+    else:
+        kw = {}
+    sem = semantic_scores(emb, vectors, emb_norm) if (use_semantic and vectors and emb is not None) else {}
     names = list(dict.fromkeys([*kw.keys(), *sem.keys()]))
     if not names:
         return F.create_map().cast("map<string,double>")
@@ -190,24 +196,55 @@ def lexicon_overlap(lex: DataFrame) -> DataFrame:
                     (F.col("shared") / F.least(F.col("sa.n"), F.col("sb.n"))).alias("overlap")))
 
 
-def expand_lexicon(vocab: DataFrame, lexicon: dict, vectors: dict[str, list[float]],
+def seed_vectors(spark: SparkSession, lexicon: dict = DEFAULT_LEXICON, encoder=None,
+                 dim: int = 64) -> DataFrame:
+    """(aspect, term, vector) for every usable seed ('*' removed, > 2 characters)."""
+    enc = encoder or (lambda c: hashed_encoder(c, dim))
+    return (lexicon_frame(spark, lexicon)
+            .withColumn("clean", F.trim(F.regexp_replace("term", r"\*", "")))
+            .filter(F.length("clean") > 2)
+            .select("aspect", "term", enc(F.col("clean")).cast("array<double>").alias("vector")))
+
+
+def expand_lexicon(vocab: DataFrame, lexicon: dict, seeds: dict[tuple[str, str], list[float]],
                    topn: int = 20, min_cos: float = 0.65, term_col: str = "term",
                    vec_col: str = "vector") -> DataFrame:
-    """Seeds plus, per aspect, the ``topn`` vocabulary terms whose cosine with
-    the aspect vector exceeds ``min_cos`` (ties broken by term).
-
-    Each vocabulary row is scored against the inlined aspect vectors (no join);
-    the per-aspect top-n uses ``row_number() <= topn``, which Spark limits per
-    partition before the shuffle."""
-    sims = F.array(*[F.struct(F.lit(a).alias("aspect"), cosine(F.col(vec_col), _vec_lit(v)).alias("cos"))
-                     for a, v in vectors.items()])
+    """Seeds plus, for every seed, the ``topn`` vocabulary terms whose cosine
+    with the seed vector exceeds ``min_cos`` (ties broken by term).
+
+    Each vocabulary row is scored against the inlined seed vectors (a bounded
+    parameter, no join); the per-seed top-n is ``row_number() <= topn``, which
+    Spark limits per partition before the shuffle.  Output: aspect, term,
+    origin ('seed' | 'expanded'), seed, cos, rank."""
+    dim = len(next(iter(seeds.values()))) if seeds else 0
+    vocab = vocab.withColumn("_vnorm", norm_dim(F.col(vec_col), dim))
+    sims = F.array(*[F.struct(F.lit(a).alias("aspect"), F.lit(t).alias("seed"),
+                              cosine_const(F.col(vec_col), v, F.col("_vnorm")).alias("cos"))
+                     for (a, t), v in seeds.items()])
     cand = (vocab.select(F.col(term_col).alias("term"),
                          F.explode(F.filter(sims, lambda s: s["cos"] > min_cos)).alias("_s"))
-            .select("term", "_s.aspect", "_s.cos"))
-    w = Window.partitionBy("aspect").orderBy(F.col("cos").desc(), F.col("term"))
+            .select("term", "_s.aspect", "_s.seed", "_s.cos"))
+    w = Window.partitionBy("aspect", "seed").orderBy(F.col("cos").desc(), F.col("term"))
     top = (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= topn)
-           .select("aspect", "term", F.lit("expanded").alias("origin"), "cos", "rank"))
-    seeds = lexicon_frame(vocab.sparkSession, lexicon).select(
-        "aspect", "term", F.lit("seed").alias("origin"), F.lit(None).cast("double").alias("cos"),
-        F.lit(None).cast("int").alias("rank"))
-    return seeds.unionByName(top.join(seeds.select("aspect", "term"), ["aspect", "term"], "left_anti"))
+           .select("aspect", "term", F.lit("expanded").alias("origin"), "seed", "cos", "rank"))
+    seed_rows = lexicon_frame(vocab.sparkSession, lexicon).select(
+        "aspect", "term", F.lit("seed").alias("origin"), F.col("term").alias("seed"),
+        F.lit(None).cast("double").alias("cos"), F.lit(None).cast("int").alias("rank"))
+    return seed_rows.unionByName(top.join(seed_rows.select("aspect", "term"), ["aspect", "term"], "left_anti"))
+
+
+def detect_aspects(df: DataFrame, text_col: str, lexicon: dict = DEFAULT_LEXICON,
+                   vectors: dict[str, list[float]] | None = None, emb_col: str | None = None,
+                   use_keyword: bool = True, use_semantic: bool = True,
+                   threshold: float = SIMILARITY_THRESHOLD, out: str = "aspect_scores") -> DataFrame:
+    """Append the aspect score map; the lower-cased text is materialised once
+    and shared by every keyword test."""
+    tmp = df.withColumn("_alow", F.lower(fill_text(F.col(text_col))))
+    norm = None
+    if emb_col and vectors and use_semantic:
+        dim = len(next(iter(vectors.values())))
+        tmp = tmp.withColumn("_anorm", norm_dim(F.col(emb_col), dim))
+        norm = F.col("_anorm")
+    m = extract_aspects(F.col(text_col), lexicon, F.col(emb_col) if emb_col else None, vectors,
+                        use_keyword, use_semantic, threshold, lowered=F.col("_alow"), emb_norm=norm)
+    return tmp.withColumn(out, m).drop("_alow", "_anorm")

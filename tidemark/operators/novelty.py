@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.fixed import NOVELTY_MIN_HISTORY, NOVELTY_WINDOW_DAYS
 from tidemark.functions.models import hashed_encoder
+from tidemark.functions.plan import materialize
 from tidemark.functions.text import fill_text, is_blank
 from tidemark.functions.vectors import cosine, vec_scale, vec_sum
 
@@ -25,7 +26,7 @@ def encode(df: DataFrame, text_col: str = "text", encoder=None, dim: int = 64,
            out: str = "embedding") -> DataFrame:
     """Append a text vector (default: hashed bag of words, ``dim`` buckets)."""
     enc = encoder or (lambda c: hashed_encoder(c, dim))
-    return df.withColumn(out, enc(fill_text(F.col(text_col))))
+    return materialize(df, **{out: enc(fill_text(F.col(text_col)))})
 
 
 def firm_day_embedding(df: DataFrame, keys=("ticker", "date"), emb_col: str = "embedding",
