@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from typing import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,8 +71,6 @@ def pandas_scorer(load_model: Callable[[], Callable[[list[str]], list[dict]]]):
     ``load_model()`` runs once per task; the returned callable receives a list of
     texts (one Arrow batch) and returns one dict of class scores per text.
     """
-    import pandas as pd
-
     @F.pandas_udf(CLASS_SCORES)
     def _score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = load_model()
@@ -85,8 +84,6 @@ def pandas_scorer(load_model: Callable[[], Callable[[list[str]], list[dict]]]):
 
 def pandas_encoder(load_model: Callable[[], Callable[[list[str]], list[list[float]]]]):
     """Turn an embedding-model factory into a Column -> array<float> encoder."""
-    import pandas as pd
-
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def _encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load_model()

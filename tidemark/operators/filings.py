@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,12 +78,14 @@ def filings_between(df: DataFrame, start: date, end: date, date_col: str = "date
     return df.filter(d.between(F.lit(start), F.lit(end)) & (F.weekday(d) < 5))
 
 
-def filter_tickers(df: DataFrame, ticker_cik: DataFrame, tickers: list[str] | None = None) -> DataFrame:
-    """Filings of CIKs that belong to ``tickers`` (an empty / missing list means
-    no filter).  The mapping is semi-joined; it is one row per listed firm."""
-    if not tickers:
+def filter_tickers(df: DataFrame, ticker_cik: DataFrame | None, tickers: list[str] | None = None) -> DataFrame:
+    """Filings of CIKs that belong to the firms of ``ticker_cik`` (optionally
+    narrowed to ``tickers``).  No mapping, or an explicitly empty list, means
+    no filter.  The mapping (one row per firm) is semi-joined."""
+    if ticker_cik is None or (tickers is not None and len(tickers) == 0):
         return df
-    keys = ticker_cik.filter(F.col("ticker").isin(tickers)).select(zero_fill(F.col("cik"), 10).alias("cik"))
+    m = ticker_cik.filter(F.col("ticker").isin(tickers)) if tickers else ticker_cik
+    keys = m.select(zero_fill(F.col("cik"), 10).alias("cik")).distinct()
     return df.join(keys, "cik", "left_semi")
 
 
@@ -153,7 +156,6 @@ def clean_html(df: DataFrame, col: str = "html", out: str = "text", exact: bool
     Arrow-batched pandas UDF (one parser per value, vectorised transfer)."""
     if not exact:
         return df.withColumn(out, html_to_text(F.col(col)))
-    import pandas as pd
 
     @F.pandas_udf(T.StringType())
     def _clean(s: pd.Series) -> pd.Series:
@@ -215,7 +217,10 @@ def detect_language(text: Column) -> Column:
     """Language whose stop words make up most tokens (ties: en, fr, de, es);
     'unknown' when no stop word occurs."""
     toks = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NON_WORD), lambda t: F.length(t) > 0)
-    counts = {lang: F.size(F.filter(toks, lambda t, ws=ws: t.isin(ws))) for lang, ws in STOP_WORDS.items()}
+    def member_of(words):
+        return lambda t: t.isin(words)
+
+    counts = {lang: F.size(F.filter(toks, member_of(ws))) for lang, ws in STOP_WORDS.items()}
     best = F.greatest(*counts.values())
     expr = F.when(best == 0, F.lit("unknown"))
     for lang, c in counts.items():
@@ -248,17 +253,21 @@ _EDGE_L, _EDGE_R = r"(?:^|[^0-9A-Za-z_])(", r")(?:[^0-9A-Za-z_]|$)"
 
 def pii_alerts(df: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
     """One row per (document, kind, matched string) for personal-data patterns."""
-    arrs = [F.transform(F.regexp_extract_all(F.col(text_col), F.lit(_EDGE_L + p + _EDGE_R), 1),
-                        lambda m, k=k: F.struct(F.lit(k).alias("kind"), m.alias("match")))
+    def tagged(kind):
+        return lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("match"))
+
+    arrs = [F.transform(F.regexp_extract_all(F.col(text_col), F.lit(_EDGE_L + p + _EDGE_R), 1), tagged(k))
             for k, p in PII_PATTERNS.items()]
     return (df.select(*id_cols, F.explode(F.concat(*arrs)).alias("_a"))
             .select(*id_cols, "_a.kind", "_a.match"))
 
 
-def word_ngrams(text: Column, n: int = 3) -> Column:
-    toks = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NON_WORD), lambda t: F.length(t) > 0)
-    return F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1),
-                       lambda i: F.array_join(F.slice(toks, i, n), " "))
+def word_ngrams(toks: Column, n: int = 3) -> Column:
+    """Consecutive word n-grams of a token array (empty when too short)."""
+    return F.when(F.size(toks) >= n,
+                  F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1),
+                              lambda i: F.array_join(F.slice(toks, i, n), " "))
+                  ).otherwise(F.array().cast("array<string>"))
 
 
 def trigram_tfidf(df: DataFrame, id_col: str, text_col: str = "text", n: int = 3) -> DataFrame:
@@ -266,9 +275,9 @@ def trigram_tfidf(df: DataFrame, id_col: str, text_col: str = "text", n: int = 3
 
     Grams are exploded and counted with partial aggregation; N is a scalar
     subquery (no cross join)."""
-    grams = df.select(F.col(id_col),
-                      F.explode(F.when(F.size(word_ngrams(F.col(text_col), n)) > 0,
-                                       word_ngrams(F.col(text_col), n))).alias("gram"))
+    toks = df.select(F.col(id_col), F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), NON_WORD),
+                                             lambda t: F.length(t) > 0).alias("_toks"))
+    grams = toks.select(F.col(id_col), F.explode(word_ngrams(F.col("_toks"), n)).alias("gram"))
     tf = grams.groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("tf"))
     dfreq = tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     n_docs = df.select(F.count(F.lit(1))).scalar()

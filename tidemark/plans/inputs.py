@@ -130,9 +130,9 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.element_at(parts, 1).alias("title"),
         F.try_element_at(parts, F.lit(2)).alias("summary"),
-        F.concat(F.lit("https://news.example/"), F.col("source"), F.lit("/"), F.col("_h")).alias("link"),
+        F.concat(F.lit("https://news.example/"), F.col("_h")).alias("link"),
         F.col("source"),
-        (F.lit(NEWS_EPOCH).cast("timestamp") + F.make_dt_interval(mins=F.col("doc_id").cast("int")))
+        (F.lit(NEWS_EPOCH).cast("timestamp") + F.make_dt_interval(mins=(F.col("doc_id") * 10).cast("int")))
         .alias("published_date"),
         (F.lit(NEWS_EPOCH).cast("timestamp") + F.make_dt_interval(secs=F.col("doc_id").cast("int")))
         .alias("collected_at"),

@@ -101,9 +101,9 @@ NEWS = f"""news AS (
               THEN substr(f.text, 1, strpos(f.text, chr(10) || chr(10)) - 1) ELSE f.text END AS title,
          CASE WHEN strpos(f.text, chr(10) || chr(10)) > 0
               THEN substr(f.text, strpos(f.text, chr(10) || chr(10)) + 2) ELSE NULL END AS summary,
-         'https://news.example/' || f.source || '/' || md5(d.text) AS link,
+         'https://news.example/' || md5(d.text) AS link,
          f.source,
-         TIMESTAMP '{I.NEWS_EPOCH}' + to_minutes(CAST(f.doc_id AS BIGINT)) AS published_date,
+         TIMESTAMP '{I.NEWS_EPOCH}' + to_minutes(CAST(f.doc_id * 10 AS BIGINT)) AS published_date,
          TIMESTAMP '{I.NEWS_EPOCH}' + to_seconds(CAST(f.doc_id AS BIGINT)) AS collected_at,
          f.doc_id AS feed_pos
   FROM filings f JOIN documents d USING (doc_id))"""
