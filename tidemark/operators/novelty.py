@@ -30,14 +30,15 @@ def encode(df: DataFrame, text_col: str = "text", encoder=None, dim: int = 64,
 
 
 def firm_day_embedding(df: DataFrame, keys=("ticker", "date"), emb_col: str = "embedding",
-                       text_col: str = "text", how: str = "mean", dim: int = 64) -> DataFrame:
+                       text_col: str = "text", how: str = "mean", dim: int = 64,
+                       extra_aggs: list[Column] | None = None) -> DataFrame:
     """One vector per firm-day over its non-blank texts: element-wise mean,
     text-length-weighted mean or max.  Also text_length (all texts' characters),
     num_paragraphs (all texts) and n_valid (non-blank texts).  A firm-day whose
     texts are all blank gets ``embedding`` NULL.  NULL keys are dropped.
 
     Written as ``dim`` ordinary aggregates so the group-by runs as a partial
-    (map-side) hash aggregate."""
+    (map-side) hash aggregate.  ``extra_aggs`` ride along in the same pass."""
     keys = list(keys)
     ok = ~is_blank(F.col(text_col))
     e = F.col(emb_col).cast("array<double>")
@@ -55,7 +56,8 @@ def firm_day_embedding(df: DataFrame, keys=("ticker", "date"), emb_col: str = "e
            .agg(F.array(*comps).alias("_v"),
                 F.sum(F.length(fill_text(F.col(text_col)))).cast("int").alias("text_length"),
                 F.count(F.lit(1)).cast("int").alias("num_paragraphs"),
-                F.count(F.when(ok, 1)).cast("int").alias("n_valid")))
+                F.count(F.when(ok, 1)).cast("int").alias("n_valid"),
+                *(extra_aggs or [])))
     return (out.withColumn(emb_col, F.when(F.col("n_valid") > 0, F.col("_v"))).drop("_v"))
 
 
