@@ -1,6 +1,6 @@
 """The registered query catalogue (importing the modules registers them)."""
 
-from tidemark.plans import q_aspects, q_features, q_filings, q_novelty, q_prices, q_sentiment  # noqa: F401
+from tidemark.plans import q_aspects, q_features, q_filings, q_models, q_novelty, q_prices, q_sentiment  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
