@@ -236,10 +236,11 @@ def expand_lexicon(vocab: DataFrame, lexicon: dict, seeds: dict[tuple[str, str],
 def detect_aspects(df: DataFrame, text_col: str, lexicon: dict = DEFAULT_LEXICON,
                    vectors: dict[str, list[float]] | None = None, emb_col: str | None = None,
                    use_keyword: bool = True, use_semantic: bool = True,
-                   threshold: float = SIMILARITY_THRESHOLD, out: str = "aspect_scores") -> DataFrame:
+                   threshold: float = SIMILARITY_THRESHOLD, out: str = "aspect_scores",
+                   lowered_col: str | None = None) -> DataFrame:
     """Append the aspect score map; the lower-cased text is materialised once
-    and shared by every keyword test."""
-    tmp = df.withColumn("_alow", F.lower(fill_text(F.col(text_col))))
+    and shared by every keyword test (or taken from ``lowered_col``)."""
+    tmp = df.withColumn("_alow", F.col(lowered_col) if lowered_col else F.lower(fill_text(F.col(text_col))))
     norm = None
     if emb_col and vectors and use_semantic:
         dim = len(next(iter(vectors.values())))

@@ -65,9 +65,11 @@ def paragraph_scores(texts: DataFrame, vectors: dict, lexicon: dict = DEFAULT_LE
                      dim: int = 64, id_cols=("doc_id", "ticker", "date")) -> DataFrame:
     """Paragraph rows with vector, aspect map and sentiment columns."""
     paras = FI.split_paragraphs(texts, "text", id_cols=id_cols)
-    enc = NV.encode(paras, "paragraph", dim=dim)
-    asp = A.detect_aspects(enc, "paragraph", lexicon, vectors, "embedding")
-    return S.score_sentiment(asp, "paragraph")
+    # paragraphs are whitespace-collapsed already, so one lower-cased copy
+    # serves both the aspect keywords and the sentiment keywords
+    enc = NV.encode(paras, "paragraph", dim=dim).withColumn("_low", F.lower("paragraph"))
+    asp = A.detect_aspects(enc, "paragraph", lexicon, vectors, "embedding", lowered_col="_low")
+    return S.score_sentiment(asp, "paragraph", normalized_col="_low").drop("_low")
 
 
 def feature_panel(texts: DataFrame, bars: DataFrame, vectors: dict,

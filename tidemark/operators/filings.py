@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.fixed import FILING_URL_BASE, SECTION_ITEMS
-from tidemark.functions.text import NON_WORD, WS_CLASS, collapse_ws, zero_fill
+from tidemark.functions.text import NON_WORD, WS_CLASS, collapse_ws, is_blank, zero_fill
 
 # ---------------------------------------------------------------- index files
 
@@ -196,8 +196,11 @@ def split_paragraphs(df: DataFrame, text_col: str = "text", id_cols: tuple = ())
     paragraph is collapsed afterwards.  Empty paragraphs are dropped."""
     parts = F.split(F.coalesce(F.col(text_col), F.lit("")), r"\n[ \t\r\f\x{0B}]*\n" + r"\s*")
     out = df.select(*id_cols, F.posexplode(parts).alias("paragraph_id", "_p"))
-    return (out.withColumn("paragraph", collapse_ws(F.col("_p"))).drop("_p")
-            .filter(F.length("paragraph") > 0))
+    # blank test on the raw piece (cheap, stops at the first visible character)
+    # instead of filtering on the collapsed text, which would run the
+    # whitespace regex twice once the filter is pushed below the projection
+    return (out.filter(~is_blank(F.col("_p")))
+            .select(*id_cols, "paragraph_id", collapse_ws(F.col("_p")).alias("paragraph")))
 
 
 def min_length(df: DataFrame, col: str = "paragraph", n: int = 50) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.fixed import NEUTRAL_SCORES
 from tidemark.functions.models import keyword_scorer, normalize_for_keywords
+from tidemark.functions.plan import materialize
 from tidemark.functions.text import collapse_ws, fill_text, is_blank
 
 CLASSES = ("positive", "negative", "neutral")
@@ -27,19 +28,11 @@ def argmax_label(pos: Column, neg: Column, neu: Column) -> Column:
             .otherwise(F.lit("neutral")))
 
 
-def sentiment_columns(text: Column, scorer: Callable[[Column], Column] | None = None,
-                      normalized: Column | None = None) -> dict:
-    """Name -> Column for label, positive, negative, neutral, compound.
-
-    Blank text (NULL or whitespace only) gets the fixed neutral row.
-    ``normalized`` may carry a materialised ``normalize_for_keywords(text)``
-    column for the default scorer."""
-    t = fill_text(text)
-    if scorer is None:
-        scores = keyword_scorer(normalized, normalized=True) if normalized is not None else keyword_scorer(t)
-    else:
-        scores = scorer(t)
-    blank = is_blank(t)
+def sentiment_columns(text: Column, scores: Column) -> dict:
+    """Name -> Column for label, positive, negative, neutral, compound from a
+    materialised ``scores`` struct(positive, negative, neutral).  Blank text
+    (NULL or whitespace only) gets the fixed neutral row."""
+    blank = is_blank(fill_text(text))
     vals = {k: F.when(blank, F.lit(NEUTRAL_SCORES[k])).otherwise(scores[k].cast("double"))
             for k in CLASSES}
     return {
@@ -49,26 +42,39 @@ def sentiment_columns(text: Column, scorer: Callable[[Column], Column] | None =
     }
 
 
+def _scores(df: DataFrame, text: Column, scorer, normalized: Column | None) -> DataFrame:
+    """Append the class-score struct as ``_sc`` behind a Generate barrier: its
+    fields are read several times and the keyword-count lambdas inside are not
+    shared by subexpression elimination, so inlining would repeat them."""
+    if scorer is None:
+        if normalized is None:
+            # a column of its own: expressions captured by the keyword lambdas
+            # would otherwise be re-evaluated once per keyword
+            df = df.withColumn("_snorm", normalize_for_keywords(fill_text(text)))
+            normalized = F.col("_snorm")
+        return materialize(df, _sc=keyword_scorer(normalized, normalized=True)).drop("_snorm")
+    return materialize(df, _sc=scorer(fill_text(text)))
+
+
 def score_sentiment(df: DataFrame, text_col: str = "text", scorer=None,
-                    prefix: str = "sentiment_", dedupe: bool = False) -> DataFrame:
+                    prefix: str = "sentiment_", dedupe: bool = False,
+                    normalized_col: str | None = None) -> DataFrame:
     """Append ``{prefix}label/positive/negative/neutral/compound``.
 
-    ``dedupe=True`` is meant for expensive model scorers: distinct texts (keyed
-    by md5) are scored once and joined back; AQE's skew join splits a hot text.
-    """
+    ``normalized_col`` may name an existing lower-cased, whitespace-collapsed
+    copy of the text (shared with other keyword operators).  ``dedupe=True`` is
+    meant for expensive model scorers: distinct texts (keyed by md5) are scored
+    once and joined back; AQE's skew join splits a hot text."""
     if not dedupe:
-        if scorer is None:
-            tmp = df.withColumn("_snorm", normalize_for_keywords(fill_text(F.col(text_col))))
-            cols = sentiment_columns(F.col(text_col), None, F.col("_snorm"))
-            return tmp.withColumns({prefix + k: v for k, v in cols.items()}).drop("_snorm")
-        cols = sentiment_columns(F.col(text_col), scorer)
-        return df.withColumns({prefix + k: v for k, v in cols.items()})
+        norm = F.col(normalized_col) if normalized_col else None
+        tmp = _scores(df, F.col(text_col), scorer, norm)
+        cols = sentiment_columns(F.col(text_col), F.col("_sc"))
+        return tmp.withColumns({prefix + k: v for k, v in cols.items()}).drop("_sc")
     key = "_text_md5"
     keyed = df.withColumn(key, F.md5(fill_text(F.col(text_col))))
-    distinct = (keyed.groupBy(key).agg(F.any_value(fill_text(F.col(text_col))).alias("_t")))
-    if scorer is None:
-        distinct = distinct.withColumn("_snorm", normalize_for_keywords(F.col("_t")))
-    cols = sentiment_columns(F.col("_t"), scorer, F.col("_snorm") if scorer is None else None)
+    distinct = keyed.groupBy(key).agg(F.any_value(fill_text(F.col(text_col))).alias("_t"))
+    distinct = _scores(distinct, F.col("_t"), scorer, None)
+    cols = sentiment_columns(F.col("_t"), F.col("_sc"))
     scored = distinct.select(key, *[v.alias(prefix + k) for k, v in cols.items()])
     return keyed.join(scored, key, "left").drop(key)
 

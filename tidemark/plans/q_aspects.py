@@ -90,8 +90,16 @@ def _paragraphs(spark, d):
     return FI.split_paragraphs(I.filings(spark, d), "text", id_cols=("doc_id", "ticker", "date"))
 
 
+_VEC_CACHE: dict = {}
+
+
 def _vectors(spark):
-    return A.collect_vectors(A.aspect_vectors(spark, DEFAULT_LEXICON, dim=DIM))
+    """Aspect vectors of the default lexicon (a parameter-sized table, computed
+    once per session)."""
+    key = id(spark)
+    if key not in _VEC_CACHE:
+        _VEC_CACHE[key] = A.collect_vectors(A.aspect_vectors(spark, DEFAULT_LEXICON, dim=DIM))
+    return _VEC_CACHE[key]
 
 
 def _scored(spark, d, use_keyword=True, use_semantic=True):
