@@ -11,7 +11,10 @@ from tidemark.operators import models as M
 from tidemark.operators import prices as PR
 from tidemark.plans import inputs as I
 from tidemark.plans import sqlparts as P
-from tidemark.plans.q_features import PANEL_SQL, feature_panel
+from tidemark.functions.fixed import DEFAULT_LEXICON
+from tidemark.operators import features as FE
+from tidemark.plans.q_aspects import _vectors
+from tidemark.plans.q_features import PANEL_SQL
 from tidemark.plans.q_prices import CLEAN_SQL
 from tidemark.plans.registry import query, rounded
 
@@ -133,7 +136,7 @@ FROM panel, m""")
 def predict_panel(spark, d):
     """Next-day return predicted from firm-day sentiment (model fitted on the
     panel), with the model's R² as confidence."""
-    panel = feature_panel(spark, d)
+    panel = FE.feature_panel(I.filings(spark, d), I.bars_long(spark, d), _vectors(spark), DEFAULT_LEXICON, 64)
     model = M.fit_ols(panel, ["sentiment_score"], "forward_return")
     return rounded(M.predict(panel, model, ["date", "ticker", "sentiment_score", "novelty_score"]))
 
