@@ -77,7 +77,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    return filings_from(table(spark, sf_dir, "documents"))
+
+
+def filings_from(d: DataFrame) -> DataFrame:
+    """The filings projection of a documents frame (batch or streaming)."""
     bank = F.array(*[F.lit(s) for s in FILING_BANK])
     step = F.floor(F.col("doc_id") / DOCS_PER_TICKER_DAY).cast("int") * DAYS_PER_STEP
     return d.select(
@@ -112,7 +116,11 @@ def bars_short(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def firm_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
+    return firm_vectors_from(table(spark, sf_dir, "embeddings"))
+
+
+def firm_vectors_from(e: DataFrame) -> DataFrame:
+    """The firm-vector projection of an embeddings frame (batch or streaming)."""
     return e.select(
         "vec_id",
         F.concat(F.lit("F"), F.col("label").cast("string")).alias("ticker"),
