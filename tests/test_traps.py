@@ -260,3 +260,33 @@ def test_score_sentiment_blank_and_dedupe_agree(spark):
     assert a == b
     assert a[2] == ("neutral", 0.0) and a[3] == ("neutral", 0.0)
     assert a[1][0] == "positive"
+
+
+def test_granger_matches_brute_force_lstsq(spark):
+    from tidemark.operators import models as M
+    rng = np.random.default_rng(5)
+    rows = []
+    for t in ("A", "B"):
+        x = rng.normal(size=50)
+        y = np.zeros(50)
+        for i in range(1, 50):
+            y[i] = 0.3 * y[i - 1] + 0.5 * x[i - 1] + rng.normal()
+        rows += [(t, i, float(y[i]), float(x[i])) for i in range(50)]
+    df = spark.createDataFrame(rows, "ticker string, date int, y double, x double")
+    got = {(r.ticker, r.lag): r for r in M.granger_causality(df, "y", "x", ["ticker"], "date", 3).collect()}
+    for t in ("A", "B"):
+        ys = np.array([r[2] for r in rows if r[0] == t])
+        xs = np.array([r[3] for r in rows if r[0] == t])
+        for p in (1, 2, 3):
+            yv = ys[p:]
+            lags = [np.ones(len(yv))] + [ys[p - i:-i] for i in range(1, p + 1)]
+            res = np.column_stack(lags)
+            unres = np.column_stack(lags + [xs[p - i:-i] for i in range(1, p + 1)])
+            sr = np.sum((yv - res @ np.linalg.lstsq(res, yv, rcond=None)[0]) ** 2)
+            su = np.sum((yv - unres @ np.linalg.lstsq(unres, yv, rcond=None)[0]) ** 2)
+            g = got[(t, p)]
+            assert g.n == len(yv)
+            assert np.isclose(g.ssr_restricted, sr) and np.isclose(g.ssr_unrestricted, su)
+            assert np.isclose(g.f_stat, (sr - su) / p / (su / (len(yv) - 2 * p - 1)))
+        assert sum(got[(t, p)].selected for p in (1, 2, 3)) == 1
+    assert np.isclose(M.f_sf(4.102821, 2, 10), 0.05, atol=1e-6)

@@ -259,6 +259,154 @@ def newey_west(series: DataFrame, value: str, date_col: str = "date", lags: int
                     F.try_divide(F.col("mean"), F.sqrt(lrv / F.col("n"))).alias("nw_t"))
 
 
+def _betacf(a: float, b: float, x: float) -> float:
+    """Continued fraction of the incomplete beta function (modified Lentz)."""
+    tiny, eps = 1e-300, 3e-16
+    qab, qap, qam = a + b, a + 1.0, a - 1.0
+    c, d = 1.0, 1.0 - qab * x / qap
+    d = 1.0 / (d if abs(d) > tiny else tiny)
+    h = d
+    for m in range(1, 500):
+        m2 = 2 * m
+        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
+        d = 1.0 + aa * d
+        d = 1.0 / (d if abs(d) > tiny else tiny)
+        c = 1.0 + aa / c
+        c = c if abs(c) > tiny else tiny
+        h *= d * c
+        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
+        d = 1.0 + aa * d
+        d = 1.0 / (d if abs(d) > tiny else tiny)
+        c = 1.0 + aa / c
+        c = c if abs(c) > tiny else tiny
+        delta = d * c
+        h *= delta
+        if abs(delta - 1.0) < eps:
+            break
+    return h
+
+
+def betainc_reg(a: float, b: float, x: float) -> float:
+    """Regularized incomplete beta I_x(a, b)."""
+    if x <= 0.0:
+        return 0.0
+    if x >= 1.0:
+        return 1.0
+    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+    if x < (a + 1.0) / (a + b + 2.0):
+        return math.exp(lbt) * _betacf(a, b, x) / a
+    return 1.0 - math.exp(lbt) * _betacf(b, a, 1.0 - x) / b
+
+
+def f_sf(f: float, d1: float, d2: float) -> float:
+    """P(F > f) for an F(d1, d2) variable."""
+    if f is None or not math.isfinite(f) or d1 <= 0 or d2 <= 0:
+        return float("nan")
+    if f <= 0:
+        return 1.0
+    return betainc_reg(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
+
+
+GRANGER_OUT = ("{g} lag int, n long, ssr_restricted double, ssr_unrestricted double, f_stat double, "
+               "df_num int, df_den int, p_value double, bic double, selected boolean")
+
+
+def granger_moments(df: DataFrame, y: str, x: str, group_cols: list[str], order_col: str,
+                    max_lag: int) -> DataFrame:
+    """Cross-product moments of the Granger regressions of every lag 1..max_lag.
+
+    Lags are the previous rows of each group's series (window partitioned by
+    the group).  Each row is replicated once per lag it can serve (its first p
+    lags of y and x present), the design is ``[1, y_1..y_L, x_1..x_L]`` with
+    the lags beyond p zeroed, and one partial aggregate per (group, lag) sums
+    the upper triangle of z z' and z y — so a group of any size leaves at most
+    ``max_lag`` rows of (2L+1)(2L+2)/2 + 2L + 3 numbers."""
+    w = Window.partitionBy(*group_cols).orderBy(order_col)
+    base = df.select(*group_cols, order_col, F.col(y).cast("double").alias("_y"),
+                     F.col(x).cast("double").alias("_x"))
+    base = base.select(*group_cols, "_y",
+                       *[F.lag("_y", i).over(w).alias(f"_y{i}") for i in range(1, max_lag + 1)],
+                       *[F.lag("_x", i).over(w).alias(f"_x{i}") for i in range(1, max_lag + 1)])
+    base = base.filter(F.col("_y").isNotNull() & F.col("_y1").isNotNull() & F.col("_x1").isNotNull())
+    # how many consecutive complete lags this row has
+    depth = F.lit(1)
+    for i in range(2, max_lag + 1):
+        ok = F.lit(True)
+        for j in range(2, i + 1):
+            ok = ok & F.col(f"_y{j}").isNotNull() & F.col(f"_x{j}").isNotNull()
+        depth = depth + F.when(ok, 1).otherwise(0)
+    rows = base.withColumn("lag", F.explode(F.sequence(F.lit(1), depth)))
+    z = [F.lit(1.0)]
+    z += [F.when(F.col("lag") >= i, F.col(f"_y{i}")).otherwise(0.0) for i in range(1, max_lag + 1)]
+    z += [F.when(F.col("lag") >= i, F.col(f"_x{i}")).otherwise(0.0) for i in range(1, max_lag + 1)]
+    k = len(z)
+    aggs = [F.count(F.lit(1)).alias("n"), F.sum(F.col("_y") * F.col("_y")).alias("yy")]
+    aggs += [F.sum(z[i] * z[j]).alias(f"zz_{i}_{j}") for i in range(k) for j in range(i, k)]
+    aggs += [F.sum(z[i] * F.col("_y")).alias(f"zy_{i}") for i in range(k)]
+    return rows.groupBy(*group_cols, "lag").agg(*aggs)
+
+
+def _granger_solve(pdf, group_cols: list[str], max_lag: int):
+    """Per group: restricted / unrestricted SSR, F test and BIC of every lag."""
+    import pandas as pd
+
+    k = 2 * max_lag + 1
+    out = []
+    for r in pdf.sort_values("lag").to_dict("records"):
+        p, n = int(r["lag"]), int(r["n"])
+        zz = np.zeros((k, k))
+        for i in range(k):
+            for j in range(i, k):
+                zz[i, j] = zz[j, i] = r[f"zz_{i}_{j}"]
+        zy = np.array([r[f"zy_{i}"] for i in range(k)])
+        unres = [0] + list(range(1, p + 1)) + list(range(max_lag + 1, max_lag + p + 1))
+        res = [0] + list(range(1, p + 1))
+
+        def ssr(idx):
+            a, b = zz[np.ix_(idx, idx)], zy[idx]
+            beta = np.linalg.lstsq(a, b, rcond=None)[0]
+            return max(float(r["yy"] - beta @ b), 0.0)
+
+        df_den = n - (2 * p + 1)
+        ssr_r, ssr_u = ssr(res), ssr(unres)
+        if df_den > 0 and ssr_u > 0:
+            f = (ssr_r - ssr_u) / p / (ssr_u / df_den)
+            pv = f_sf(f, p, df_den)
+            bic = n * math.log(ssr_u / n) + (2 * p + 1) * math.log(n)
+        else:
+            f = pv = bic = float("nan")
+        out.append({**{g: r[g] for g in group_cols}, "lag": p, "n": n, "ssr_restricted": ssr_r,
+                    "ssr_unrestricted": ssr_u, "f_stat": f, "df_num": p, "df_den": df_den,
+                    "p_value": pv, "bic": bic})
+    res = pd.DataFrame(out)
+    if len(res):
+        finite = res["bic"].replace([np.inf, -np.inf], np.nan)
+        best = finite.idxmin() if finite.notna().any() else None
+        res["selected"] = [i == best for i in res.index]
+    return res
+
+
+def granger_causality(df: DataFrame, y: str, x: str, group_cols: list[str] | None = None,
+                      order_col: str = "date", max_lag: int = 5) -> DataFrame:
+    """Does the past of ``x`` help predict ``y`` beyond the past of ``y``?
+
+    For each group (e.g. firm; none = one series) and lag p = 1..max_lag: OLS of
+    y on [1, y lags] (restricted) and [1, y lags, x lags] (unrestricted) over
+    the rows with p complete lags, the SSR-based F test ((SSR_r − SSR_u)/p) /
+    (SSR_u/(n − 2p − 1)) with its p-value, and the unrestricted model's BIC
+    n·ln(SSR_u/n) + (2p+1)·ln n; ``selected`` marks the lag with the lowest BIC.
+    Rows are reduced to moments by one Spark aggregate; only those ≤ max_lag
+    moment rows per group reach the Python solve (``applyInPandas``)."""
+    groups = list(group_cols or [])
+    src = df if groups else df.withColumn("_all", F.lit(1))
+    keys = groups or ["_all"]
+    mom = granger_moments(src, y, x, keys, order_col, max_lag)
+    key_types = {f.name: f.dataType.simpleString() for f in src.schema.fields if f.name in keys}
+    schema = GRANGER_OUT.format(g="".join(f"{g} {key_types[g]}, " for g in keys))
+    out = mom.groupBy(*keys).applyInPandas(lambda pdf: _granger_solve(pdf, keys, max_lag), schema)
+    return out.drop("_all") if not groups else out
+
+
 def poisson_thresholds(cap: int = 6) -> list[float]:
     """P(X <= k) for Poisson(1), k = 0..cap-1: a uniform u maps to the number of
     thresholds it reaches (weights capped at ``cap``)."""

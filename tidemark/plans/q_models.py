@@ -141,6 +141,32 @@ def predict_panel(spark, d):
     return rounded(M.predict(panel, model, ["date", "ticker", "sentiment_score", "novelty_score"]))
 
 
+GRANGER_LAGS = 5
+
+
+def _panel(spark, d):
+    return FE.feature_panel(I.filings(spark, d), I.bars_long(spark, d), _vectors(spark), DEFAULT_LEXICON, 64)
+
+
+@query("granger_panel")
+def granger_panel(spark, d):
+    """Per firm: does lagged firm-day sentiment help predict the next trading
+    day's return (lags 1..5, F test, BIC-selected lag)?  Rows-only check; the
+    unit test compares with a brute-force least-squares fit."""
+    g = M.granger_causality(_panel(spark, d), "forward_return", "sentiment_score", ["ticker"], "date",
+                            GRANGER_LAGS)
+    return rounded(g)
+
+
+@query("granger_index")
+def granger_index(spark, d):
+    """The same test on the equal-weighted series: mean next-day return and
+    mean sentiment over firms per date."""
+    idx = (_panel(spark, d).groupBy("date")
+           .agg(F.avg("forward_return").alias("forward_return"), F.avg("sentiment_score").alias("sentiment_score")))
+    return rounded(M.granger_causality(idx, "forward_return", "sentiment_score", None, "date", GRANGER_LAGS))
+
+
 DECILE_SQL = f"""{BF_SQL},
 dec AS (SELECT date, ticker, return_20d, return_1d_fwd,
                ntile(10) OVER (PARTITION BY date ORDER BY return_20d, ticker) AS decile
