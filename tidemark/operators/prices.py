@@ -129,16 +129,34 @@ def missing_tickers(requested: DataFrame, found: DataFrame, key: str = "ticker")
 
 
 def bars_from_trades(trades: DataFrame, ticker: Column, ts: Column, price: Column,
-                     qty: Column | None, seq: Column) -> DataFrame:
-    """Aggregate trades into daily OHLCV bars.
+                     qty: Column | None, seq: Column, keys: list[str] | None = None) -> DataFrame:
+    """Aggregate trades into daily OHLCV bars (per extra ``keys`` too, e.g. a
+    pull version).
 
     open/close are the prices of the first/last trade by (ts, seq); the
     aggregate is partial so hot tickers are combined before the shuffle."""
+    extra = list(keys or [])
     order = F.struct(ts.alias("t"), seq.alias("s"))
-    return (trades.select(ticker.alias("ticker"), F.to_date(ts).alias("date"),
+    return (trades.select(*extra, ticker.alias("ticker"), F.to_date(ts).alias("date"),
                           price.alias("px"), order.alias("ord"),
                           (F.lit(1) if qty is None else qty).alias("q"))
-            .groupBy("ticker", "date")
+            .groupBy(*extra, "ticker", "date")
             .agg(F.min_by("px", "ord").alias("open"), F.max("px").alias("high"),
                  F.min("px").alias("low"), F.max_by("px", "ord").alias("close"),
                  (F.count(F.lit(1)) if qty is None else F.sum("q")).cast("bigint").alias("volume")))
+
+
+def prices_as_of(pulls: DataFrame, as_of, version_col: str = "as_of",
+                 keys: tuple[str, ...] = ("ticker", "date")) -> DataFrame:
+    """State of dated price pulls as of a moment: per (ticker, date) the bar
+    from the latest pull taken at or before ``as_of``.
+
+    The version predicate is a plain filter, so a table partitioned by the
+    pull column is pruned at the scan; the pick is a partial ``max_by``
+    aggregate (versions of a hot ticker are reduced before the shuffle)."""
+    payload = [c for c in pulls.columns if c not in keys and c != version_col]
+    best = (pulls.filter(F.col(version_col) <= F.lit(as_of))
+            .groupBy(*keys)
+            .agg(F.max_by(F.struct(F.col(version_col), *[F.col(c) for c in payload]),
+                          F.col(version_col)).alias("_r")))
+    return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in [version_col] + payload])

@@ -155,3 +155,44 @@ def prices_requested_vs_found(spark, d):
     sup = I.table(spark, d, "supplier").select(
         F.concat(F.lit("SRC"), (F.col("s_suppkey") - 1).cast("string")).alias("ticker"))
     return PR.requested_vs_found(sup, I.bars_long(spark, d))
+
+
+PULL_DAYS_BACK = 5
+PULL_HOUR = 12
+AS_OF = "2024-01-20 12:00:00"
+
+
+def price_pulls(spark, d):
+    """Dated copies of price pulls derived from events: every day A at noon a
+    pull re-fetches the bars of the last 5 days [A-4, A] as known at that
+    moment (day A's bar is partial).  Each event lands in at most 5 pulls, so
+    the table grows linearly with the events."""
+    ev = I.table(spark, d, "events")
+    k = F.explode(F.sequence(F.lit(0), F.lit(PULL_DAYS_BACK - 1)))
+    ev = ev.select("*", k.alias("_k"))
+    ev = ev.withColumn("as_of", F.date_add(F.to_date("ts"), F.col("_k")).cast("timestamp")
+                       + F.make_dt_interval(hours=F.lit(PULL_HOUR)))
+    ev = ev.filter(F.col("ts") <= F.col("as_of"))
+    return PR.bars_from_trades(ev, ticker=F.concat(F.lit("U"), F.col("user_id").cast("string")),
+                               ts=F.col("ts"), price=F.col("value"), qty=None, seq=F.col("event_id"),
+                               keys=["as_of"])
+
+
+@query("prices_as_of", f"""WITH ev AS (
+  SELECT e.*, CAST(CAST(ts AS DATE) + CAST(r.k AS INTEGER) AS TIMESTAMP) + INTERVAL {PULL_HOUR} HOUR AS as_of
+  FROM events e, range(0, {PULL_DAYS_BACK}) r(k)),
+pulls AS (
+  SELECT as_of, 'U' || CAST(user_id AS VARCHAR) AS ticker, CAST(ts AS DATE) AS date,
+         arg_min(value, {{'t': ts, 's': event_id}}) AS open, max(value) AS high, min(value) AS low,
+         arg_max(value, {{'t': ts, 's': event_id}}) AS close, CAST(count(*) AS BIGINT) AS volume
+  FROM ev WHERE ts <= as_of GROUP BY 1, 2, 3),
+pick AS (SELECT *, row_number() OVER (PARTITION BY ticker, date ORDER BY as_of DESC) AS rn
+         FROM pulls WHERE as_of <= TIMESTAMP '{AS_OF}')
+SELECT ticker, date, as_of, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low,
+       round(close, 6) AS close, volume
+FROM pick WHERE rn = 1""")
+def prices_as_of(spark, d):
+    """Bars as they were known at noon on 2024-01-20: per (ticker, date) the
+    latest pull at or before that moment."""
+    st = PR.prices_as_of(price_pulls(spark, d), datetime.fromisoformat(AS_OF))
+    return rounded(st.select("ticker", "date", "as_of", "open", "high", "low", "close", "volume"))

@@ -73,7 +73,10 @@ def read_feed_items(spark: SparkSession, path: str, source: str, collected_at) -
     Missing fields become '', the publication date falls back to the
     collection time, the feed position is kept for first-seen ordering."""
     raw = (spark.read.format("xml").option("rowTag", "item").schema(FEED_ITEM_SCHEMA).load(path))
-    ts = F.coalesce(F.try_to_timestamp(F.col("pubDate"), F.lit("EEE, dd MMM yyyy HH:mm:ss Z")),
+    # RFC 822 dates; the weekday name is dropped first (Spark 3+ parsers
+    # reject day-of-week letters in a parse pattern)
+    rfc = F.regexp_replace(F.trim(F.col("pubDate")), r"^[A-Za-z]{3},\s*", "")
+    ts = F.coalesce(F.try_to_timestamp(rfc, F.lit("d MMM yyyy HH:mm:ss Z")),
                     F.try_to_timestamp(F.col("pubDate")), F.lit(collected_at))
     return raw.select(
         F.coalesce("title", F.lit("")).alias("title"),
@@ -95,10 +98,12 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
             .select("aspect", F.explode("terms").alias("term")))
 
 
-def write_lexicon(lexicon: dict, path: str) -> None:
-    """The lexicon is a small parameter; it is written as one JSON file."""
-    with open(path, "w", encoding="utf-8") as fh:
-        json.dump(lexicon, fh, indent=2)
+def write_lexicon(spark: SparkSession, lexicon: dict, path: str) -> None:
+    """The lexicon is a small parameter: one JSON document written through
+    Spark (so it lands on the cluster's shared storage), read back whole by
+    ``read_lexicon``."""
+    doc = spark.createDataFrame([(json.dumps(lexicon, indent=2),)], "value string")
+    doc.coalesce(1).write.mode("overwrite").text(path)
 
 
 def file_fingerprints(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:

@@ -68,3 +68,10 @@ def refresh_prices(existing: DataFrame, recent: DataFrame, derive) -> DataFrame:
     merged = upsert_latest(existing.select(*base).withColumn("_v", F.lit(0)),
                            recent.select(*base).withColumn("_v", F.lit(1)), ["ticker", "date"], ["_v"])
     return derive(merged.drop("_v"))
+
+
+def append_price_pull(df: DataFrame, path: str, as_of, version_col: str = "as_of") -> None:
+    """Keep a dated copy of a price pull: append it under its own
+    ``version_col`` partition (read back with ``operators.prices.prices_as_of``)."""
+    (df.withColumn(version_col, F.lit(as_of)).write.mode("append").option("compression", "snappy")
+     .partitionBy(version_col).parquet(path))
