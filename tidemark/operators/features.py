@@ -42,6 +42,28 @@ def align_next_trade_day(events: DataFrame, bars: DataFrame, key: str = "ticker"
     return events.join(m.withColumnRenamed("event_date", date_col), [key, date_col], "left")
 
 
+def attach_next_bar(panel: DataFrame, bars: DataFrame, fields: list[str], key: str = "ticker",
+                    date_col: str = "date") -> DataFrame:
+    """For every panel row, the first bar strictly after its date: adds
+    ``trade_date`` and the bar's ``fields``.
+
+    One pass, no join back: panel rows and bar rows (carrying their fields in
+    one struct) are unioned and a per-key window running newest-first takes
+    the minimum bar struct over strictly later days.  Both sides are
+    one-row-per-key-day, so a window partition is bounded by the calendar
+    however skewed the raw rows are, and each input is read once.  The panel
+    must be such an aggregate; raw event rows go through
+    ``align_next_trade_day``, which reduces them to distinct keys first."""
+    bar = F.struct(F.col(date_col).alias("trade_date"), *[F.col(c) for c in fields])
+    b = bars.select(key, date_col, bar.alias("_bar"), F.lit(False).alias("_ev"))
+    p = panel.withColumn("_ev", F.lit(True))
+    u = p.unionByName(b, allowMissingColumns=True)
+    w = (Window.partitionBy(key).orderBy(F.datediff(F.col(date_col), F.lit(EPOCH)).desc())
+         .rangeBetween(Window.unboundedPreceding, -1))
+    out = u.withColumn("_next", F.min("_bar").over(w)).filter(F.col("_ev"))
+    return out.select(*panel.columns, "_next.trade_date", *[F.col(f"_next.{c}").alias(c) for c in fields])
+
+
 def equal_weighted_index(bars: DataFrame, ret_col: str = "return_1d", date_col: str = "date") -> DataFrame:
     """Mean return over firms per date (partial aggregate per date)."""
     return bars.groupBy(date_col).agg(F.avg(ret_col).alias("market_return"),
@@ -50,15 +72,18 @@ def equal_weighted_index(bars: DataFrame, ret_col: str = "return_1d", date_col:
 
 def bar_factors(bars: DataFrame) -> DataFrame:
     """Per bar: its return (the alignment target) and factors known at the
-    previous close (momentum 20, volume ratio 20), plus the market return."""
+    previous close (momentum 20, volume ratio 20), plus the market return.
+
+    The market return is a per-date window rather than an aggregate joined
+    back, so the bars (and the trades under them) are computed once; a date
+    partition holds one row per firm."""
     b = PR.calculate_returns(bars, "close", [1, 20])
     b = PR.technical_indicators(b)
     w = Window.partitionBy("ticker").orderBy("date")
     b = b.select("ticker", "date", "return_1d",
                  F.lag("return_20d").over(w).alias("momentum_20d"),
                  F.lag("volume_ratio").over(w).alias("volume_ratio"))
-    mkt = equal_weighted_index(b)
-    return b.join(mkt.select("date", "market_return"), "date", "left")
+    return b.withColumn("market_return", F.avg("return_1d").over(Window.partitionBy("date")))
 
 
 def paragraph_scores(texts: DataFrame, vectors: dict, lexicon: dict = DEFAULT_LEXICON,
@@ -98,7 +123,5 @@ def feature_panel(texts: DataFrame, bars: DataFrame, vectors: dict,
         cols[f"{a}_sentiment"] = sent
         cols[f"{a}_shock"] = sent * F.col("novelty_score")
     panel = nov.withColumns(cols).select("ticker", "date", "sentiment_score", "novelty_score", *cols)
-    panel = align_next_trade_day(panel, bars.select("ticker", "date"))
-    fac = bar_factors(bars).withColumnRenamed("date", "trade_date").withColumnRenamed(
-        "return_1d", "forward_return")
-    return panel.join(fac, ["ticker", "trade_date"], "left")
+    fac = bar_factors(bars).withColumnRenamed("return_1d", "forward_return")
+    return attach_next_bar(panel, fac, ["forward_return", "momentum_20d", "volume_ratio", "market_return"])
