@@ -16,6 +16,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.plan import materialize
+
 from tidemark.functions.fixed import DEFAULT_LEXICON, SIMILARITY_THRESHOLD
 from tidemark.functions.models import hashed_encoder
 from tidemark.functions.text import fill_text, is_blank
@@ -248,4 +250,7 @@ def detect_aspects(df: DataFrame, text_col: str, lexicon: dict = DEFAULT_LEXICON
         norm = F.col("_anorm")
     m = extract_aspects(F.col(text_col), lexicon, F.col(emb_col) if emb_col else None, vectors,
                         use_keyword, use_semantic, threshold, lowered=F.col("_alow"), emb_norm=norm)
-    return tmp.withColumn(out, m).drop("_alow", "_anorm")
+    # behind a Generate barrier: a consumer's explode makes the optimizer infer
+    # ``size(map) > 0`` and push it below the projections, which would compute
+    # the whole map (every keyword test) twice per row
+    return materialize(tmp, **{out: m}).drop("_alow", "_anorm")

@@ -103,7 +103,10 @@ def _vectors(spark):
 
 
 def _scored(spark, d, use_keyword=True, use_semantic=True):
-    enc = NV.encode(_paragraphs(spark, d), "paragraph", dim=DIM)
+    paras = _paragraphs(spark, d)
+    if not use_semantic:   # keyword matching needs no vectors
+        return A.detect_aspects(paras, "paragraph", DEFAULT_LEXICON, None, None, use_keyword, False)
+    enc = NV.encode(paras, "paragraph", dim=DIM)
     return A.detect_aspects(enc, "paragraph", DEFAULT_LEXICON, _vectors(spark), "embedding",
                             use_keyword, use_semantic)
 
