@@ -190,17 +190,23 @@ def performance_metrics(series: DataFrame, ret: str, date_col: str = "date",
 
 
 def long_short_deciles(df: DataFrame, score: str, ret: str, date_col: str = "date",
-                       key: str = "ticker", buckets: int = 10) -> DataFrame:
+                       key: str = "ticker", buckets: int = 10, market: bool = False) -> DataFrame:
     """Per date: mean return of the top score decile minus the bottom one.
     Deciles are cross-sectional (window per date, bounded by the firms of a
-    day)."""
-    d = df.filter(F.col(score).isNotNull() & F.col(ret).isNotNull())
+    day).  ``market`` adds the equal-weighted return of all the date's firms
+    (score or not) from the same per-date partitioning."""
+    d = df.filter(F.col(ret).isNotNull())
+    aggs = []
+    if market:
+        d = d.withColumn("_mkt", F.avg(ret).over(Window.partitionBy(date_col)))
+        aggs = [F.max("_mkt").alias("market")]
+    d = d.filter(F.col(score).isNotNull())
     w = Window.partitionBy(date_col).orderBy(F.col(score), F.col(key))
     d = d.withColumn("decile", F.ntile(buckets).over(w))
     return (d.groupBy(date_col)
             .agg(F.avg(F.when(F.col("decile") == buckets, F.col(ret))).alias("top"),
                  F.avg(F.when(F.col("decile") == 1, F.col(ret))).alias("bottom"),
-                 F.count(F.lit(1)).alias("n_firms"))
+                 F.count(F.lit(1)).alias("n_firms"), *aggs)
             .withColumn("spread", F.col("top") - F.col("bottom")))
 
 
@@ -211,9 +217,12 @@ def walk_forward(df: DataFrame, date_col: str = "date", train_frac: float = 0.7,
     before it; with ``horizon`` > 0 the last ``horizon`` dates before the test
     block are purged from training (label overlap).  Output (fold, date, role)."""
     dates = df.select(date_col).distinct()
-    # ranking distinct dates: one row per date, bounded by the calendar
-    dates = dates.withColumn("_r", F.dense_rank().over(Window.orderBy(date_col)))
-    dates = dates.withColumn("_n", df.select(F.count_distinct(date_col)).scalar())
+    # ranking distinct dates: one row per date, bounded by the calendar; the
+    # date count comes from the same window (no second pass over ``df``)
+    w = Window.orderBy(date_col)
+    dates = dates.select(date_col, F.dense_rank().over(w).alias("_r"),
+                         F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding,
+                                                              Window.unboundedFollowing)).alias("_n"))
     cut = F.floor(F.col("_n") * train_frac)
     step = F.ceil((F.col("_n") - cut) / n_folds)
     folds = dates.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
@@ -244,7 +253,8 @@ def newey_west(series: DataFrame, value: str, date_col: str = "date", lags: int
     """HAC (Bartlett) standard error of the mean of a time series."""
     w = Window.orderBy(date_col)  # one row per date: bounded by the calendar
     s = series.filter(F.col(value).isNotNull())
-    mean = s.select(F.avg(value)).scalar()
+    # the series mean from the same ordered window (no second pass)
+    mean = F.avg(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     s = s.withColumn("_d", F.col(value) - mean)
     for l in range(1, lags + 1):
         s = s.withColumn(f"_l{l}", F.col("_d") * F.lag("_d", l).over(w))
@@ -432,10 +442,12 @@ def cluster_bootstrap(df: DataFrame, cluster: str, value: str, replicates: int =
     for t in poisson_thresholds():
         wgt = wgt + F.when(u >= F.lit(t), 1).otherwise(0)
     rep = rep.withColumn("_w", wgt)
+    # every replicate sees every cluster once, so the unweighted sums give the
+    # point estimate in the same pass
     stat = (rep.groupBy("replicate")
-            .agg(F.try_divide(F.sum(F.col("_w") * F.col("_s")), F.sum(F.col("_w") * F.col("_n"))).alias("stat")))
-    point = per.select(F.sum("_s") / F.sum("_n")).scalar()
-    boot = stat.agg(point.alias("mean"), F.stddev_samp("stat").alias("boot_std"),
+            .agg(F.try_divide(F.sum(F.col("_w") * F.col("_s")), F.sum(F.col("_w") * F.col("_n"))).alias("stat"),
+                 (F.sum("_s") / F.sum("_n")).alias("_point")))
+    boot = stat.agg(F.max("_point").alias("mean"), F.stddev_samp("stat").alias("boot_std"),
                     F.percentile("stat", [0.025, 0.975]).alias("_ci"))
     return boot.select("mean", "boot_std", F.col("_ci")[0].alias("ci_low"), F.col("_ci")[1].alias("ci_high"))
 

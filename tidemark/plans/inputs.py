@@ -80,8 +80,9 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filings_from(table(spark, sf_dir, "documents"))
 
 
-def filings_from(d: DataFrame) -> DataFrame:
-    """The filings projection of a documents frame (batch or streaming)."""
+def filings_from(d: DataFrame, *extra) -> DataFrame:
+    """The filings projection of a documents frame (batch or streaming), plus
+    any ``extra`` columns computed from the raw document row."""
     bank = F.array(*[F.lit(s) for s in FILING_BANK])
     step = F.floor(F.col("doc_id") / DOCS_PER_TICKER_DAY).cast("int") * DAYS_PER_STEP
     return d.select(
@@ -90,7 +91,7 @@ def filings_from(d: DataFrame) -> DataFrame:
         F.date_add(F.lit(FILING_EPOCH).cast("date"), step).alias("date"),
         F.concat(F.element_at(bank, (F.col("doc_id") % len(FILING_BANK) + 1).cast("int")),
                  F.lit("\n\n"), F.col("text")).alias("text"),
-        "lang", "source",
+        "lang", "source", *extra,
     )
 
 
@@ -131,10 +132,10 @@ def firm_vectors_from(e: DataFrame) -> DataFrame:
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = filings(spark, sf_dir)
-    d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("_h"))
+    # one scan: the link hashes the raw document text, carried alongside
+    f = filings_from(table(spark, sf_dir, "documents"), F.md5("text").alias("_h"))
     parts = F.split(F.col("text"), "\n\n", 2)
-    return f.join(d, "doc_id").select(
+    return f.select(
         "doc_id",
         F.element_at(parts, 1).alias("title"),
         F.try_element_at(parts, F.lit(2)).alias("summary"),

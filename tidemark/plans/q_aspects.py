@@ -214,13 +214,18 @@ def aspect_shock(spark, d):
     """Per firm-day and detected aspect: aspect sentiment (mean compound of the
     paragraphs carrying it) x firm-day novelty."""
     sc = S.score_sentiment(_scored(spark, d), "paragraph")
-    asent = A.aspect_sentiment(sc, ["ticker", "date"], "aspect_scores", "sentiment_compound")
-    fd = NV.firm_day_embedding(sc, text_col="paragraph", dim=DIM)
-    nov = NV.novelty(fd).select("ticker", "date", "novelty_score")
-    sent_map = asent.groupBy("ticker", "date").agg(
-        F.map_from_entries(F.collect_list(F.struct("aspect", "aspect_sentiment"))).alias("sent"),
-        F.collect_list("aspect").alias("aspects"))
-    shocks = A.aspect_shock(sent_map.join(nov, ["ticker", "date"]), "aspects", "sent", "novelty_score")
+    # per-aspect sentiment rides in the firm-day vector aggregate (one pass
+    # over the paragraphs; the aspect list is the lexicon's, parameter-sized)
+    comp = F.col("sentiment_compound")
+    extra = [F.avg(F.when(F.map_contains_key("aspect_scores", F.lit(a)), comp)).alias(f"_s_{i}")
+             for i, a in enumerate(ASPECTS)]
+    nov = NV.novelty(NV.firm_day_embedding(sc, text_col="paragraph", dim=DIM, extra_aggs=extra))
+    sent = F.map_filter(F.map_from_arrays(F.array(*[F.lit(a) for a in ASPECTS]),
+                                          F.array(*[F.col(f"_s_{i}") for i in range(len(ASPECTS))])),
+                        lambda k, v: v.isNotNull())
+    sent_map = nov.select("ticker", "date", "novelty_score", sent.alias("sent"))
+    shocks = A.aspect_shock(sent_map.withColumn("aspects", F.map_keys("sent")), "aspects", "sent",
+                            "novelty_score")
     return rounded(shocks.select("ticker", "date", "shock_name",
                                  F.col("sent")[F.col("aspect")].alias("aspect_sentiment"),
                                  "novelty_score", "shock"))

@@ -200,11 +200,9 @@ FROM dd""")
 def performance(spark, d):
     """Long-short decile spread series: Sharpe, annual return, max drawdown,
     hit rate, information ratio against the equal-weighted market."""
-    bf = bar_features(spark, d)
-    spread = M.long_short_deciles(bf, "return_20d", TARGET).select("date", (F.col("spread")).alias("r"))
-    mkt = bf.groupBy("date").agg(F.avg(TARGET).alias("bench"))
-    series = spread.filter(F.col("r").isNotNull()).join(mkt, "date", "left")
-    return rounded(M.performance_metrics(series, "r", "date", "bench"))
+    ls = M.long_short_deciles(bar_features(spark, d), "return_20d", TARGET, market=True)
+    series = ls.select("date", F.col("spread").alias("r"), F.col("market").alias("bench"))
+    return rounded(M.performance_metrics(series.filter(F.col("r").isNotNull()), "r", "date", "bench"))
 
 
 def _folds_sql(horizon: int) -> str:
