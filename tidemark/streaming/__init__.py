@@ -2,7 +2,7 @@
 tumbling-day sentiment, idempotent upsert)."""
 
 from tidemark.streaming.twins import (stream_daily_sentiment, stream_dedupe_news, stream_filings,
-                                      stream_novelty, stream_upsert, upsert_batch_writer)
+                                      stream_novelty, stream_novelty_final, stream_upsert, upsert_batch_writer)
 
-__all__ = ["stream_daily_sentiment", "stream_dedupe_news", "stream_filings", "stream_novelty",
+__all__ = ["stream_daily_sentiment", "stream_dedupe_news", "stream_filings", "stream_novelty", "stream_novelty_final",
            "stream_upsert", "upsert_batch_writer"]
