@@ -273,14 +273,32 @@ def word_ngrams(toks: Column, n: int = 3) -> Column:
                   ).otherwise(F.array().cast("array<string>"))
 
 
+def explode_ngrams(df: DataFrame, id_col: str, toks_col: str, n: int = 3, out: str = "gram") -> DataFrame:
+    """One row per consecutive word n-gram of a token array.
+
+    The array is zipped with its n-1 shifted copies (built-ins, no lambdas),
+    turned into rows by ``inline_outer`` (the outer form keeps the optimizer
+    from inferring a pre-filter that would build the zipped array twice), the
+    padded tail is dropped and the words are joined inside whole-stage
+    codegen."""
+    toks = F.col(toks_col)
+    names = [f"_w{k}" for k in range(n)]
+    shifted = [toks] + [F.slice(toks, k + 1, F.greatest(F.size(toks) - k, F.lit(0))) for k in range(1, n)]
+    rows = df.select(F.col(id_col), F.inline_outer(F.arrays_zip(*[c.alias(nm) for c, nm in zip(shifted, names)])))
+    return (rows.filter(F.col(names[-1]).isNotNull())
+            .select(F.col(id_col), F.concat_ws(" ", *[F.col(nm) for nm in names]).alias(out)))
+
+
 def trigram_tfidf(df: DataFrame, id_col: str, text_col: str = "text", n: int = 3) -> DataFrame:
     """Word n-gram TF-IDF: tf = count in the document, idf = ln((1+N)/(1+df)) + 1.
 
     Grams are exploded and counted with partial aggregation; N is a scalar
     subquery (no cross join)."""
-    toks = df.select(F.col(id_col), F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), NON_WORD),
-                                             lambda t: F.length(t) > 0).alias("_toks"))
-    grams = toks.select(F.col(id_col), F.explode(word_ngrams(F.col("_toks"), n)).alias("gram"))
+    # splitting on a '+' class leaves empty tokens only at the ends, so a
+    # built-in array_remove does what a per-token lambda filter would
+    toks = df.select(F.col(id_col), F.array_remove(
+        F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), NON_WORD), "").alias("_toks"))
+    grams = explode_ngrams(toks, id_col, "_toks", n)
     tf = grams.groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("tf"))
     dfreq = tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     n_docs = df.select(F.count(F.lit(1))).scalar()
