@@ -128,6 +128,24 @@ def missing_tickers(requested: DataFrame, found: DataFrame, key: str = "ticker")
     return requested.select(key).distinct().join(found.select(key), key, "left_anti")
 
 
+SEQ_SPAN = 10**12   # trade sequence numbers must lie in [0, SEQ_SPAN)
+
+
+def trade_order_key(ts: Column, seq: Column) -> Column:
+    """(timestamp, sequence) packed into one exact ``decimal(38,0)``:
+    micros * SEQ_SPAN + seq orders exactly like the pair.  A struct key would
+    give ``min_by``/``max_by`` a non-fixed-width buffer and force a sort-based
+    aggregate (sorting every trade before the map-side combine); the decimal
+    keeps them in the hash aggregate.  A sequence outside the span fails the
+    task rather than mis-ordering silently."""
+    dec = "decimal(38,0)"
+    micros = F.unix_micros(ts.cast("timestamp")).cast(dec)
+    ok = (seq >= 0) & (seq < F.lit(SEQ_SPAN))
+    key = (micros * F.lit(SEQ_SPAN).cast(dec) + seq.cast(dec)).cast(dec)
+    return F.when(ok | seq.isNull(), key).otherwise(
+        F.raise_error(F.lit(f"trade sequence outside [0, {SEQ_SPAN})")).cast(dec))
+
+
 def bars_from_trades(trades: DataFrame, ticker: Column, ts: Column, price: Column,
                      qty: Column | None, seq: Column, keys: list[str] | None = None) -> DataFrame:
     """Aggregate trades into daily OHLCV bars (per extra ``keys`` too, e.g. a
@@ -136,7 +154,7 @@ def bars_from_trades(trades: DataFrame, ticker: Column, ts: Column, price: Colum
     open/close are the prices of the first/last trade by (ts, seq); the
     aggregate is partial so hot tickers are combined before the shuffle."""
     extra = list(keys or [])
-    order = F.struct(ts.alias("t"), seq.alias("s"))
+    order = trade_order_key(ts, seq)
     return (trades.select(*extra, ticker.alias("ticker"), F.to_date(ts).alias("date"),
                           price.alias("px"), order.alias("ord"),
                           (F.lit(1) if qty is None else qty).alias("q"))
