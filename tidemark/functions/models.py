@@ -42,8 +42,16 @@ def keyword_scorer(text: Column, positive: list[str] | None = None,
     materialised with ``withColumn``: expressions captured by the keyword
     lambdas are otherwise re-evaluated per keyword."""
     low = text if normalized else normalize_for_keywords(text)
-    p = count_contained(low, POSITIVE_KEYWORDS if positive is None else positive).cast("double")
-    n = count_contained(low, NEGATIVE_KEYWORDS if negative is None else negative).cast("double")
+    p = count_contained(low, POSITIVE_KEYWORDS if positive is None else positive)
+    n = count_contained(low, NEGATIVE_KEYWORDS if negative is None else negative)
+    return class_scores(p, n)
+
+
+def class_scores(p: Column, n: Column) -> Column:
+    """struct(positive, negative, neutral) = (p, n, 1) / (p + n + 1) from the
+    positive and negative keyword counts (pass materialised columns: each is
+    referenced four times)."""
+    p, n = p.cast("double"), n.cast("double")
     d = p + n + F.lit(1.0)
     return F.struct((p / d).alias("positive"), (n / d).alias("negative"),
                     (F.lit(1.0) / d).alias("neutral"))
@@ -58,11 +66,15 @@ def token_buckets(text: Column, dim: int = 64) -> Column:
 def hashed_encoder(text: Column, dim: int = 64) -> Column:
     """array<double> of word counts per hash bucket (zero vector for no words).
 
-    One pass over the tokens (each hashed once) folding into a dim-sized
-    count array."""
-    zero = F.array_repeat(F.lit(0.0), dim)
-    return F.aggregate(token_buckets(text, dim), zero,
-                       lambda acc, b: F.transform(acc, lambda v, i: F.when(i == b, v + 1.0).otherwise(v)))
+    Each token is hashed once; the bucket array is bound once (a one-element
+    ``transform``) and bucket i's count is size(b) - size(array_remove(b, i)),
+    i.e. native array passes instead of a per-token lambda over all ``dim``
+    slots (tokens x dim interpreted steps)."""
+    def counts(b: Column) -> Column:
+        n = F.size(b)
+        return F.array(*[(n - F.size(F.array_remove(b, F.lit(i).cast("bigint")))).cast("double")
+                         for i in range(dim)])
+    return F.element_at(F.transform(F.array(token_buckets(text, dim)), counts), 1)
 
 
 def pandas_scorer(load_model: Callable[[], Callable[[list[str]], list[dict]]]):

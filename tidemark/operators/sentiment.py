@@ -13,10 +13,10 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.fixed import NEUTRAL_SCORES
-from tidemark.functions.models import keyword_scorer, normalize_for_keywords
+from tidemark.functions.fixed import NEGATIVE_KEYWORDS, NEUTRAL_SCORES, POSITIVE_KEYWORDS
+from tidemark.functions.models import class_scores, normalize_for_keywords
 from tidemark.functions.plan import materialize
-from tidemark.functions.text import collapse_ws, fill_text, is_blank
+from tidemark.functions.text import collapse_ws, count_contained, fill_text, is_blank
 
 CLASSES = ("positive", "negative", "neutral")
 
@@ -28,11 +28,13 @@ def argmax_label(pos: Column, neg: Column, neu: Column) -> Column:
             .otherwise(F.lit("neutral")))
 
 
-def sentiment_columns(text: Column, scores: Column) -> dict:
+def sentiment_columns(text: Column, scores: Column, blank: Column | None = None) -> dict:
     """Name -> Column for label, positive, negative, neutral, compound from a
     materialised ``scores`` struct(positive, negative, neutral).  Blank text
-    (NULL or whitespace only) gets the fixed neutral row."""
-    blank = is_blank(fill_text(text))
+    (NULL or whitespace only) gets the fixed neutral row; pass a materialised
+    ``blank`` flag to avoid re-running the whitespace test per reference."""
+    if blank is None:
+        blank = is_blank(fill_text(text))
     vals = {k: F.when(blank, F.lit(NEUTRAL_SCORES[k])).otherwise(scores[k].cast("double"))
             for k in CLASSES}
     return {
@@ -43,17 +45,23 @@ def sentiment_columns(text: Column, scores: Column) -> dict:
 
 
 def _scores(df: DataFrame, text: Column, scorer, normalized: Column | None) -> DataFrame:
-    """Append the class-score struct as ``_sc`` behind a Generate barrier: its
-    fields are read several times and the keyword-count lambdas inside are not
-    shared by subexpression elimination, so inlining would repeat them."""
-    if scorer is None:
-        if normalized is None:
-            # a column of its own: expressions captured by the keyword lambdas
-            # would otherwise be re-evaluated once per keyword
-            df = df.withColumn("_snorm", normalize_for_keywords(fill_text(text)))
-            normalized = F.col("_snorm")
-        return materialize(df, _sc=keyword_scorer(normalized, normalized=True)).drop("_snorm")
-    return materialize(df, _sc=scorer(fill_text(text)))
+    """Append the class-score struct ``_sc`` and the blank flag ``_blank``.
+
+    Everything expensive — the keyword counts (default scorer) or the model
+    call, and the whitespace test — is computed once behind a Generate
+    barrier; the class scores and the label only do arithmetic on those
+    columns.  (Inlined, each count would be re-evaluated in every class score
+    and the blank regex in every branch of the label.)"""
+    blank = is_blank(fill_text(text))
+    if scorer is not None:
+        return materialize(df, _sc=scorer(fill_text(text)), _blank=blank)
+    if normalized is None:
+        df = df.withColumn("_snorm", normalize_for_keywords(fill_text(text)))
+        normalized = F.col("_snorm")
+    counts = F.struct(count_contained(normalized, POSITIVE_KEYWORDS).alias("p"),
+                      count_contained(normalized, NEGATIVE_KEYWORDS).alias("n"))
+    df = materialize(df, _pn=counts, _blank=blank).drop("_snorm")
+    return df.withColumn("_sc", class_scores(F.col("_pn.p"), F.col("_pn.n"))).drop("_pn")
 
 
 def score_sentiment(df: DataFrame, text_col: str = "text", scorer=None,
@@ -68,13 +76,13 @@ def score_sentiment(df: DataFrame, text_col: str = "text", scorer=None,
     if not dedupe:
         norm = F.col(normalized_col) if normalized_col else None
         tmp = _scores(df, F.col(text_col), scorer, norm)
-        cols = sentiment_columns(F.col(text_col), F.col("_sc"))
-        return tmp.withColumns({prefix + k: v for k, v in cols.items()}).drop("_sc")
+        cols = sentiment_columns(F.col(text_col), F.col("_sc"), F.col("_blank"))
+        return tmp.withColumns({prefix + k: v for k, v in cols.items()}).drop("_sc", "_blank")
     key = "_text_md5"
     keyed = df.withColumn(key, F.md5(fill_text(F.col(text_col))))
     distinct = keyed.groupBy(key).agg(F.any_value(fill_text(F.col(text_col))).alias("_t"))
     distinct = _scores(distinct, F.col("_t"), scorer, None)
-    cols = sentiment_columns(F.col("_t"), F.col("_sc"))
+    cols = sentiment_columns(F.col("_t"), F.col("_sc"), F.col("_blank"))
     scored = distinct.select(key, *[v.alias(prefix + k) for k, v in cols.items()])
     return keyed.join(scored, key, "left").drop(key)
 
