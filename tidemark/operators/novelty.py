@@ -40,12 +40,16 @@ def firm_day_embedding(df: DataFrame, keys=("ticker", "date"), emb_col: str = "e
     Written as ``dim`` ordinary aggregates so the group-by runs as a partial
     (map-side) hash aggregate.  ``extra_aggs`` ride along in the same pass."""
     keys = list(keys)
-    ok = ~is_blank(F.col(text_col))
+    # the blank test and the length run once per row in a projection below the
+    # aggregate, not once per vector component inside it
+    df = df.withColumns({"_ok": ~is_blank(F.col(text_col)),
+                         "_len": F.length(fill_text(F.col(text_col)))})
+    ok = F.col("_ok")
     e = F.col(emb_col).cast("array<double>")
     if how == "mean":
         comps = [F.avg(F.when(ok, e[i])) for i in range(dim)]
     elif how == "weighted_mean":
-        w = F.when(ok, F.length(F.col(text_col)).cast("double"))
+        w = F.when(ok, F.col("_len").cast("double"))
         comps = [F.try_divide(F.sum(w * e[i]), F.sum(w)) for i in range(dim)]
     elif how == "max_pool":
         comps = [F.max(F.when(ok, e[i])) for i in range(dim)]
@@ -54,7 +58,7 @@ def firm_day_embedding(df: DataFrame, keys=("ticker", "date"), emb_col: str = "e
     out = (df.filter(F.greatest(*[F.col(k).isNull() for k in keys]) == F.lit(False))
            .groupBy(*keys)
            .agg(F.array(*comps).alias("_v"),
-                F.sum(F.length(fill_text(F.col(text_col)))).cast("int").alias("text_length"),
+                F.sum("_len").cast("int").alias("text_length"),
                 F.count(F.lit(1)).cast("int").alias("num_paragraphs"),
                 F.count(F.when(ok, 1)).cast("int").alias("n_valid"),
                 *(extra_aggs or [])))
