@@ -2,7 +2,8 @@
 
 env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
      BENCH_QUERIES (optional comma list to override the headline set).
-Each query is fully executed with the no-op sink (nothing is collected).
+Each query is fully executed with the no-op sink (nothing is collected),
+twice: cold (first run) and warm; the headline value is the warm total.
 """
 
 from __future__ import annotations
@@ -47,14 +48,20 @@ def main() -> None:
     # warm the JVM and the parquet reader once (not timed)
     QUERIES["prices_latest"](spark, sf_dir).write.format("noop").mode("overwrite").save()
 
-    times = {}
+    # each query runs twice: the first (cold) run includes one-time costs —
+    # Janino compilation of the generated code and JIT warm-up — that a
+    # cluster pays once per stage, not per byte; the second (warm) run is the
+    # steady-state cost.  Both are reported; the headline value is warm.
+    cold, warm = {}, {}
     for name in names:
-        t0 = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t0, 3)
+        for bucket in (cold, warm):
+            t0 = time.perf_counter()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            bucket[name] = round(time.perf_counter() - t0, 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": sf, "cpus": cpus}))
+    print(json.dumps({"metric": "headline_queries_total_warm", "value": round(sum(warm.values()), 3),
+                      "unit": "sec", "queries": warm, "sf": sf, "cpus": cpus,
+                      "cold_total": round(sum(cold.values()), 3), "cold_queries": cold}))
     spark.stop()
 
 
