@@ -89,3 +89,9 @@ def test_watermark_novelty_ignores_arrival_split(spark, tmp_dir):
     want = {(r.ticker, r.date): (round(r.novelty_score, 9), r.window_size)
             for r in NV.novelty(fd).collect() if r.date <= last}
     assert got == want and len(got) > 0
+
+
+def test_per_source_cap_limits_before_the_shuffle(spark):
+    """A hot feed ships at most n rows per map task (partial group limit)."""
+    plan = _plan(E.queries()["news_dedupe_capped"](spark, SMOKE))
+    assert "WindowGroupLimit" in plan and "Partial" in plan

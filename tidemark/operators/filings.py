@@ -36,20 +36,40 @@ def parse_index_lines(lines: DataFrame, file_col: str = "file_path", pos_col: st
     body = (lines.join(hdr, file_col)
             .filter((F.col(pos_col) > F.col("hpos") + 1) & (F.trim(F.col(line_col)) != "")))
 
+    return body.select(F.col(file_col), *_index_columns(F.col(line_col), offs))
+
+
+def _index_columns(line: Column, offs: dict) -> list[Column]:
+    """Cut a fixed-width index line at the header's column offsets."""
     def cut(start: Column, end: Column | None) -> Column:
-        line = F.col(line_col)
         if end is None:
             return F.trim(line.substr(start, F.length(line) + 1))
         return F.trim(line.substr(start, end - start))
 
-    cols = [
+    return [
         cut(offs["Company Name"], offs["Form Type"]).alias("company_name"),
         cut(offs["Form Type"], offs["CIK"]).alias("form_type"),
         cut(offs["CIK"], offs["Date Filed"]).alias("cik_raw"),
         cut(offs["Date Filed"], offs["File Name"]).alias("date_raw"),
         cut(offs["File Name"], None).alias("filename"),
     ]
-    return body.select(F.col(file_col), *cols)
+
+
+def parse_index_text(files: DataFrame, file_col: str = "file_path", text_col: str = "value") -> DataFrame:
+    """Whole index files (one row per file, e.g. ``wholetext`` reads) → rows,
+    in one pass: each file's header line is located inside its own row, so
+    unlike ``parse_index_lines`` no per-file aggregate, join or shuffle is
+    needed.  Same rules: columns bound by header name, the ruler below the
+    header skipped, blank lines dropped, files without a header dropped."""
+    lines = F.split(F.col(text_col), r"\r?\n")
+    hidx = F.array_position(
+        F.transform(lines, lambda l: l.contains("Form Type") & l.contains("Company Name")), True)
+    per_file = files.select(F.col(file_col), lines.alias("_lines"), hidx.alias("_hidx")).filter(F.col("_hidx") > 0)
+    per_file = per_file.withColumn("_hline", F.element_at("_lines", F.col("_hidx").cast("int")))
+    body = (per_file.select(F.col(file_col), "_hidx", "_hline", F.posexplode("_lines").alias("_pos", "_line"))
+            .filter((F.col("_pos") > F.col("_hidx")) & (F.trim(F.col("_line")) != "")))
+    offs = {name: F.instr(F.col("_hline"), name) for name in INDEX_HEADER_FIELDS}
+    return body.select(F.col(file_col), *_index_columns(F.col("_line"), offs))
 
 
 def filter_forms(df: DataFrame, form: str = "8-K", exact: bool = False) -> DataFrame:

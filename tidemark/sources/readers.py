@@ -61,6 +61,15 @@ def read_index_files(spark: SparkSession, path: str) -> DataFrame:
                       F.posexplode(F.split(F.col("value"), r"\r?\n")).alias("pos", "line")))
 
 
+def read_filing_index(spark: SparkSession, path: str) -> DataFrame:
+    """Daily company-index files → index rows, one pass per file (each file is
+    read whole and parsed inside its own row: no shuffle)."""
+    from tidemark.operators.filings import parse_index_text
+
+    df = spark.read.text(path, wholetext=True)
+    return parse_index_text(df.select(F.col("_metadata.file_path").alias("file_path"), "value"))
+
+
 FEED_ITEM_SCHEMA = T.StructType([
     T.StructField("title", T.StringType()), T.StructField("description", T.StringType()),
     T.StructField("link", T.StringType()), T.StructField("pubDate", T.StringType()),
