@@ -53,6 +53,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or configured
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory (never a
+    machine-local path on a cluster)."""
+    import uuid
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/tidemark-scratch/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss) into the shared folder."""
     checkpoint_dir(df.sparkSession)
