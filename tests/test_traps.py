@@ -290,3 +290,54 @@ def test_granger_matches_brute_force_lstsq(spark):
             assert np.isclose(g.f_stat, (sr - su) / p / (su / (len(yv) - 2 * p - 1)))
         assert sum(got[(t, p)].selected for p in (1, 2, 3)) == 1
     assert np.isclose(M.f_sf(4.102821, 2, 10), 0.05, atol=1e-6)
+
+
+def test_multi_ols_matches_lstsq(spark):
+    from tidemark.operators import models as M
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(80, 3))
+    y = 0.5 + x @ np.array([1.5, -2.0, 0.25]) + rng.normal(scale=0.1, size=80)
+    rows = [(float(a), float(b), None if i % 17 == 0 else float(c), float(t))
+            for i, ((a, b, c), t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double")
+    model = M.fit_ols(df, ["a", "b", "c"], "y")
+    keep = [i for i in range(80) if i % 17 != 0]
+    design = np.column_stack([np.ones(len(keep)), x[keep]])
+    want = np.linalg.lstsq(design, y[keep], rcond=None)[0]
+    assert model.n == len(keep)
+    assert np.allclose(model.coefficients, want, atol=1e-9)
+
+
+def test_two_way_fixed_effects_match_dummy_regression(spark):
+    """Unbalanced panel: slope equals least squares with entity and time
+    dummies; the clustered error equals the formula on the exact two-way
+    residuals (Frisch-Waugh-Lovell)."""
+    from tidemark.operators import models as M
+    rng = np.random.default_rng(4)
+    rows = []
+    for e, fe in zip("ABCDE", rng.normal(size=5)):
+        for t, te in enumerate(rng.normal(size=12)):
+            if (ord(e) + t) % 5 == 0:          # holes make it unbalanced
+                continue
+            x = float(rng.normal())
+            rows.append((e, t, float(0.7 * x + fe + te + rng.normal(scale=0.3)), x))
+    df = spark.createDataFrame(rows, "ticker string, date int, y double, x double")
+    got = M.panel_ols_fe(df, "y", "x", iterations=200, tol=1e-12).collect()[0]
+    ents = sorted({r[0] for r in rows})
+    times = sorted({r[1] for r in rows})
+    dummies = np.array([[1.0 if r[0] == e else 0.0 for e in ents] + [1.0 if r[1] == t else 0.0 for t in times[1:]]
+                        for r in rows])
+    xv = np.array([r[3] for r in rows])
+    yv = np.array([r[2] for r in rows])
+
+    def resid(v):
+        return v - dummies @ np.linalg.lstsq(dummies, v, rcond=None)[0]
+
+    xt, yt = resid(xv), resid(yv)
+    slope = (xt @ yt) / (xt @ xt)
+    full = np.linalg.lstsq(np.column_stack([xv, dummies]), yv, rcond=None)[0]
+    assert np.isclose(got.slope, full[0], atol=1e-8) and np.isclose(got.slope, slope, atol=1e-8)
+    u = yt - slope * xt
+    meat = sum(sum(xt[i] * u[i] for i in range(len(rows)) if rows[i][0] == e) ** 2 for e in ents)
+    assert np.isclose(got.cluster_se, np.sqrt(meat) / (xt @ xt), rtol=1e-6)
+    assert got.n_obs == len(rows) and got.n_entities == len(ents)
