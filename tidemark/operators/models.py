@@ -147,9 +147,15 @@ def sample_errors(df: DataFrame, key_cols: list[str], target: str, pred: Column,
     return d.orderBy(hash_fraction(key_cols, seed), *key_cols).limit(n)
 
 
-def predict(df: DataFrame, model: LinearModel, keep: list[str]) -> DataFrame:
-    """Predicted return per row; ``confidence`` is the model's in-sample R²
-    (the original left it undefined)."""
+def predict(df: DataFrame, model: LinearModel, keep: list[str], date=None, tickers=None,
+            date_col: str = "date", key: str = "ticker") -> DataFrame:
+    """Predicted return per row, optionally only for one ``date`` and a list of
+    ``tickers`` (plain predicates, pushed down); ``confidence`` is the model's
+    in-sample R² (the original left it undefined)."""
+    if date is not None:
+        df = df.filter(F.col(date_col) == F.lit(date))
+    if tickers:
+        df = df.filter(F.col(key).isin(list(tickers)))
     return df.select(*keep, model.predict().alias("predicted_return"),
                      F.lit(model.r2).alias("confidence"))
 

@@ -141,6 +141,30 @@ def predict_panel(spark, d):
     return rounded(M.predict(panel, model, ["date", "ticker", "sentiment_score", "novelty_score"]))
 
 
+PREDICT_DATE = "1996-01-04"
+PREDICT_TICKERS = ["SRC0", "SRC1", "SRC10", "SRC11", "SRC12", "SRC13"]
+
+
+@query("predict_date", f"""{PANEL_SQL},
+panel AS (SELECT w.ticker, w.date, w.sentiment_score, w.novelty_score, f.return_1d AS forward_return
+          FROM wide w JOIN nextday x USING (ticker, date)
+          LEFT JOIN fac f ON f.ticker = w.ticker AND f.date = x.trade_date),
+m AS (SELECT regr_intercept(forward_return, sentiment_score) AS a, regr_slope(forward_return, sentiment_score) AS b,
+             regr_r2(forward_return, sentiment_score) AS r2 FROM panel
+      WHERE forward_return IS NOT NULL AND sentiment_score IS NOT NULL)
+SELECT date, ticker, round(a + b * sentiment_score, 6) AS predicted_return, round(r2, 6) AS confidence,
+       round(sentiment_score, 6) AS sentiment_score, round(novelty_score, 6) AS novelty_score
+FROM panel, m
+WHERE date = DATE '{PREDICT_DATE}' AND ticker IN ({", ".join(f"'{t}'" for t in PREDICT_TICKERS)})""")
+def predict_date(spark, d):
+    """The prediction command: one date and a ticker list, model fitted on the
+    whole panel."""
+    panel = _panel(spark, d)
+    model = M.fit_ols(panel, ["sentiment_score"], "forward_return")
+    return rounded(M.predict(panel, model, ["date", "ticker", "sentiment_score", "novelty_score"],
+                             date=PREDICT_DATE, tickers=PREDICT_TICKERS))
+
+
 GRANGER_LAGS = 5
 
 
