@@ -171,31 +171,43 @@ def aspect_shock(df: DataFrame, aspects_col: str, sentiment_map_col: str, novelt
                             "shock": sent * F.col(novelty_col)})
 
 
-def lexicon_summary(spark: SparkSession, lexicon: dict = DEFAULT_LEXICON,
+def lexicon_summary(spark: SparkSession, lexicon: dict | DataFrame = DEFAULT_LEXICON,
                     vectors: DataFrame | None = None) -> DataFrame:
-    """Per aspect: number of terms, sorted terms, whether it has a vector."""
-    lex = lexicon_frame(spark, lexicon)
-    out = lex.groupBy("aspect").agg(F.count(F.lit(1)).alias("n_terms"),
-                                    F.array_sort(F.collect_list("term")).alias("terms"))
-    vec = (vectors if vectors is not None else aspect_vectors(spark, lexicon)).select(
-        "aspect", F.lit(True).alias("has_vector"))
-    return out.join(vec, "aspect", "left").withColumn("has_vector", F.coalesce("has_vector", F.lit(False)))
+    """Per aspect: number of distinct terms, sorted terms, whether it has a
+    vector.  ``lexicon`` is a dict or an (aspect, term) DataFrame (e.g. an
+    expanded lexicon); without ``vectors`` an aspect has a vector when one of
+    its terms, '*' removed, is longer than two characters (the rule that
+    builds aspect vectors)."""
+    lex = lexicon if isinstance(lexicon, DataFrame) else lexicon_frame(spark, lexicon)
+    out = lex.groupBy("aspect").agg(
+        F.count_distinct("term").alias("n_terms"),
+        F.array_sort(F.collect_set("term")).alias("terms"),
+        F.max(F.length(F.trim(F.regexp_replace("term", r"\*", ""))) > 2).alias("_hv"))
+    if vectors is None:
+        return out.withColumnRenamed("_hv", "has_vector")
+    vec = vectors.select("aspect", F.lit(True).alias("has_vector"))
+    return (out.drop("_hv").join(vec, "aspect", "left")
+            .withColumn("has_vector", F.coalesce("has_vector", F.lit(False))))
 
 
 def lexicon_overlap(lex: DataFrame) -> DataFrame:
-    """Per aspect pair: shared terms / the smaller aspect's term count."""
+    """Per aspect pair: shared terms / the smaller aspect's term count.
+
+    One pass over the lexicon, no self-join: each term's set of aspects (at
+    most the number of aspects) yields its (a, b) aspect cells, diagonal
+    included; one count per cell gives the shared terms off the diagonal and
+    each aspect's size on it, read with windows over that tiny result."""
     lex = lex.select("aspect", F.lower(F.col("term")).alias("term")).distinct()
-    sizes = lex.groupBy("aspect").agg(F.count(F.lit(1)).alias("n"))
-    a = lex.alias("a")
-    b = lex.alias("b")
-    shared = (a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.aspect") < F.col("b.aspect")))
-              .groupBy(F.col("a.aspect").alias("aspect_a"), F.col("b.aspect").alias("aspect_b"))
-              .agg(F.count(F.lit(1)).alias("shared")))
-    sa, sb = sizes.alias("sa"), sizes.alias("sb")
-    return (shared.join(sa, F.col("aspect_a") == F.col("sa.aspect"))
-            .join(sb, F.col("aspect_b") == F.col("sb.aspect"))
+    per_term = lex.groupBy("term").agg(F.collect_set("aspect").alias("_as"))
+    cells = (per_term.select(F.explode("_as").alias("aspect_a"), "_as")
+             .select("aspect_a", F.explode("_as").alias("aspect_b"))
+             .groupBy("aspect_a", "aspect_b").agg(F.count(F.lit(1)).alias("shared")))
+    diag = F.when(F.col("aspect_a") == F.col("aspect_b"), F.col("shared"))
+    sized = (cells.withColumn("_na", F.max(diag).over(Window.partitionBy("aspect_a")))
+             .withColumn("_nb", F.max(diag).over(Window.partitionBy("aspect_b"))))
+    return (sized.filter(F.col("aspect_a") < F.col("aspect_b"))
             .select("aspect_a", "aspect_b", "shared",
-                    (F.col("shared") / F.least(F.col("sa.n"), F.col("sb.n"))).alias("overlap")))
+                    (F.col("shared") / F.least(F.col("_na"), F.col("_nb"))).alias("overlap")))
 
 
 def seed_vectors(spark: SparkSession, lexicon: dict = DEFAULT_LEXICON, encoder=None,

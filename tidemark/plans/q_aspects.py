@@ -231,7 +231,7 @@ def aspect_shock(spark, d):
                                  "novelty_score", "shock"))
 
 
-@query("lexicon_expand", f"""WITH {LEX},
+EXPAND_SQL = f"""{LEX},
 lexc AS (SELECT aspect, term, trim(replace(term, '*', '')) AS clean FROM lex
          WHERE length(trim(replace(term, '*', ''))) > 2),
 sv AS (SELECT aspect, term AS seed, {ENC} AS svec FROM (SELECT *, {P.buckets('clean')} AS b FROM lexc)),
@@ -242,14 +242,16 @@ top AS (SELECT aspect, term, seed, cos,
                row_number() OVER (PARTITION BY aspect, seed ORDER BY cos DESC, term) AS rank
         FROM cand WHERE cos > 0.65),
 seeds AS (SELECT aspect, term, 'seed' AS origin, term AS seed, CAST(NULL AS DOUBLE) AS cos,
-                 CAST(NULL AS INTEGER) AS rank FROM lex)
-SELECT * FROM seeds
-UNION ALL
-SELECT aspect, term, 'expanded' AS origin, seed, round(cos, 6) AS cos, CAST(rank AS INTEGER) AS rank FROM top
-WHERE rank <= 20 AND NOT EXISTS (SELECT 1 FROM lex l WHERE l.aspect = top.aspect AND l.term = top.term)""")
-def lexicon_expand(spark, d):
+                 CAST(NULL AS INTEGER) AS rank FROM lex),
+ex AS (SELECT * FROM seeds
+       UNION ALL
+       SELECT aspect, term, 'expanded' AS origin, seed, cos, CAST(rank AS INTEGER) AS rank FROM top
+       WHERE rank <= 20 AND NOT EXISTS (SELECT 1 FROM lex l WHERE l.aspect = top.aspect AND l.term = top.term))"""
+
+
+def _expanded(spark, d):
     """Seeds + per-seed top-20 vocabulary terms (cosine > 0.65) from the
-    document vocabulary."""
+    document vocabulary (unrounded)."""
     docs = I.table(spark, d, "documents")
     vocab = (docs.select(F.explode(F.filter(F.split(F.lower("text"), NON_WORD), lambda t: F.length(t) > 2))
                          .alias("term")).distinct())
@@ -259,4 +261,35 @@ def lexicon_expand(spark, d):
     if len(rows) > A.MAX_ASPECT_VECTORS:
         raise ValueError("lexicon too large to inline")
     seeds = {(r["aspect"], r["term"]): list(r["vector"]) for r in rows}
-    return rounded(A.expand_lexicon(vocab, DEFAULT_LEXICON, seeds))
+    return A.expand_lexicon(vocab, DEFAULT_LEXICON, seeds)
+
+
+@query("lexicon_expand", f"""WITH {EXPAND_SQL}
+SELECT aspect, term, origin, seed, round(cos, 6) AS cos, rank FROM ex""")
+def lexicon_expand(spark, d):
+    """Seeds + per-seed top-20 vocabulary terms (cosine > 0.65) from the
+    document vocabulary."""
+    return rounded(_expanded(spark, d))
+
+
+@query("lexicon_summary", f"""WITH {EXPAND_SQL}
+SELECT aspect, count(DISTINCT term) AS n_terms, list_sort(list(DISTINCT term)) AS terms,
+       bool_or(length(trim(replace(term, '*', ''))) > 2) AS has_vector
+FROM ex GROUP BY aspect""")
+def lexicon_summary(spark, d):
+    """Per aspect of the expanded lexicon: distinct terms, sorted, has a vector."""
+    return A.lexicon_summary(spark, _expanded(spark, d).select("aspect", "term"))
+
+
+@query("lexicon_overlap", f"""WITH {EXPAND_SQL},
+lx AS (SELECT DISTINCT aspect, lower(term) AS term FROM ex),
+sizes AS (SELECT aspect, count(*) AS n FROM lx GROUP BY aspect),
+shared AS (SELECT a.aspect AS aspect_a, b.aspect AS aspect_b, count(*) AS shared
+           FROM lx a JOIN lx b ON a.term = b.term AND a.aspect < b.aspect GROUP BY 1, 2)
+SELECT s.aspect_a, s.aspect_b, s.shared,
+       round(CAST(s.shared AS DOUBLE) / least(sa.n, sb.n), 6) AS overlap
+FROM shared s JOIN sizes sa ON sa.aspect = s.aspect_a JOIN sizes sb ON sb.aspect = s.aspect_b""")
+def lexicon_overlap(spark, d):
+    """Share of terms two aspects of the expanded lexicon have in common (the
+    design asks for at most 5 %)."""
+    return rounded(A.lexicon_overlap(_expanded(spark, d).select("aspect", "term")))
