@@ -9,8 +9,10 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import sentiment as S
 from tidemark.plans import inputs as I
 from tidemark.plans import sqlparts as P
+from tidemark.plans.q_sentiment import SCORED_SQL
 from tidemark.plans.q_filings import INDEX_FROM, INDEX_SQL, INDEX_TO, SEGMENT, filing_index_8k
 from tidemark.plans.registry import query, rounded
 from tidemark.session import scratch_dir
@@ -87,3 +89,15 @@ def roundtrip_feed_items(spark, d):
     items.write.format("xml").option("rowTag", "item").option("rootTag", "channel").save(root)
     back = R.read_feed_items(spark, root, FEED_SOURCE, FEED_COLLECTED)
     return back.select("title", "summary", "link", "published_date", "source")
+
+
+@query("roundtrip_sentiment", f"""{SCORED_SQL}
+SELECT doc_id, ticker, date, sentiment_label, round(sentiment_compound, 6) AS sentiment_compound FROM scored""")
+def roundtrip_sentiment(spark, d):
+    """Per-filing sentiment persisted (nothing scored would be an error) and
+    loaded back."""
+    root = scratch_dir(spark, "sentiment")
+    scored = S.score_sentiment(I.filings(spark, d), "text").select(
+        "doc_id", "ticker", "date", "sentiment_label", "sentiment_compound")
+    K.write_sentiment(scored, root)
+    return rounded(R.read_table(spark, root))
