@@ -288,7 +288,18 @@ def test_granger_matches_brute_force_lstsq(spark):
             assert g.n == len(yv)
             assert np.isclose(g.ssr_restricted, sr) and np.isclose(g.ssr_unrestricted, su)
             assert np.isclose(g.f_stat, (sr - su) / p / (su / (len(yv) - 2 * p - 1)))
-        assert sum(got[(t, p)].selected for p in (1, 2, 3)) == 1
+        # BIC on the common sample (rows with all 3 lags)
+        yc = ys[3:]
+        bics = {}
+        for p in (1, 2, 3):
+            cols = ([np.ones(len(yc))] + [ys[3 - i:-i] for i in range(1, p + 1)]
+                    + [xs[3 - i:-i] for i in range(1, p + 1)])
+            u = np.column_stack(cols)
+            sc = np.sum((yc - u @ np.linalg.lstsq(u, yc, rcond=None)[0]) ** 2)
+            bics[p] = len(yc) * np.log(sc / len(yc)) + (2 * p + 1) * np.log(len(yc))
+            assert got[(t, p)].n_bic == len(yc) and np.isclose(got[(t, p)].bic, bics[p])
+        best = min(bics, key=bics.get)
+        assert [p for p in (1, 2, 3) if got[(t, p)].selected] == [best]
     assert np.isclose(M.f_sf(4.102821, 2, 10), 0.05, atol=1e-6)
 
 

@@ -324,7 +324,7 @@ def f_sf(f: float, d1: float, d2: float) -> float:
 
 
 GRANGER_OUT = ("{g} lag int, n long, ssr_restricted double, ssr_unrestricted double, f_stat double, "
-               "df_num int, df_den int, p_value double, bic double, selected boolean")
+               "df_num int, df_den int, p_value double, bic double, n_bic long, selected boolean")
 
 
 def granger_moments(df: DataFrame, y: str, x: str, group_cols: list[str], order_col: str,
@@ -351,7 +351,14 @@ def granger_moments(df: DataFrame, y: str, x: str, group_cols: list[str], order_
         for j in range(2, i + 1):
             ok = ok & F.col(f"_y{j}").isNotNull() & F.col(f"_x{j}").isNotNull()
         depth = depth + F.when(ok, 1).otherwise(0)
-    rows = base.withColumn("lag", F.explode(F.sequence(F.lit(1), depth)))
+    # each row serves every lag p <= depth on its own sample, and — when all
+    # max_lag lags exist — every lag again on the common sample (the one BIC
+    # compares lags on)
+    entry = lambda common: (lambda l: F.struct(l.alias("lag"), F.lit(common).alias("common")))
+    own = F.transform(F.sequence(F.lit(1), depth), entry(False))
+    com = F.filter(F.transform(F.sequence(F.lit(1), F.lit(max_lag)), entry(True)),
+                   lambda e: depth == F.lit(max_lag))
+    rows = base.select("*", F.inline(F.concat(own, com)))
     z = [F.lit(1.0)]
     z += [F.when(F.col("lag") >= i, F.col(f"_y{i}")).otherwise(0.0) for i in range(1, max_lag + 1)]
     z += [F.when(F.col("lag") >= i, F.col(f"_x{i}")).otherwise(0.0) for i in range(1, max_lag + 1)]
@@ -359,41 +366,53 @@ def granger_moments(df: DataFrame, y: str, x: str, group_cols: list[str], order_
     aggs = [F.count(F.lit(1)).alias("n"), F.sum(F.col("_y") * F.col("_y")).alias("yy")]
     aggs += [F.sum(z[i] * z[j]).alias(f"zz_{i}_{j}") for i in range(k) for j in range(i, k)]
     aggs += [F.sum(z[i] * F.col("_y")).alias(f"zy_{i}") for i in range(k)]
-    return rows.groupBy(*group_cols, "lag").agg(*aggs)
+    return rows.groupBy(*group_cols, "lag", "common").agg(*aggs)
 
 
 def _granger_solve(pdf, group_cols: list[str], max_lag: int):
-    """Per group: restricted / unrestricted SSR, F test and BIC of every lag."""
+    """Per group: restricted / unrestricted SSR and F test of every lag on its
+    own sample; BIC of the unrestricted model on the common sample."""
     import pandas as pd
 
     k = 2 * max_lag + 1
-    out = []
-    for r in pdf.sort_values("lag").to_dict("records"):
-        p, n = int(r["lag"]), int(r["n"])
+
+    def ssrs(r, p):
         zz = np.zeros((k, k))
         for i in range(k):
             for j in range(i, k):
                 zz[i, j] = zz[j, i] = r[f"zz_{i}_{j}"]
         zy = np.array([r[f"zy_{i}"] for i in range(k)])
-        unres = [0] + list(range(1, p + 1)) + list(range(max_lag + 1, max_lag + p + 1))
-        res = [0] + list(range(1, p + 1))
 
         def ssr(idx):
             a, b = zz[np.ix_(idx, idx)], zy[idx]
             beta = np.linalg.lstsq(a, b, rcond=None)[0]
             return max(float(r["yy"] - beta @ b), 0.0)
 
+        res = [0] + list(range(1, p + 1))
+        return ssr(res), ssr(res + list(range(max_lag + 1, max_lag + p + 1)))
+
+    recs = pdf.to_dict("records")
+    common = {int(r["lag"]): r for r in recs if r["common"]}
+    out = []
+    for r in sorted((r for r in recs if not r["common"]), key=lambda r: r["lag"]):
+        p, n = int(r["lag"]), int(r["n"])
+        ssr_r, ssr_u = ssrs(r, p)
         df_den = n - (2 * p + 1)
-        ssr_r, ssr_u = ssr(res), ssr(unres)
         if df_den > 0 and ssr_u > 0:
             f = (ssr_r - ssr_u) / p / (ssr_u / df_den)
             pv = f_sf(f, p, df_den)
-            bic = n * math.log(ssr_u / n) + (2 * p + 1) * math.log(n)
         else:
-            f = pv = bic = float("nan")
+            f = pv = float("nan")
+        bic, n_bic = float("nan"), 0
+        if p in common:
+            c = common[p]
+            n_bic = int(c["n"])
+            _, ssr_c = ssrs(c, p)
+            if n_bic > 2 * p + 1 and ssr_c > 0:
+                bic = n_bic * math.log(ssr_c / n_bic) + (2 * p + 1) * math.log(n_bic)
         out.append({**{g: r[g] for g in group_cols}, "lag": p, "n": n, "ssr_restricted": ssr_r,
                     "ssr_unrestricted": ssr_u, "f_stat": f, "df_num": p, "df_den": df_den,
-                    "p_value": pv, "bic": bic})
+                    "p_value": pv, "bic": bic, "n_bic": n_bic})
     res = pd.DataFrame(out)
     if len(res):
         finite = res["bic"].replace([np.inf, -np.inf], np.nan)
@@ -409,8 +428,10 @@ def granger_causality(df: DataFrame, y: str, x: str, group_cols: list[str] | Non
     For each group (e.g. firm; none = one series) and lag p = 1..max_lag: OLS of
     y on [1, y lags] (restricted) and [1, y lags, x lags] (unrestricted) over
     the rows with p complete lags, the SSR-based F test ((SSR_r − SSR_u)/p) /
-    (SSR_u/(n − 2p − 1)) with its p-value, and the unrestricted model's BIC
-    n·ln(SSR_u/n) + (2p+1)·ln n; ``selected`` marks the lag with the lowest BIC.
+    (SSR_u/(n − 2p − 1)) with its p-value.  Lags are compared on one common
+    sample (rows with all max_lag lags, ``n_bic`` of them): the unrestricted
+    model's BIC n·ln(SSR_u/n) + (2p+1)·ln n there; ``selected`` marks the
+    lowest.
     Rows are reduced to moments by one Spark aggregate; only those ≤ max_lag
     moment rows per group reach the Python solve (``applyInPandas``)."""
     groups = list(group_cols or [])
