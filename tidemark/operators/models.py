@@ -14,26 +14,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.fixed import TRADING_DAYS_PER_YEAR
+from tidemark.operators.quantiles import exact_quantiles
 
 # ------------------------------------------------------------ describe / corr
 
 
 def describe_features(df: DataFrame, cols: list[str]) -> DataFrame:
     """count, mean, std, min, quartiles (exact, linear interpolation), max per
-    column — one aggregate pass, stacked to one row per feature."""
+    column.  Moments come from one aggregate pass; the quartiles from
+    ``exact_quantiles`` over the stacked (feature, value) rows, so a column is
+    never gathered into one task (Spark's exact ``percentile`` would merge every
+    distinct value of the whole table into one buffer)."""
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 F.percentile(x, [0.25, 0.5, 0.75]).alias(f"{c}__q"), F.max(x).alias(f"{c}__max")]
+                 F.max(x).alias(f"{c}__max")]
     one = df.agg(*aggs)
     rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}__count").alias("count"),
                               F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),
-                              F.col(f"{c}__min").alias("min"), F.col(f"{c}__q")[0].alias("p25"),
-                              F.col(f"{c}__q")[1].alias("p50"), F.col(f"{c}__q")[2].alias("p75"),
-                              F.col(f"{c}__max").alias("max")) for c in cols])
-    return one.select(F.inline(rows))
+                              F.col(f"{c}__min").alias("min"), F.col(f"{c}__max").alias("max")) for c in cols])
+    stats = one.select(F.inline(rows))
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v"))
+                                        for c in cols])))
+    q = exact_quantiles(long, "v", [0.25, 0.5, 0.75], ["feature"])
+    wide = q.groupBy("feature").agg(*[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name)
+                                      for p, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
+    return (stats.join(wide, "feature", "left")
+            .select("feature", "count", "mean", "std", "min", "p25", "p50", "p75", "max"))
 
 
 def correlations(df: DataFrame, target: str, cols: list[str], min_abs: float = 0.05) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.fixed import NEGATIVE_KEYWORDS, NEUTRAL_SCORES, POSITIVE_KEYWORDS
 from tidemark.functions.models import class_scores, normalize_for_keywords
 from tidemark.functions.plan import materialize
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.functions.text import collapse_ws, count_contained, fill_text, is_blank
 
 CLASSES = ("positive", "negative", "neutral")
@@ -114,15 +115,22 @@ def sentiment_time_series(df: DataFrame, date_col: str, value_col: str, how: str
     The rolling step runs on the per-date aggregate, whose size is bounded by
     the calendar (one row per date), never on raw rows."""
     v = F.col(value_col)
+    rows = df.filter(F.col(date_col).isNotNull())
     if how == "mean":
         agg = F.avg(v)
     elif how == "median":
-        agg = F.median(v)
+        agg = None
     elif how == "sum":
         agg = F.coalesce(F.sum(v), F.lit(0.0))
     else:
         raise ValueError(f"Unsupported aggregation: {how}")
-    out = df.filter(F.col(date_col).isNotNull()).groupBy(date_col).agg(agg.cast("double").alias(value_col))
+    if agg is not None:
+        out = rows.groupBy(date_col).agg(agg.cast("double").alias(value_col))
+    else:
+        # exact median without gathering a (possibly hot) date into one task;
+        # dates whose values are all NULL keep a NULL median
+        med = exact_quantiles(rows, value_col, [0.5], [date_col]).select(date_col, F.col("quantile").alias(value_col))
+        out = rows.select(date_col).distinct().join(med, date_col, "left")
     if window:
         w = Window.orderBy(date_col).rowsBetween(-(window - 1), 0)
         out = out.withColumn(f"{value_col}_rolling",

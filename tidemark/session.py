@@ -62,9 +62,20 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss) into the shared folder."""
+    """Reliable checkpoint (survives executor loss) into the shared folder.
+
+    The frame is persisted while the checkpoint is taken: a reliable
+    checkpoint otherwise computes its input twice (once for the eager count,
+    once more to write the files).  The persisted copy is dropped right after;
+    the result reads the checkpoint files."""
+    from pyspark import StorageLevel
+
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist()
 
 
 def bounded_broadcast_rows(df: DataFrame, max_rows: int) -> DataFrame:
