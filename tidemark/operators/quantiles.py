@@ -38,14 +38,28 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], group_cols=()
     # narrow table instead of recomputing whatever produced the values
     data = cut_lineage(src.select(*groups, F.col(value).cast("double").alias("_x"))
                        .filter(F.col("_x").isNotNull() & ~F.isnan(F.col("_x"))))
-    stats = data.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"),
-                                      F.max("_x").alias("_hi"))
+    inf = float("inf")
+    finite = (F.col("_x") > F.lit(-inf)) & (F.col("_x") < F.lit(inf))
+    stats = data.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count(F.when(F.col("_x") == F.lit(-inf), 1)).alias("_nneg"),
+        F.count(F.when(F.col("_x") == F.lit(inf), 1)).alias("_npos"),
+        F.min(F.when(finite, F.col("_x"))).alias("_lo"), F.max(F.when(finite, F.col("_x"))).alias("_hi"))
     qs = F.array(*[F.lit(float(q)) for q in probs])
-    targets = (stats.select(*groups, "_n", "_lo", "_hi", F.posexplode(qs).alias("_i", "_q"))
+    targets = (stats.select(*groups, "_n", "_nneg", "_npos", "_lo", "_hi", F.posexplode(qs).alias("_i", "_q"))
                .withColumn("_h", F.col("_q") * (F.col("_n") - 1)))
     targets = cut_lineage(targets)
-    ranks = (targets.select(*groups, "_lo", "_hi", F.explode(F.array(F.floor("_h"), F.ceil("_h"))).alias("_r"))
-             .distinct().withColumn("_below", F.lit(0).cast("long")))
+    every = (targets.select(*groups, "_nneg", "_npos", "_n", "_lo", "_hi",
+                            F.explode(F.array(F.floor("_h"), F.ceil("_h"))).alias("_r")).distinct())
+    # order statistics inside the -inf / +inf blocks are known from the counts;
+    # the bisection runs on the finite values (ranks offset by the -inf block)
+    neg = F.col("_r") < F.col("_nneg")
+    pos = F.col("_r") >= F.col("_n") - F.col("_npos")
+    infinite = every.filter(neg | pos).select(
+        *groups, "_r", F.when(neg, F.lit(-inf)).otherwise(F.lit(inf)).alias("_v"))
+    ranks = every.filter(~neg & ~pos).select(*groups, "_r", "_lo", "_hi",
+                                             F.col("_nneg").cast("long").alias("_below"))
+    data = data.filter(finite)
 
     def in_range(frame):
         return (data.join(frame, groups)
@@ -57,7 +71,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], group_cols=()
         return (in_range(frame).withColumn("_pos", pos).filter(F.col("_pos") == F.col("_r"))
                 .select(*groups, "_r", F.col("_x").alias("_v")))
 
-    found = []
+    found = [infinite]
     state = cut_lineage(ranks)
     for _ in range(max_rounds):
         found.append(state.filter(F.col("_lo") == F.col("_hi")).select(*groups, "_r", F.col("_lo").alias("_v")))
@@ -89,6 +103,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], group_cols=()
     hi_v = values.select(*groups, F.col("_r").alias("_rc"), F.col("_v").alias("_vc"))
     out = (targets.withColumn("_rf", F.floor("_h")).withColumn("_rc", F.ceil("_h"))
            .join(lo_v, [*groups, "_rf"]).join(hi_v, [*groups, "_rc"]))
-    q = F.col("_vf") + (F.col("_h") - F.col("_rf")) * (F.col("_vc") - F.col("_vf"))
+    # Spark's interpolation form (stays exact for equal ends and infinities)
+    q = F.when((F.col("_rf") == F.col("_rc")) | (F.col("_vf") == F.col("_vc")), F.col("_vf")).otherwise(
+        (F.col("_rc") - F.col("_h")) * F.col("_vf") + (F.col("_h") - F.col("_rf")) * F.col("_vc"))
     res = out.select(*groups, F.col("_q").alias("prob"), q.alias("quantile"))
     return res.drop("_all") if not group_cols else res
