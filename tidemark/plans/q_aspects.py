@@ -213,7 +213,10 @@ FROM asent a JOIN nov n USING (ticker, date)""")
 def aspect_shock(spark, d):
     """Per firm-day and detected aspect: aspect sentiment (mean compound of the
     paragraphs carrying it) x firm-day novelty."""
-    sc = S.score_sentiment(_scored(spark, d), "paragraph")
+    # paragraphs are whitespace-collapsed already: their lower-cased copy is
+    # what the keyword scorer reads (no second whitespace pass)
+    sc = S.score_sentiment(_scored(spark, d).withColumn("_low", F.lower("paragraph")), "paragraph",
+                           normalized_col="_low").drop("_low")
     # per-aspect sentiment rides in the firm-day vector aggregate (one pass
     # over the paragraphs; the aspect list is the lexicon's, parameter-sized)
     comp = F.col("sentiment_compound")
