@@ -125,3 +125,39 @@ def test_results_do_not_depend_on_row_order_or_partitioning(spark, parts):
     rx = {(r[0], r[1]): round(r[2], 9) for r in x.collect()}
     ry = {(r[0], r[1]): round(r[2], 9) for r in y.collect()}
     assert rx == ry
+
+
+def _scan_counts(plan):
+    import re
+    return {t: plan.count(f"/{t}.parquet]") for t in set(re.findall(r"/(\w+)\.parquet\]", plan))}
+
+
+def test_flagship_reads_each_table_once(spark):
+    plan = _plan(E.queries()["feature_panel"](spark, SMOKE))
+    assert _scan_counts(plan) == {"documents": 1, "lineitem": 1}
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan   # union + window, no join back
+
+
+def test_expensive_text_expressions_run_once_per_row(spark):
+    """Keyword tests appear once per term (54 aspect terms + 26 polarity
+    words), the encoder hashes once: no re-evaluation through inlined
+    producers or pushed-down explode filters."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        counts = {n: _plan(E.queries()[n](spark, SMOKE)).count("instr(")
+                  for n in ("aspect_scores", "aspect_keyword", "sentiment_firm_day", "feature_panel")}
+        enc = _plan(E.queries()["novelty_text_firm_day"](spark, SMOKE)).count("md5(")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert counts == {"aspect_scores": 54, "aspect_keyword": 54, "sentiment_firm_day": 26, "feature_panel": 80}
+    assert enc == 1
+
+
+def test_bars_aggregate_without_sorting_trades(spark):
+    plan = _plan(E.queries()["prices_indicators"](spark, SMOKE))
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_firm_day_vectors_test_blank_once(spark):
+    fd = NV.firm_day_embedding(I.firm_vectors(spark, SMOKE), dim=64)
+    assert _plan(fd).count("RLIKE(") == 1
