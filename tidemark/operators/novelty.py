@@ -18,6 +18,7 @@ from tidemark.functions.models import hashed_encoder
 from tidemark.functions.plan import materialize
 from tidemark.functions.text import fill_text, is_blank
 from tidemark.functions.vectors import cosine, vec_scale, vec_sum
+from tidemark.operators.quantiles import exact_quantiles
 
 EPOCH = date(1970, 1, 1)
 
@@ -193,7 +194,13 @@ def cross_sectional_novelty(df: DataFrame, on: date | None = None, score_col: st
 
 
 def cross_section_stats(df: DataFrame, score_col: str = "novelty_score", date_col: str = "date") -> DataFrame:
+    """Per date: mean, median, sample std, min, max and row count.  The median
+    comes from ``exact_quantiles`` (no date is gathered into one task)."""
     s = F.col(score_col)
-    return df.groupBy(date_col).agg(F.avg(s).alias("mean_novelty"), F.median(s).alias("median_novelty"),
-                                    F.stddev_samp(s).alias("std_novelty"), F.min(s).alias("min_novelty"),
-                                    F.max(s).alias("max_novelty"), F.count(F.lit(1)).alias("count"))
+    rows = df.filter(F.col(date_col).isNotNull())
+    moments = rows.groupBy(date_col).agg(F.avg(s).alias("mean_novelty"), F.stddev_samp(s).alias("std_novelty"),
+                                         F.min(s).alias("min_novelty"), F.max(s).alias("max_novelty"),
+                                         F.count(F.lit(1)).alias("count"))
+    med = exact_quantiles(rows, score_col, [0.5], [date_col]).select(date_col, F.col("quantile").alias("median_novelty"))
+    return (moments.join(med, date_col, "left")
+            .select(date_col, "mean_novelty", "median_novelty", "std_novelty", "min_novelty", "max_novelty", "count"))
