@@ -379,3 +379,35 @@ def test_exact_quantiles_equal_spark_percentile(spark):
     assert all(got[k] == want[k] or np.isclose(got[k], want[k], rtol=0, atol=1e-12) for k in want)
     (glob,) = exact_quantiles(df, "v", [0.5], buckets=16, small=50).collect()
     assert np.isclose(glob.quantile, df.agg(F.median("v")).collect()[0][0], rtol=0, atol=1e-12)
+
+
+def test_caller_models_plug_in_through_arrow_udfs(spark):
+    """UDF-01/02: a caller's sentiment model and encoder run through iterator
+    pandas UDFs; blank texts still get the fixed neutral row, and scoring
+    distinct texts once (dedupe) gives the same rows."""
+    from tidemark.functions.models import pandas_encoder, pandas_scorer
+    from tidemark.operators import novelty as NV
+
+    def load_scorer():
+        def model(texts):
+            out = []
+            for t in texts:
+                good, bad = t.count("good"), t.count("bad")
+                tot = good + bad + 1.0
+                out.append({"positive": good / tot, "negative": bad / tot, "neutral": 1 / tot})
+            return out
+        return model
+
+    def load_encoder():
+        return lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts]
+
+    df = spark.createDataFrame([(1, "good good bad"), (2, "bad news"), (3, "  "), (4, "good good bad")],
+                               "id int, text string")
+    plain = {r.id: r for r in S.score_sentiment(df, "text", scorer=pandas_scorer(load_scorer)).collect()}
+    dedup = {r.id: r for r in S.score_sentiment(df, "text", scorer=pandas_scorer(load_scorer),
+                                               dedupe=True).collect()}
+    assert plain[1].sentiment_label == "positive" and plain[2].sentiment_label == "negative"
+    assert (plain[3].sentiment_positive, plain[3].sentiment_neutral) == (0.33, 0.34)   # blank: fixed row
+    assert {k: tuple(v) for k, v in plain.items()} == {k: tuple(v) for k, v in dedup.items()}
+    enc = {r.id: list(r.embedding) for r in NV.encode(df, "text", encoder=pandas_encoder(load_encoder)).collect()}
+    assert enc[1] == [13.0, 2.0] and enc[2] == [8.0, 1.0]
