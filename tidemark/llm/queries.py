@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_id, packing, token_counts, toxicity
+from tidemark.llm import html_main, language_id, packing, token_counts, toxicity
 from tidemark.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query("op3_html_main_text")
+def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract_pages(table(spark, sf_dir, "pages"))
+
+
 @query("op8_token_counts")
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"),
