@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html_main, language_id, packing, permutation_index, token_counts, toxicity
+from tidemark.llm import decontaminate, html_main, language_id, packing, permutation_index, shingle_join, token_counts, toxicity
 from tidemark.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,11 @@ def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract_pages(table(spark, sf_dir, "pages"))
 
 
+@query("op6_ngram_jaccard_join")
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.components(table(spark, sf_dir, "documents"))
+
+
 @query("op7_permutation_index")
 def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
