@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html_main, language_id, packing, permutation_index, shingle_join, substring_dedup, token_counts, toxicity
+from tidemark.llm import decontaminate, html_main, language_id, line_dedup, packing, permutation_index, shingle_join, substring_dedup, token_counts, toxicity
 from tidemark.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,11 @@ def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract_pages(table(spark, sf_dir, "pages"))
 
 
+@query("op4_line_dedup")
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 @query("op5_substring_dedup")
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.deduplicate(table(spark, sf_dir, "documents")))
