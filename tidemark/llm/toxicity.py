@@ -143,19 +143,24 @@ def _train(texts: list[str], labels: list[int], epochs: int, batch: int, rate: f
         return ToxicityModel(np.zeros(BUCKETS), 6.0 if len(y) and y[0] == 1 else -6.0)
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
-    flat: list[int] = []
-    windows, owner = [], []
-    for no, text in enumerate(texts):
-        ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)]
-        for at in range(0, len(ids), WINDOW):
-            windows.append((len(flat) + at, min(WINDOW, len(ids) - at)))
-            owner.append(no)
-        flat += ids
-    if not windows:
+    flat, n_words = [], []
+    for text in texts:
+        ids = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)), np.int32)
+        flat.append(ids)
+        n_words.append(len(ids))
+    word_at, length = np.concatenate(flat), np.array(n_words, np.int64)
+    if not len(word_at):
         return ToxicityModel(np.zeros(BUCKETS), 0.0)
-    word_at, (begin, size) = np.array(flat, np.int64), np.array(windows, np.int64).T
-    doc = np.array(owner, np.int64)
-    bag, bag_size = subwords(list(vocabulary))
+    each = -(-length // WINDOW)
+    doc = np.repeat(np.arange(len(texts)), each)
+    number = np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)
+    begin = np.repeat(np.cumsum(length) - length, each) + number * WINDOW
+    size = np.minimum(WINDOW, np.repeat(length, each) - number * WINDOW)
+    known = list(vocabulary)
+    parts = [subwords(known[i:i + 20_000]) for i in range(0, len(known), 20_000)]
+    bag = np.concatenate([p[0].astype(np.int32) for p in parts])
+    bag_size = np.concatenate([p[1] for p in parts])
+    del parts, known, vocabulary, flat
     bag_at = np.cumsum(bag_size) - bag_size
 
     vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSION))
@@ -213,18 +218,18 @@ def _train(texts: list[str], labels: list[int], epochs: int, batch: int, rate: f
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, *, by_label: tuple[int, int] = SAMPLE_BY_LABEL) -> DataFrame:
-    """(text, label) of about ``by_label`` documents of label 1 and 0 at most,
-    drawn by a hash of the id from those whose crc32(doc_id) mod 5 is not 0.  Rows
+    """(text, label) of the labelled documents, ``by_label`` of label 1 and 0 at most, drawn
+    by a hash of the id from those whose crc32(doc_id) mod 5 is not 0.  Rows
     with a null text, id or label teach nothing; a repeated document or label row
     counts as often as it is there."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where(
         F.col("label").isin(0, 1) & (crc_mod(F.col("doc_id"), 5) != 0))
-    n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    scale = 1 << 30
-    limit = F.lit(scale)
-    for label, count in n.items():
-        limit = F.when(F.col("label") == label, F.lit(min(scale, int(scale * by_label[1 - label] / count)))).otherwise(limit)
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < limit)
+    drawn = None
+    for label, most in zip((1, 0), by_label):
+        part = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        drawn = part if drawn is None else drawn.unionByName(part)
+    # broadcast: sum(by_label) rows at most, so no text is shuffled
+    drawn = F.broadcast(drawn)
     return docs.select("doc_id", "text").where("text is not null").join(drawn, "doc_id").select("text", "label")
 
 
