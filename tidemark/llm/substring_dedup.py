@@ -213,7 +213,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, low, high): word ranges of ``rows`` (doc_id, text) that repeated windows cover."""
     found = rows.mapInArrow(_anchors(window), "anchor bigint, passage bigint, doc bigint, at int, windows int")
-    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # cut off, so that the join below is dealt out by an exchange of its own and a hot anchor is split
+    often = cut_lineage(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
     shared = cut_lineage(found.join(often, "anchor"))
     classes = cut_lineage(shared.groupBy("anchor", "passage", "windows").agg(
         F.min(F.struct("doc", "at")).alias("first")))
