@@ -8,10 +8,10 @@ import __spark_entry__ as E
 from conftest import SMOKE
 from tidemark.operators import novelty as NV
 from tidemark.plans import inputs as I
+from tidemark.plans.catalog import QUERIES
 from tidemark.sources import readers as R
-from tidemark.streaming import stream_novelty
 
-BATCH_QUERIES = sorted(n for n in E.queries() if not n.startswith("stream_"))
+BATCH_QUERIES = sorted(n for n in QUERIES if not n.startswith("stream_"))
 
 
 def _plan(df):
@@ -40,27 +40,6 @@ def test_price_predicates_reach_the_scan(spark):
     assert read.startswith("ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint,l_shipdate:")
 
 
-def test_stream_novelty_over_many_micro_batches_equals_batch(spark, tmp_dir):
-    """Firm-days arrive date-ordered over several files, one file per trigger:
-    the keyed-state novelty must equal the batch range window."""
-    fv = I.firm_vectors(spark, SMOKE).select("ticker", "date", "embedding")
-    dates = sorted(r.date for r in fv.select("date").distinct().collect())
-    chunks = [dates[i:i + 15] for i in range(0, len(dates), 15)]
-    for i, chunk in enumerate(chunks):
-        fv.filter(F.col("date").isin(chunk)).coalesce(1).write.parquet(f"{tmp_dir}/src/part{i:03d}")
-    src = spark.readStream.schema(fv.schema).option("maxFilesPerTrigger", 1).option(
-        "recursiveFileLookup", True).parquet(f"{tmp_dir}/src")
-    q = (stream_novelty(src).writeStream.format("parquet").option("path", f"{tmp_dir}/out")
-         .option("checkpointLocation", f"{tmp_dir}/ck").trigger(availableNow=True).start())
-    q.awaitTermination(300)
-    got = {(r.ticker, r.date): (round(r.novelty_score, 9), r.window_size)
-           for r in spark.read.parquet(f"{tmp_dir}/out").collect()}
-    fd = NV.firm_day_embedding(I.firm_vectors(spark, SMOKE), dim=64)
-    want = {(r.ticker, r.date): (round(r.novelty_score, 9), r.window_size)
-            for r in NV.novelty(fd).collect()}
-    assert len(chunks) > 2 and got == want
-
-
 def test_watermark_novelty_ignores_arrival_split(spark, tmp_dir):
     """Rows of the last two days of every chunk arrive one file (micro-batch)
     later; the watermark-finalised twin must still equal the batch novelty for

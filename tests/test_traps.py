@@ -355,7 +355,7 @@ def test_two_way_fixed_effects_match_dummy_regression(spark):
 
 
 def test_exact_quantiles_equal_spark_percentile(spark):
-    """Histogram bisection gives Spark's exact percentile (linear
+    """Radix selection gives Spark's exact percentile (linear
     interpolation) for ties, tiny groups, a one-value group and globally."""
     from tidemark.operators.quantiles import exact_quantiles
     rng = np.random.default_rng(0)
@@ -366,18 +366,20 @@ def test_exact_quantiles_equal_spark_percentile(spark):
             vals = np.round(vals)                    # heavy ties
         rows += [(g, float(v)) for v in vals]
     rows += [("a", None), ("e", None)]
+    rows += [("h", float(s * 10.0 ** e)) for e, s in zip(rng.uniform(-300, 300, 400), rng.choice([-1, 1], 400))]
+    rows += [("z", v) for v in (0.0, -0.0, 5e-324, -5e-324)]
     rows += [("f", float(v)) for v in [float("-inf"), -1.0, 2.0, 3.0, float("inf"), float("inf")]]
     df = spark.createDataFrame(rows, "g string, v double")
     probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
     got = {(r.g, r.prob): r.quantile
-           for r in exact_quantiles(df, "v", probs, ["g"], buckets=16, small=50).collect()}
+           for r in exact_quantiles(df, "v", probs, ["g"]).collect()}
     want = {}
     for r in df.groupBy("g").agg(F.percentile("v", probs).alias("p")).collect():
         if r.p is not None:
             want.update({(r.g, q): v for q, v in zip(probs, r.p)})
     assert set(got) == set(want)
     assert all(got[k] == want[k] or np.isclose(got[k], want[k], rtol=0, atol=1e-12) for k in want)
-    (glob,) = exact_quantiles(df, "v", [0.5], buckets=16, small=50).collect()
+    (glob,) = exact_quantiles(df, "v", [0.5]).collect()
     assert np.isclose(glob.quantile, df.agg(F.median("v")).collect()[0][0], rtol=0, atol=1e-12)
 
 

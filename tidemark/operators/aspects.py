@@ -3,9 +3,9 @@
 The lexicon is a parameter (aspect -> terms).  Keyword tests compile into
 Column expressions (substring semantics: "gain" also hits "against"); the
 semantic test compares a text vector with one vector per aspect.  Aspect
-vectors are derived from the lexicon with the same encoder as the texts and
-are small by construction (#aspects x dim), so they are collected once behind
-a size check and inlined as literals — the per-text work stays narrow, with no
+vectors are derived from the lexicon (a Python mapping of the caller's) with the
+same encoder as the texts: one row per key of that mapping, collected once and
+inlined as literals — the per-text work stays narrow, with no
 join at all.
 """
 
@@ -23,8 +23,6 @@ from tidemark.functions.models import hashed_encoder
 from tidemark.functions.text import fill_text, is_blank
 from tidemark.functions.vectors import cosine_const, norm_dim
 
-MAX_ASPECT_VECTORS = 10_000
-
 
 def term_match(text_lower: Column, term: str) -> Column:
     """Plain term: case-folded substring.  Term with '*': the term (not
@@ -80,12 +78,9 @@ def aspect_vectors(spark: SparkSession, lexicon: dict = DEFAULT_LEXICON, encoder
                  F.count(F.lit(1)).alias("n_terms")))
 
 
-def collect_vectors(vectors: DataFrame, max_rows: int = MAX_ASPECT_VECTORS) -> dict[str, list[float]]:
-    """Small per-aspect vector table → dict, refusing anything above the bound."""
-    rows = vectors.select("aspect", "vector").limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} aspect vectors; refusing to inline them")
-    return {r["aspect"]: [float(x) for x in r["vector"]] for r in rows}
+def collect_vectors(vectors: DataFrame) -> dict[str, list[float]]:
+    """Per-aspect vector table → dict: one row for each aspect of the caller's lexicon."""
+    return {r["aspect"]: [float(x) for x in r["vector"]] for r in vectors.select("aspect", "vector").collect()}
 
 
 def _vec_lit(v: list[float]) -> Column:

@@ -453,15 +453,14 @@ def granger_causality(df: DataFrame, y: str, x: str, group_cols: list[str] | Non
     return out.drop("_all") if not groups else out
 
 
-def poisson_thresholds(cap: int = 16) -> list[float]:
-    """P(X <= k) for Poisson(1), k = 0..cap-1: a uniform u maps to the number of
-    thresholds it reaches (its inverse CDF).  The uniform has a 1e-6 grid and
-    P(X <= 9) already exceeds 1 - 1e-6, so 16 thresholds make the weights exact
-    (no truncation of the Poisson tail)."""
-    out, cdf = [], 0.0
-    for k in range(cap):
-        cdf += math.exp(-1) / math.factorial(k)
+def poisson_thresholds() -> list[float]:
+    """P(X <= k) for Poisson(1), k = 0, 1, ... until it is 1.0 in double: a uniform u
+    maps to the number of thresholds it reaches (its inverse CDF)."""
+    out, cdf, k = [], math.exp(-1), 0
+    while cdf < 1.0 and (not out or cdf > out[-1]):
         out.append(cdf)
+        k += 1
+        cdf += math.exp(-1) / math.factorial(k)
     return out
 
 
@@ -475,7 +474,7 @@ def cluster_bootstrap(df: DataFrame, cluster: str, value: str, replicates: int =
            .agg(F.sum(value).alias("_s"), F.count(F.lit(1)).alias("_n")))
     rep = per.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     key = F.concat_ws("|", F.col(cluster).cast("string"), F.col("replicate").cast("string"), F.lit(str(seed)))
-    u = F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint"), F.lit(1000000)) / 1000000.0
+    u = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(float(2**52))
     wgt = F.lit(0)
     for t in poisson_thresholds():
         wgt = wgt + F.when(u >= F.lit(t), 1).otherwise(0)

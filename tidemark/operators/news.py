@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.fixed import (MAX_ARTICLES_PER_SOURCE, NEGATIVE_KEYWORDS,
+from tidemark.functions.fixed import (NEGATIVE_KEYWORDS,
                                       POSITIVE_KEYWORDS, TARGET_TICKERS)
 from tidemark.functions.text import NON_WORD, concat_text, count_contained
 
@@ -31,7 +31,7 @@ def first_seen(df: DataFrame, key: str = "url_hash",
     return best.select(*[F.col(f"_r.{c}").alias(c) if c != key else F.col(key) for c in df.columns])
 
 
-def cap_per_source(df: DataFrame, n: int = MAX_ARTICLES_PER_SOURCE, source_col: str = "source",
+def cap_per_source(df: DataFrame, n: int, source_col: str = "source",
                    order: tuple = ("feed_pos", "url_hash")) -> DataFrame:
     """First ``n`` rows of each source in feed order.
 

@@ -128,22 +128,18 @@ def missing_tickers(requested: DataFrame, found: DataFrame, key: str = "ticker")
     return requested.select(key).distinct().join(found.select(key), key, "left_anti")
 
 
-SEQ_SPAN = 10**12   # trade sequence numbers must lie in [0, SEQ_SPAN)
+SEQ_SPAN = 2 * 10**19   # wider than all bigints; micros (below 2.5e17) times it stays under 10^38
 
 
 def trade_order_key(ts: Column, seq: Column) -> Column:
     """(timestamp, sequence) packed into one exact ``decimal(38,0)``:
-    micros * SEQ_SPAN + seq orders exactly like the pair.  A struct key would
-    give ``min_by``/``max_by`` a non-fixed-width buffer and force a sort-based
-    aggregate (sorting every trade before the map-side combine); the decimal
-    keeps them in the hash aggregate.  A sequence outside the span fails the
-    task rather than mis-ordering silently."""
+    micros * SEQ_SPAN + seq orders exactly like the pair, for every bigint
+    sequence.  A struct key would give ``min_by``/``max_by`` a non-fixed-width
+    buffer and force a sort-based aggregate (sorting every trade before the
+    map-side combine); the decimal keeps them in the hash aggregate."""
     dec = "decimal(38,0)"
-    micros = F.unix_micros(ts.cast("timestamp")).cast(dec)
-    ok = (seq >= 0) & (seq < F.lit(SEQ_SPAN))
-    key = (micros * F.lit(SEQ_SPAN).cast(dec) + seq.cast(dec)).cast(dec)
-    return F.when(ok | seq.isNull(), key).otherwise(
-        F.raise_error(F.lit(f"trade sequence outside [0, {SEQ_SPAN})")).cast(dec))
+    micros = F.unix_micros(ts.cast("timestamp")).cast("decimal(18,0)")
+    return (micros * F.lit(str(SEQ_SPAN)).cast("decimal(20,0)")).cast(dec) + seq.cast("decimal(19,0)").cast(dec)
 
 
 def bars_from_trades(trades: DataFrame, ticker: Column, ts: Column, price: Column,

@@ -4,98 +4,70 @@ Spark's exact ``percentile`` / ``median`` aggregates merge every distinct
 value of a group into one buffer, so a global quantile (or a date holding a
 third of all rows) lands whole in one task.  ``exact_quantiles`` gives the same
 answer (linear interpolation between the order statistics at floor/ceil of
-q·(n−1)) by histogram bisection instead: every round is a partial aggregate of
-bucket counts, and only a range holding at most ``small`` values is ranked
-row by row.
+q·(n−1)) by radix selection on the order-preserving 64-bit pattern of the
+double: every round is a partial aggregate of at most 1,024 bucket counts and
+fixes ten more bits, so seven rounds end in single values for any data.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage
 
+#: Right shifts that leave the leading 10, 20, ... 60 and at last all 64 bits.
+SHIFTS = (54, 44, 34, 24, 14, 4, 0)
 
-def exact_quantiles(df: DataFrame, value: str, probs: list[float], group_cols=(),
-                    buckets: int = 1024, small: int = 4096, max_rounds: int = 64) -> DataFrame:
+
+def ordered_bits(x: Column) -> Column:
+    """Bigint that orders like the double: its bit pattern, with the magnitude bits
+    of negative numbers flipped (-0.0 counts as 0.0)."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), x + F.lit(0.0)).cast("bigint")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit(2**63 - 1))).otherwise(bits)
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: list[float], group_cols=()) -> DataFrame:
     """Per group and probability: the exact quantile of the non-null,
     non-NaN values of ``value``.  Output: group columns, ``prob``, ``quantile``
     (groups without values are absent).
 
-    Each target order statistic keeps a value range [lo, hi] known to contain
-    it and the count of values below lo.  A round joins the rows to the (small)
-    table of open ranges on the group keys, counts them in ``buckets``
-    equal-width buckets (partial aggregation: a hot group costs one row per
-    bucket per map task), and narrows each range to the bucket holding its
-    rank.  A range of one distinct value is final; a range of at most ``small``
-    values is ranked exactly with a window bounded by ``small``.  The input
-    pairs are checkpointed once and the small state table each round, into
-    the shared folder."""
+    Each target order statistic keeps the leading bits known to be its own and
+    the count of values below them.  A round joins the rows to the (small)
+    table of open targets on the group keys, counts the rows with the same
+    leading bits by the next ten (partial aggregation: a hot group costs one row
+    per bucket per map task) and keeps the bucket that holds the rank.  A bucket
+    with one distinct value is final.  The (group, value) pairs are
+    checkpointed once and the small state table each round, into the shared
+    folder."""
     groups = list(group_cols) or ["_all"]
     src = df if group_cols else df.withColumn("_all", F.lit(0))
-    # the (group, value) pairs are checkpointed once: every round rescans this
-    # narrow table instead of recomputing whatever produced the values
-    data = cut_lineage(src.select(*groups, F.col(value).cast("double").alias("_x"))
-                       .filter(F.col("_x").isNotNull() & ~F.isnan(F.col("_x"))))
-    inf = float("inf")
-    finite = (F.col("_x") > F.lit(-inf)) & (F.col("_x") < F.lit(inf))
-    stats = data.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.count(F.when(F.col("_x") == F.lit(-inf), 1)).alias("_nneg"),
-        F.count(F.when(F.col("_x") == F.lit(inf), 1)).alias("_npos"),
-        F.min(F.when(finite, F.col("_x"))).alias("_lo"), F.max(F.when(finite, F.col("_x"))).alias("_hi"))
+    x = F.col(value).cast("double")
+    data = cut_lineage(src.select(*groups, x.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan(F.col("_x")))
+                       .withColumn("_k", ordered_bits(F.col("_x"))))
     qs = F.array(*[F.lit(float(q)) for q in probs])
-    targets = (stats.select(*groups, "_n", "_nneg", "_npos", "_lo", "_hi", F.posexplode(qs).alias("_i", "_q"))
-               .withColumn("_h", F.col("_q") * (F.col("_n") - 1)))
-    targets = cut_lineage(targets)
-    every = (targets.select(*groups, "_nneg", "_npos", "_n", "_lo", "_hi",
-                            F.explode(F.array(F.floor("_h"), F.ceil("_h"))).alias("_r")).distinct())
-    # order statistics inside the -inf / +inf blocks are known from the counts;
-    # the bisection runs on the finite values (ranks offset by the -inf block)
-    neg = F.col("_r") < F.col("_nneg")
-    pos = F.col("_r") >= F.col("_n") - F.col("_npos")
-    infinite = every.filter(neg | pos).select(
-        *groups, "_r", F.when(neg, F.lit(-inf)).otherwise(F.lit(inf)).alias("_v"))
-    ranks = every.filter(~neg & ~pos).select(*groups, "_r", "_lo", "_hi",
-                                             F.col("_nneg").cast("long").alias("_below"))
-    data = data.filter(finite)
-
-    def in_range(frame):
-        return (data.join(frame, groups)
-                .filter((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))))
-
-    def rank_exactly(frame):
-        w = Window.partitionBy(*groups, "_r").orderBy("_x")
-        pos = F.row_number().over(w) - 1 + F.col("_below")
-        return (in_range(frame).withColumn("_pos", pos).filter(F.col("_pos") == F.col("_r"))
-                .select(*groups, "_r", F.col("_x").alias("_v")))
-
-    found = [infinite]
-    state = cut_lineage(ranks)
-    for _ in range(max_rounds):
-        found.append(state.filter(F.col("_lo") == F.col("_hi")).select(*groups, "_r", F.col("_lo").alias("_v")))
-        active = state.filter(F.col("_lo") < F.col("_hi"))
-        if active.isEmpty():
-            state = None
-            break
-        width = F.try_divide(F.col("_hi") - F.col("_lo"), F.lit(float(buckets)))
-        b = F.coalesce(F.least(F.floor(F.try_divide(F.col("_x") - F.col("_lo"), width)),
-                               F.lit(buckets - 1)), F.lit(0)).cast("int")
-        hist = (in_range(active).groupBy(*groups, "_r", "_below", b.alias("_b"))
-                .agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_bmin"), F.max("_x").alias("_bmax")))
+    targets = cut_lineage(
+        data.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+        .select(*groups, "_n", F.posexplode(qs).alias("_i", "_q"))
+        .withColumn("_h", F.col("_q") * (F.col("_n") - 1)))
+    state = (targets.select(*groups, F.explode(F.array(F.floor("_h"), F.ceil("_h"))).alias("_r")).distinct()
+             .withColumn("_below", F.lit(0).cast("bigint")))
+    found = []
+    for at, shift in enumerate(SHIFTS):
+        rows = data.join(state, groups)
+        if at:
+            rows = rows.filter(F.shiftright("_k", SHIFTS[at - 1]) == F.col("_p"))
+        hist = (rows.groupBy(*groups, "_r", "_below", F.shiftright("_k", shift).alias("_b"))
+                .agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")))
         w = Window.partitionBy(*groups, "_r").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
         hist = hist.withColumn("_before", F.col("_below") + F.sum("_c").over(w) - F.col("_c"))
-        nxt = (hist.filter((F.col("_before") <= F.col("_r")) & (F.col("_r") < F.col("_before") + F.col("_c")))
-               .select(*groups, "_r", F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"),
-                       F.col("_before").alias("_below"), F.col("_c").alias("_cnt")))
-        nxt = cut_lineage(nxt)
-        few = (F.col("_cnt") <= small) & (F.col("_lo") < F.col("_hi"))
-        found.append(rank_exactly(nxt.filter(few)))
-        state = nxt.filter(~few).drop("_cnt")
-    if state is not None:   # ranges that never narrowed (extreme spreads): rank what is left
-        found.append(state.filter(F.col("_lo") == F.col("_hi")).select(*groups, "_r", F.col("_lo").alias("_v")))
-        found.append(rank_exactly(state.filter(F.col("_lo") < F.col("_hi"))))
+        hit = cut_lineage(
+            hist.filter((F.col("_before") <= F.col("_r")) & (F.col("_r") < F.col("_before") + F.col("_c")))
+            .select(*groups, "_r", F.col("_before").alias("_below"), F.col("_b").alias("_p"), "_lo", "_hi"))
+        found.append(hit.filter(F.col("_lo") == F.col("_hi")).select(*groups, "_r", F.col("_lo").alias("_v")))
+        state = hit.filter(F.col("_lo") < F.col("_hi")).drop("_lo", "_hi")
+        if state.isEmpty():
+            break
     values = found[0]
     for f in found[1:]:
         values = values.unionByName(f)

@@ -55,25 +55,12 @@ DAYS_PER_STEP = 3
 NEWS_EPOCH = "2024-01-01 00:00:00"
 
 
-# unique key per table, used to spread a scan with too few splits
-TABLE_KEYS = {"documents": "doc_id", "pages": "page_id", "lineitem": "l_orderkey",
-              "events": "event_id", "orders": "o_orderkey", "embeddings": "vec_id",
-              "conversations": "conv_id", "benchmark": "item_id"}
-
-
-def spread(df: DataFrame, key: str | None) -> DataFrame:
-    """Hash-repartition a scan that has fewer splits than the cluster has task
-    slots (e.g. one large row group), so CPU-heavy text work uses every core.
-    On a real cluster scans have many splits and this is a no-op."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if key is None or df.rdd.getNumPartitions() >= slots:
-        return df
-    return df.repartition(slots, key)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as stored.  ``tidemark.input.partitions`` may ask for so many partitions
+    of it, for files of one row group that a scan cannot split (the benchmark's)."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, TABLE_KEYS.get(name))
+    wanted = spark.conf.get("tidemark.input.partitions", None)
+    return df.repartition(int(wanted)) if wanted else df
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,10 +260,7 @@ def _expanded(spark, d):
                          .alias("term")).distinct())
     vocab = NV.encode(vocab, "term", dim=DIM, out="vector")
     sv = A.seed_vectors(spark, DEFAULT_LEXICON, dim=DIM)
-    rows = sv.limit(A.MAX_ASPECT_VECTORS + 1).collect()
-    if len(rows) > A.MAX_ASPECT_VECTORS:
-        raise ValueError("lexicon too large to inline")
-    seeds = {(r["aspect"], r["term"]): list(r["vector"]) for r in rows}
+    seeds = {(r["aspect"], r["term"]): list(r["vector"]) for r in sv.collect()}   # one per term of the lexicon
     return A.expand_lexicon(vocab, DEFAULT_LEXICON, seeds)
 
 

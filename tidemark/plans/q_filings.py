@@ -6,7 +6,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.fixed import FILING_URL_BASE, SECTION_ITEMS, TARGET_TICKERS
+from tidemark.functions.fixed import FILING_URL_BASE, MAX_ARTICLES_PER_SOURCE, SECTION_ITEMS, TARGET_TICKERS
 from tidemark.functions.text import collapse_ws
 from tidemark.operators import filings as FI
 from tidemark.operators import news as N
@@ -126,7 +126,7 @@ WHERE published_date >= TIMESTAMP '{NOW}' - INTERVAL {DAYS_BACK} DAY""")
 def news_dedupe_capped(spark, d):
     """First article per URL, first 50 per source in feed order, then recency."""
     n = N.with_url_hash(I.news(spark, d))
-    n = N.cap_per_source(N.first_seen(n), 50)
+    n = N.cap_per_source(N.first_seen(n), MAX_ARTICLES_PER_SOURCE)
     n = N.recent(n, NOW, DAYS_BACK)
     return n.select("url_hash", "doc_id", "source", "feed_pos", "published_date")
 

@@ -306,8 +306,8 @@ def _poisson_case(u: str) -> str:
 @query("cluster_bootstrap", f"""{BF_SQL},
 per AS (SELECT ticker, sum(return_1d_fwd) AS s, count(*) AS n FROM bf WHERE return_1d_fwd IS NOT NULL GROUP BY ticker),
 rep AS (SELECT ticker, s, n, r AS replicate,
-               (('0x' || substr(md5(ticker || '|' || CAST(r AS VARCHAR) || '|{BOOT_SEED}'), 1, 8))::BIGINT % 1000000)
-               / 1000000.0 AS u
+               (('0x' || substr(md5(ticker || '|' || CAST(r AS VARCHAR) || '|{BOOT_SEED}'), 1, 13))::BIGINT)::DOUBLE
+               / {float(2**52)!r} AS u
         FROM per, range(1, {B + 1}) t(r)),
 w AS (SELECT replicate, ({_poisson_case('u')}) AS wt, s, n FROM rep),
 st AS (SELECT replicate, CASE WHEN sum(wt * n) = 0 THEN NULL ELSE sum(wt * s) / sum(wt * n) END AS stat

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,19 +41,27 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) a private folder is created and
-    registered; on a cluster the configured shared location is always used.
+    Only a local master may go without: a private folder is created and registered
+    then.  On a cluster a missing setting is an error, as executors could not see
+    each other's files.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="tidemark-ckpt-")
+        configured = private_folder(spark.sparkContext.master)
     spark.sparkContext.setCheckpointDir(configured)
     return spark.sparkContext.getCheckpointDir() or configured
 
 
+def private_folder(master: str) -> str:
+    """A machine-local folder, for a master whose executors run in this process only."""
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tidemark-ckpt-")
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory (never a
     machine-local path on a cluster)."""
@@ -77,14 +86,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     finally:
         held.unpersist()
 
-
-def bounded_broadcast_rows(df: DataFrame, max_rows: int) -> DataFrame:
-    """Return ``df`` marked for broadcast only if it provably has <= max_rows rows.
-
-    The count runs on the (small) frame itself; above the bound the frame is
-    returned unmarked and the planner falls back to a shuffle join.
-    """
-    from pyspark.sql import functions as F
-
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
