@@ -12,7 +12,8 @@ reaches the threshold, whether or not that line is itself removed.
 3. Two classes can only match if they share a word among their rarest words.  Each
    class posts that prefix (as a probe the words that a partner of any size must
    meet, as an index entry the fewer that a partner of its size or longer must meet);
-   the join keeps pairs that pass the length and the positional filter.
+   the join keeps pairs that pass the length and positional filters and whose prefixes do
+   not already lack too many words of each other.
 4. The words of the remaining pairs are fetched from the texts and compared whole.
 
 Words are told apart by 56 bits of their hash within a rarity rank.
@@ -36,6 +37,10 @@ BUCKETS = 1 << 16
 #: Sets of this size or less match only if they are equal, below the threshold's resolution.
 ONLY_EQUAL = OVER - 1
 
+#: Documents whose lines are compared that are broadcast, so that no text is shuffled for them; more are
+#: joined by a shuffle.
+BROADCAST_DOCS = 200_000
+
 _SHORT = r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){0,%d}+[\x20\x09-\x0D]*+$" % (MIN_WORDS - 1)
 
 
@@ -69,7 +74,7 @@ def word_keys(line: Column, ranks: bytes) -> Column:
     key = F.transform(hashed, lambda h: F.shiftleft(
         F.ascii(F.substring(table, _bucket(h) + 1, F.lit(1)).cast("string")).cast("bigint"), 56).bitwiseOR(
         F.shiftrightunsigned(h, 8)))
-    return F.array_sort(F.array_distinct(key))
+    return F.sort_array(F.array_distinct(key))
 
 
 def _prefix(n: Column) -> Column:
@@ -84,20 +89,33 @@ def _numbered_lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("no", "line")).where(~is_short(F.col("line")))
 
 
+def _bits(prefix: Column) -> Column:
+    """64-bit signature of the words of a prefix."""
+    return F.aggregate(prefix, F.lit(0).cast("bigint"), lambda bits, w: bits.bitwiseOR(
+        F.shiftleft(F.lit(1).cast("bigint"), w.bitwiseAND(63))))
+
+
 def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """(doc, no, other_doc, other_no): a class and an earlier one that pass the filters."""
-    placed = classes.where(F.col("n") > ONLY_EQUAL).select("doc", "no", "n", F.posexplode("prefix").alias("at", "word"))
+    """(doc, no, other_doc, other_no): a class and an earlier one that pass the filters.
+
+    ``most`` is what two sets can still share from a common word on.  Of the two
+    prefixes, the one that ends earlier lies whole within the order range of the other:
+    its words that the other's signature lacks are not in the other set at all."""
+    placed = classes.where(F.col("n") > ONLY_EQUAL).select(
+        "doc", "no", "n", _bits(F.col("prefix")).alias("bits"), F.element_at("prefix", -1).alias("last"),
+        F.posexplode("prefix").alias("at", "word"))
     x = placed.alias("x")
     y = placed.where(F.col("at") < _index_prefix(F.col("n"))).alias("y")
 
-    def pairs(short: str, long: str) -> Column:
-        """The shorter (or equal) side is the index entry; what the rest can still share suffices."""
-        most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-        return ((F.col(f"{short}.n") <= F.col(f"{long}.n")) & (F.col(f"{short}.n") * UNDER >= F.col(f"{long}.n") * OVER)
-                & (most * (OVER + UNDER) >= (F.col("x.n") + F.col("y.n")) * OVER))
-
+    most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    lacks = F.when(F.col("x.last") <= F.col("y.last"),
+                   F.col("x.n") - F.bit_count(F.col("x.bits").bitwiseAND(F.bitwise_not("y.bits")))).otherwise(
+        F.col("y.n") - F.bit_count(F.col("y.bits").bitwiseAND(F.bitwise_not("x.bits"))))
+    # the index entry is the shorter (or equal) side
+    lengths = (F.col("y.n") <= F.col("x.n")) & (F.col("y.n") * UNDER >= F.col("x.n") * OVER)
+    enough = F.least(most, lacks) * (OVER + UNDER) >= (F.col("x.n") + F.col("y.n")) * OVER
     differ = (F.col("x.doc") != F.col("y.doc")) | (F.col("x.no") != F.col("y.no"))
-    met = x.join(y, (F.col("x.word") == F.col("y.word")) & differ & pairs("y", "x"))
+    met = x.join(y, (F.col("x.word") == F.col("y.word")) & differ & lengths & enough)
     first = F.struct(F.col("x.doc"), F.col("x.no")) < F.struct(F.col("y.doc"), F.col("y.no"))
     return met.select(
         F.when(first, F.col("y.doc")).otherwise(F.col("x.doc")).alias("doc"),
@@ -123,7 +141,9 @@ def kept_lines(docs: DataFrame) -> DataFrame:
 
     pairs = cut_lineage(candidate_pairs(classes))
     ends = pairs.select("doc", "no").union(pairs.select("other_doc", "other_no")).distinct()
-    wanted = ends.groupBy("doc").agg(F.collect_list("no").alias("wanted"))        # lines of one document
+    wanted = cut_lineage(ends.groupBy("doc").agg(F.collect_list("no").alias("wanted")))     # lines of one document
+    if wanted.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS:
+        wanted = F.broadcast(wanted)
     fetched = docs.join(wanted, F.col("doc_id") == F.col("doc")).select(
         "doc_id", "wanted", F.posexplode(lines_of(F.col("text"))).alias("no", "line")).where(
         F.array_contains("wanted", F.col("no")))
