@@ -92,7 +92,7 @@ def _numbered_lines(docs: DataFrame) -> DataFrame:
 def _bits(prefix: Column) -> Column:
     """64-bit signature of the words of a prefix."""
     return F.aggregate(prefix, F.lit(0).cast("bigint"), lambda bits, w: bits.bitwiseOR(
-        F.shiftleft(F.lit(1).cast("bigint"), w.bitwiseAND(63))))
+        F.call_function("shiftleft", F.lit(1).cast("bigint"), w.bitwiseAND(63))))
 
 
 def candidate_pairs(classes: DataFrame) -> DataFrame:
