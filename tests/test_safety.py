@@ -121,3 +121,55 @@ def test_input_partitions_are_asked_for_not_guessed(spark):
         assert I.table(spark, SMOKE, "documents").rdd.getNumPartitions() == 3
     finally:
         spark.conf.unset("tidemark.input.partitions")
+
+
+def test_ranked_equals_window_functions(spark):
+    import random
+
+    from pyspark.sql import Window
+
+    from tidemark.operators.ranks import ntile, ranked
+
+    rng = random.Random(3)
+    rows = [("hot" if i % 3 else f"g{i % 5}", rng.randint(0, 50), i) for i in range(900)] + [(None, 1, 5000), (None, 0, 5001)]
+    df = spark.createDataFrame(rows, "g string, v int, k int")
+    w = Window.partitionBy("g").orderBy("v", "k")
+    want = {tuple(r) for r in df.select("g", "v", "k", F.row_number().over(w), F.count("k").over(Window.partitionBy("g")),
+                                        F.ntile(10).over(w)).collect()}
+    got = ranked(df, ["g"], [F.col("v"), F.col("k")]).withColumn("t", ntile(F.col("_rank"), F.col("_size"), 10))
+    assert {tuple(r) for r in got.select("g", "v", "k", "_rank", "_size", "t").collect()} == want
+
+
+def test_panel_with_several_factors_equals_dummies(spark):
+    import numpy as np
+
+    from tidemark.operators import models as M
+
+    rng = np.random.default_rng(5)
+    rows = [(f"f{e}", t, *map(float, rng.normal(size=2))) for e in range(7) for t in range(9) if rng.random() < 0.8]
+    rows = [(e, t, a * 1e-4, b * 1e3, 2e2 * a * 1e-4 - 3e-5 * b * 1e3 + 0.1 * t + float(rng.normal()) * 0.01) for e, t, a, b in rows]
+    df = spark.createDataFrame(rows, "ticker string, date int, a double, b double, y double")
+    fit = M.panel_fit(df, "y", ["a", "b"])
+    x = np.array([[r[2], r[3], *[r[0] == f"f{e}" for e in range(7)], *[r[1] == t for t in range(1, 9)]] for r in rows], float)
+    beta = np.linalg.lstsq(x, np.array([r[4] for r in rows]), rcond=None)[0]
+    assert np.allclose(fit["slopes"], beta[:2], rtol=1e-6) and fit["rank"] == 2 and fit["n_obs"] == len(rows)
+    frame = M.panel_coefficients(df, "y", ["a", "b"]).collect()
+    assert [r.term for r in frame] == ["a", "b"] and all(r.cluster_se > 0 for r in frame)
+    with pytest.raises(RuntimeError):
+        M.panel_fit(df, "y", ["a", "b"], tol=0.0, most_rounds=1)
+    assert M.panel_fit(df.limit(0), "y", ["a"])["n_obs"] == 0
+
+
+def test_ols_keeps_digits_and_names_bad_fits(spark):
+    import numpy as np
+
+    from tidemark.operators import models as M
+
+    rng = np.random.default_rng(1)
+    rows = [(1e8 + float(a), float(b), 3 * float(a) - 2 * float(b) + 5) for a, b in rng.normal(size=(200, 2))]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    model = M.fit_ols(df, ["a", "b"], "y")
+    assert np.allclose(model.coefficients[1:], [3, -2], rtol=1e-5)
+    for bad, features in ((df.limit(0), ["a", "b"]), (df.limit(0), ["a"]), (df.withColumn("a", F.lit(1.0)), ["a"])):
+        with pytest.raises(ValueError):
+            M.fit_ols(bad, features, "y")

@@ -333,7 +333,7 @@ def test_two_way_fixed_effects_match_dummy_regression(spark):
             x = float(rng.normal())
             rows.append((e, t, float(0.7 * x + fe + te + rng.normal(scale=0.3)), x))
     df = spark.createDataFrame(rows, "ticker string, date int, y double, x double")
-    got = M.panel_ols_fe(df, "y", "x", iterations=200, tol=1e-12).collect()[0]
+    got = M.panel_ols_fe(df, "y", "x", tol=1e-12).collect()[0]
     ents = sorted({r[0] for r in rows})
     times = sorted({r[1] for r in rows})
     dummies = np.array([[1.0 if r[0] == e else 0.0 for e in ents] + [1.0 if r[1] == t else 0.0 for t in times[1:]]

@@ -74,16 +74,30 @@ def bar_factors(bars: DataFrame) -> DataFrame:
     """Per bar: its return (the alignment target) and factors known at the
     previous close (momentum 20, volume ratio 20), plus the market return.
 
-    The market return is a per-date window rather than an aggregate joined
-    back, so the bars (and the trades under them) are computed once; a date
-    partition holds one row per firm."""
+    The market return is a partial aggregate per date joined back as a broadcast:
+    one row per trading day, bounded by the calendar, however many firms there are."""
     b = PR.calculate_returns(bars, "close", [1, 20])
     b = PR.technical_indicators(b)
     w = Window.partitionBy("ticker").orderBy("date")
     b = b.select("ticker", "date", "return_1d",
                  F.lag("return_20d").over(w).alias("momentum_20d"),
                  F.lag("volume_ratio").over(w).alias("volume_ratio"))
-    return b.withColumn("market_return", F.avg("return_1d").over(Window.partitionBy("date")))
+    market = b.groupBy("date").agg(F.avg("return_1d").alias("market_return"))
+    return b.join(F.broadcast(market), "date", "left")
+
+
+def attach_factors(panel: DataFrame, firm_factors: DataFrame | None = None, market_factors: DataFrame | None = None,
+                   key: str = "ticker", date_col: str = "date") -> DataFrame:
+    """Supplied factor tables merged onto a panel: ``firm_factors`` (size, book-to-market,
+    ...) by (ticker, date), ``market_factors`` by date (one row per date, bounded by the
+    calendar: broadcast).  Rows without a factor row keep NULLs; a key may occur once
+    in a factor table."""
+    out = panel
+    if firm_factors is not None:
+        out = out.join(firm_factors, [key, date_col], "left")
+    if market_factors is not None:
+        out = out.join(F.broadcast(market_factors), date_col, "left")
+    return out
 
 
 def paragraph_scores(texts: DataFrame, vectors: dict, lexicon: dict = DEFAULT_LEXICON,

@@ -10,11 +10,14 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.fixed import TRADING_DAYS_PER_YEAR
 from tidemark.operators.quantiles import exact_quantiles
+from tidemark.operators.ranks import ntile, ranked
+from tidemark.session import cut_lineage
 
 # ------------------------------------------------------------ describe / corr
 
@@ -116,19 +119,46 @@ def fit_ols(df: DataFrame, features: list[str], target: str) -> LinearModel:
 
     One regressor: the covariance closed form (``regr_slope`` / ``regr_intercept``
     aggregates, numerically the steadiest).  Several: one aggregate of
-    cross-products and a k×k solve on the driver."""
+    centred cross-products and a scaled k×k solve on the driver."""
+    if not features:
+        raise ValueError("no regressor")
     if len(features) == 1:
         x, y = features[0], target
         d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
         r = d.agg(F.regr_intercept(y, x).alias("a"), F.regr_slope(y, x).alias("b"),
                   F.regr_r2(y, x).alias("r2"), F.count(F.lit(1)).alias("n")).collect()[0]
-        return LinearModel(features, [float(r["a"]), float(r["b"])], int(r["n"]), float(r["r2"]))
-    m = moments(df, features, target)
-    beta = np.linalg.lstsq(m["xx"], m["xy"], rcond=None)[0]
-    sse = m["yy"] - 2 * beta @ m["xy"] + beta @ m["xx"] @ beta
-    sst = m["yy"] - (m["sy"] ** 2) / m["n"] if m["n"] else float("nan")
-    r2 = 1 - sse / sst if sst else float("nan")
-    return LinearModel(features, [float(b) for b in beta], int(m["n"]), float(r2))
+        if r["b"] is None:     # no rows, or a regressor without variance
+            raise ValueError(f"{x} does not vary over the {r['n']} complete rows")
+        return LinearModel(features, [float(r["a"]), float(r["b"])], int(r["n"]),
+                           float("nan") if r["r2"] is None else float(r["r2"]))
+    m = centred_moments(df, features, target)
+    if not m["n"]:
+        raise ValueError("no complete rows to fit")
+    scale = np.sqrt(np.maximum(np.diag(m["xx"]), 0.0))
+    scale[scale == 0] = 1.0
+    slopes = np.linalg.lstsq(m["xx"] / np.outer(scale, scale), m["xy"] / scale, rcond=None)[0] / scale
+    sse = m["yy"] - 2 * slopes @ m["xy"] + slopes @ m["xx"] @ slopes
+    r2 = 1 - sse / m["yy"] if m["yy"] else float("nan")
+    return LinearModel(features, [float(m["my"] - slopes @ m["mx"]), *map(float, slopes)], int(m["n"]), float(r2))
+
+
+def centred_moments(df: DataFrame, features: list[str], target: str) -> dict:
+    """n, means and centred cross products of complete rows: one aggregate for the
+    means, one for the products about them (no digits are lost to large means)."""
+    names = [target, *features]
+    complete = F.lit(True)
+    for c in names:
+        complete = complete & F.col(c).isNotNull()
+    d = df.filter(complete).select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)])
+    first = d.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"v{i}").alias(f"m{i}") for i in range(len(names))]).collect()[0]
+    k = len(names)
+    if not first["n"]:
+        return {"n": 0}
+    mean = [float(first[f"m{i}"]) for i in range(k)]
+    r = d.agg(*[F.sum((F.col(f"v{i}") - mean[i]) * (F.col(f"v{j}") - mean[j])).alias(f"c{i}_{j}")
+                for i in range(k) for j in range(i, k)]).collect()[0]
+    c = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+    return {"n": first["n"], "mx": np.array(mean[1:]), "my": mean[0], "xx": c[1:, 1:], "xy": c[1:, 0], "yy": c[0, 0]}
 
 
 def coefficient_frame(spark, model: LinearModel) -> DataFrame:
@@ -207,22 +237,20 @@ def performance_metrics(series: DataFrame, ret: str, date_col: str = "date",
 def long_short_deciles(df: DataFrame, score: str, ret: str, date_col: str = "date",
                        key: str = "ticker", buckets: int = 10, market: bool = False) -> DataFrame:
     """Per date: mean return of the top score decile minus the bottom one.
-    Deciles are cross-sectional (window per date, bounded by the firms of a
-    day).  ``market`` adds the equal-weighted return of all the date's firms
-    (score or not) from the same per-date partitioning."""
-    d = df.filter(F.col(ret).isNotNull())
-    aggs = []
+    Deciles are cross-sectional; ranks come from ``ranked``, so the firms of a date
+    are spread over tasks.  ``market`` adds the equal-weighted return of all the
+    date's firms (score or not)."""
+    known = df.filter(F.col(ret).isNotNull())
+    d = ranked(known.filter(F.col(score).isNotNull()).select(date_col, key, score, ret),
+               [date_col], [F.col(score), F.col(key)])
+    d = d.withColumn("decile", ntile(F.col("_rank"), F.col("_size"), buckets))
+    out = (d.groupBy(date_col)
+           .agg(F.avg(F.when(F.col("decile") == buckets, F.col(ret))).alias("top"),
+                F.avg(F.when(F.col("decile") == 1, F.col(ret))).alias("bottom"),
+                F.count(F.lit(1)).alias("n_firms")))
     if market:
-        d = d.withColumn("_mkt", F.avg(ret).over(Window.partitionBy(date_col)))
-        aggs = [F.max("_mkt").alias("market")]
-    d = d.filter(F.col(score).isNotNull())
-    w = Window.partitionBy(date_col).orderBy(F.col(score), F.col(key))
-    d = d.withColumn("decile", F.ntile(buckets).over(w))
-    return (d.groupBy(date_col)
-            .agg(F.avg(F.when(F.col("decile") == buckets, F.col(ret))).alias("top"),
-                 F.avg(F.when(F.col("decile") == 1, F.col(ret))).alias("bottom"),
-                 F.count(F.lit(1)).alias("n_firms"), *aggs)
-            .withColumn("spread", F.col("top") - F.col("bottom")))
+        out = out.join(known.groupBy(date_col).agg(F.avg(ret).alias("market")), date_col, "left")
+    return out.withColumn("spread", F.col("top") - F.col("bottom"))
 
 
 def walk_forward(df: DataFrame, date_col: str = "date", train_frac: float = 0.7, n_folds: int = 5,
@@ -489,32 +517,146 @@ def cluster_bootstrap(df: DataFrame, cluster: str, value: str, replicates: int =
     return boot.select("mean", "boot_std", F.col("_ci")[0].alias("ci_low"), F.col("_ci")[1].alias("ci_high"))
 
 
-def panel_ols_fe(df: DataFrame, y: str, x: str, entity: str = "ticker", time: str = "date",
-                 iterations: int = 20, tol: float = 1e-10, checkpoint_every: int = 5) -> DataFrame:
-    """Two-way fixed-effects slope of ``y`` on ``x`` with an entity-clustered
-    standard error.  Unbalanced panels are demeaned by alternating projections
-    (entity, then time) until every entity mean is below ``tol``; lineage is
-    cut with a reliable checkpoint every few rounds (executor loss safe)."""
-    from tidemark.session import cut_lineage
-
-    d = df.filter(F.col(y).isNotNull() & F.col(x).isNotNull()).select(
-        entity, time, F.col(y).cast("double").alias("_y"), F.col(x).cast("double").alias("_x"))
-    # window means (one partition per firm, then per date; both bounded by the
-    # calendar / the universe) keep the plan linear in the iteration count
-    for i in range(iterations):
-        for g in (entity, time):
-            w = Window.partitionBy(g)
-            d = d.select(entity, time, (F.col("_y") - F.avg("_y").over(w)).alias("_y"),
-                         (F.col("_x") - F.avg("_x").over(w)).alias("_x"))
-        if (i + 1) % checkpoint_every == 0:
-            d = cut_lineage(d)
-        dev = (d.groupBy(entity).agg(F.greatest(F.abs(F.avg("_y")), F.abs(F.avg("_x"))).alias("a"))
-               .agg(F.max("a")).collect()[0][0])
-        if dev is None or dev < tol:
+def _demeaned(d: DataFrame, cols: list[str], entity: str, time: str) -> DataFrame:
+    """One round of alternating projections: entity means, then date means.  Both are
+    partial aggregates joined back; a date's firms never meet in one task."""
+    for g in (entity, time):
+        means = d.groupBy(F.col(g).alias("_g")).agg(*[F.avg(c).alias(f"_m{c}") for c in cols])
+        d = d.join(means, F.col(g).eqNullSafe(F.col("_g"))).select(
+            entity, time, *[(F.col(c) - F.col(f"_m{c}")).alias(c) for c in cols])
+    return d
+
+
+def panel_fit(df: DataFrame, y: str, xs: list[str], entity: str = "ticker", time: str = "date",
+              tol: float = 1e-10, most_rounds: int = 1000) -> dict:
+    """Two-way fixed-effects regression of ``y`` on several ``xs`` with
+    entity-clustered errors: slopes, errors, n_obs, n_entities, rank and rounds.
+
+    Unbalanced panels are demeaned by alternating projections until the largest
+    entity mean, relative to its variable's own spread, is below ``tol``; if
+    ``most_rounds`` do not reach it the fit fails instead of returning an
+    unconverged slope.  Every round ends in a reliable checkpoint.  The demeaned
+    variables are scaled before the k x k solve; collinear ones show in ``rank``."""
+    cols = [f"_v{i}" for i in range(len(xs) + 1)]
+    named = [F.col(c).cast("double").alias(n) for c, n in zip([y, *xs], cols)]
+    complete = F.lit(True)
+    for c in (y, *xs):
+        complete = complete & F.col(c).isNotNull()
+    d = cut_lineage(df.filter(complete).select(entity, time, *named))
+    spread = d.agg(*[F.stddev_pop(c).alias(c) for c in cols], F.count(F.lit(1)).alias("n"),
+                   F.count_distinct(entity).alias("e")).collect()[0]
+    if not spread["n"]:
+        return {"slopes": [None] * len(xs), "errors": [None] * len(xs), "n_obs": 0, "n_entities": 0, "rank": 0, "rounds": 0}
+    for rounds in range(1, most_rounds + 1):
+        d = cut_lineage(_demeaned(d, cols, entity, time))
+        worst = (d.groupBy(entity).agg(*[F.abs(F.avg(c)).alias(c) for c in cols])
+                 .agg(*[F.max(c).alias(c) for c in cols]).collect()[0])
+        if all((worst[c] or 0.0) <= tol * (spread[c] or 1.0) for c in cols):
             break
-    b = d.select(F.try_divide(F.sum(F.col("_x") * F.col("_y")), F.sum(F.col("_x") * F.col("_x")))).scalar()
-    res = d.withColumn("_e", F.col("_y") - b * F.col("_x"))
-    meat = res.groupBy(entity).agg(F.sum(F.col("_x") * F.col("_e")).alias("_g")).select(
-        F.sum(F.col("_g") * F.col("_g"))).scalar()
-    return res.agg(b.alias("slope"), (F.sqrt(meat) / F.sum(F.col("_x") * F.col("_x"))).alias("cluster_se"),
-                   F.count(F.lit(1)).alias("n_obs"), F.count_distinct(entity).alias("n_entities"))
+    else:
+        raise RuntimeError(f"fixed effects did not converge to {tol} in {most_rounds} rounds")
+    k = len(xs)
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    cross = d.agg(*[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"c{i}_{j}") for i, j in pairs]).collect()[0]
+    moment = np.array([[cross[f"c{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)])
+    scale = np.sqrt(np.maximum(np.diag(moment)[1:], 0.0))
+    scale[scale == 0] = 1.0
+    xx, xy = moment[1:, 1:] / np.outer(scale, scale), moment[1:, 0] / scale
+    rank = int(np.linalg.matrix_rank(xx))
+    inverse = np.linalg.pinv(xx)
+    slopes = inverse @ xy / scale
+    residual = F.col(cols[0])
+    for b, c in zip(slopes, cols[1:]):
+        residual = residual - F.lit(float(b)) * F.col(c)
+    scores = d.groupBy(entity).agg(*[F.sum(F.col(c) * residual).alias(c) for c in cols[1:]])
+    meat = scores.agg(*[F.sum(F.col(cols[i + 1]) * F.col(cols[j + 1])).alias(f"m{i}_{j}")
+                        for i in range(k) for j in range(i, k)]).collect()[0]
+    m = np.array([[meat[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / np.outer(scale, scale)
+    errors = np.sqrt(np.maximum(np.diag(inverse @ m @ inverse), 0.0)) / scale
+    return {"slopes": [float(b) for b in slopes], "errors": [float(e) for e in errors], "n_obs": int(spread["n"]),
+            "n_entities": int(spread["e"]), "rank": rank, "rounds": rounds}
+
+
+def panel_ols_fe(df: DataFrame, y: str, x: str, entity: str = "ticker", time: str = "date",
+                 tol: float = 1e-10) -> DataFrame:
+    """One regressor: (slope, cluster_se, n_obs, n_entities)."""
+    f = panel_fit(df, y, [x], entity, time, tol)
+    return df.sparkSession.createDataFrame([(f["slopes"][0], f["errors"][0], f["n_obs"], f["n_entities"])],
+                                           "slope double, cluster_se double, n_obs bigint, n_entities bigint")
+
+
+def panel_coefficients(df: DataFrame, y: str, xs: list[str], entity: str = "ticker", time: str = "date",
+                       tol: float = 1e-10) -> DataFrame:
+    """Several regressors: (term, slope, cluster_se, t, n_obs, n_entities), one row each."""
+    f = panel_fit(df, y, xs, entity, time, tol)
+    rows = [(x, b, e, b / e if e else None, f["n_obs"], f["n_entities"]) for x, b, e in zip(xs, f["slopes"], f["errors"])]
+    return df.sparkSession.createDataFrame(
+        rows, "term string, slope double, cluster_se double, t double, n_obs bigint, n_entities bigint")
+
+
+def fama_macbeth_multi(df: DataFrame, y: str, xs: list[str], date_col: str = "date") -> DataFrame:
+    """Fama-MacBeth on several regressors: per date a cross-sectional OLS, then the
+    mean, standard error and t of each coefficient over the dates.
+
+    A date is reduced to centred moments by one aggregate (its means are joined back
+    first); only that one row per date reaches the k x k solve.  Dates whose
+    regressors are collinear, or with too few firms, are left out."""
+    k = len(xs)
+    complete = F.col(date_col).isNotNull()
+    for c in (y, *xs):
+        complete = complete & F.col(c).isNotNull()
+    cols = [f"_v{i}" for i in range(k + 1)]
+    d = df.filter(complete).select(F.col(date_col).alias("_d"), *[F.col(c).cast("double").alias(n) for c, n in zip([y, *xs], cols)])
+    means = d.groupBy(F.col("_d").alias("_md")).agg(*[F.avg(c).alias(f"m{c}") for c in cols])
+    centred = d.join(means, F.col("_d") == F.col("_md"))
+    moments_ = centred.groupBy("_d").agg(
+        F.count(F.lit(1)).alias("n"), *[F.first(f"m{c}").alias(f"m{c}") for c in cols],
+        *[F.sum((F.col(cols[i]) - F.col(f"m{cols[i]}")) * (F.col(cols[j]) - F.col(f"m{cols[j]}"))).alias(f"c{i}_{j}")
+          for i in range(k + 1) for j in range(i, k + 1)])
+
+    def solve(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.to_dict("records"):
+                m = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)])
+                scale = np.sqrt(np.maximum(np.diag(m)[1:], 0.0))
+                if r["n"] <= k or (scale == 0).any():
+                    continue
+                xx = m[1:, 1:] / np.outer(scale, scale)
+                if np.linalg.matrix_rank(xx, tol=1e-9) < k:
+                    continue
+                b = np.linalg.solve(xx, m[1:, 0] / scale) / scale
+                rows.append((float(r[f"m{cols[0]}"] - sum(b[i] * r[f"m{cols[i + 1]}"] for i in range(k))), *map(float, b)))
+            yield pd.DataFrame(rows, columns=["b0", *[f"b{i + 1}" for i in range(k)]], dtype="float64")
+
+    per = moments_.mapInPandas(solve, ", ".join(f"b{i} double" for i in range(k + 1)))
+    long = per.select(F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"b{i}").alias("b"))
+                                          for i, t in enumerate(["intercept", *xs])])).alias("_r")).select("_r.*")
+    se = F.stddev_samp("b") / F.sqrt(F.count("b"))
+    return long.groupBy("term").agg(F.avg("b").alias("mean"), se.alias("se"), F.try_divide(F.avg("b"), se).alias("t"),
+                                    F.count("b").alias("n_dates"))
+
+
+def out_of_sample(df: DataFrame, features: list[str], target: str, folds: DataFrame, date_col: str = "date") -> DataFrame:
+    """Per fold of (fold, date, role): OLS on the fold's train dates, scored on its test
+    dates: (fold, n_train, n_test, mse, mae, hit_rate).
+
+    The folds table has a row per fold and date (calendar-sized) and is broadcast;
+    the fits are one pass of centred moments per fold."""
+    parts = F.broadcast(folds.select("fold", date_col, "role"))
+    complete = F.lit(True)
+    for c in (target, *features):
+        complete = complete & F.col(c).isNotNull()
+    placed = cut_lineage(df.filter(complete).select(date_col, target, *features).join(parts, date_col))
+    out = None
+    for fold in sorted(r["fold"] for r in folds.select("fold").distinct().collect()):
+        mine = placed.filter(F.col("fold") == fold)
+        train, test = mine.filter("role = 'train'"), mine.filter("role = 'test'")
+        model = fit_ols(train, features, target)
+        err = F.col(target) - F.col("_p")
+        row = (test.withColumn("_p", model.predict())
+               .agg(F.count(F.lit(1)).alias("n_test"), F.avg(err * err).alias("mse"), F.avg(F.abs(err)).alias("mae"),
+                    F.avg(F.when(F.signum(target) == F.signum("_p"), 1.0).otherwise(0.0)).alias("hit_rate"))
+               .select(F.lit(fold).cast("int").alias("fold"), F.lit(model.n).cast("bigint").alias("n_train"), "n_test", "mse", "mae", "hit_rate"))
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -19,6 +19,7 @@ from tidemark.functions.plan import materialize
 from tidemark.functions.text import fill_text, is_blank
 from tidemark.functions.vectors import cosine, vec_scale, vec_sum
 from tidemark.operators.quantiles import exact_quantiles
+from tidemark.operators.ranks import ranked
 
 EPOCH = date(1970, 1, 1)
 
@@ -175,14 +176,16 @@ def novelty_time_series(df: DataFrame, score_col: str = "novelty_score", window:
     return out
 
 
-def average_rank_percentile(value: Column, partition: list[str]) -> Column:
-    """pandas ``rank(pct=True) * 100``: average rank of ties among non-null
-    values (ascending) divided by the non-null count; NULL stays NULL."""
-    w = Window.partitionBy(*partition).orderBy(value.asc_nulls_last())
-    ties = Window.partitionBy(*partition, value)
-    avg_rank = F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
-    return F.when(value.isNotNull(),
-                  avg_rank / F.count(value).over(Window.partitionBy(*partition)) * 100.0)
+def rank_percentiles(df: DataFrame, value: str, group: str, out: str) -> DataFrame:
+    """pandas ``rank(pct=True) * 100`` inside each group: the average rank of ties among
+    the non-null values (ascending) divided by their count; NULL stays NULL.
+
+    A tie's average rank is the middle of its first and last row number, a partial
+    aggregate per (group, value), so neither a group nor a tie is gathered."""
+    known = df.filter(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).alias("_v"))
+    ties = (ranked(known, ["_g"], [F.col("_v")]).groupBy("_g", "_v")
+            .agg(((F.min("_rank") + F.max("_rank")) / 2.0 / F.max("_size") * 100.0).alias(out)))
+    return df.join(ties, F.col(group).eqNullSafe(F.col("_g")) & (F.col(value) == F.col("_v")), "left").drop("_g", "_v")
 
 
 def cross_sectional_novelty(df: DataFrame, on: date | None = None, score_col: str = "novelty_score",
@@ -190,7 +193,7 @@ def cross_sectional_novelty(df: DataFrame, on: date | None = None, score_col: st
     """Rows of one date (or every date at once) with the within-date percentile."""
     if on is not None:
         df = df.filter(F.col(date_col) == F.lit(on))
-    return df.withColumn("novelty_percentile", average_rank_percentile(F.col(score_col), [date_col]))
+    return rank_percentiles(df, score_col, date_col, "novelty_percentile")
 
 
 def cross_section_stats(df: DataFrame, score_col: str = "novelty_score", date_col: str = "date") -> DataFrame:

@@ -325,7 +325,7 @@ def panel_fixed_effects(spark, d):
     """Two-way (firm, date) fixed-effects slope of next-day return on 20-day
     momentum with firm-clustered error (iterative demeaning: rows-only check;
     unit-tested against a dense least-squares solve)."""
-    return rounded(M.panel_ols_fe(bar_features(spark, d), TARGET, "return_20d", iterations=10))
+    return rounded(M.panel_ols_fe(bar_features(spark, d), TARGET, "return_20d"))
 
 
 @query("ols_multi")
@@ -334,3 +334,61 @@ def ols_multi(spark, d):
     cross-products; unit-tested against numpy)."""
     model = M.fit_ols(bar_features(spark, d), FEATS, TARGET)
     return rounded(M.coefficient_frame(spark, model))
+
+
+@query("panel_multi_factor")
+def panel_multi_factor(spark, d):
+    """Two-way fixed effects of the next-day return on three regressors with
+    firm-clustered errors (iterative: no SQL form; unit-tested against dense
+    dummy-variable least squares)."""
+    return rounded(M.panel_coefficients(bar_features(spark, d), TARGET, ["return_1d", "return_20d", "volume_ratio"]), 9)
+
+
+@query("fama_macbeth_multi", f"""{BF_SQL},
+k AS (SELECT date, return_1d_fwd AS y, return_20d AS a, volume_ratio AS b FROM bf
+      WHERE return_1d_fwd IS NOT NULL AND return_20d IS NOT NULL AND volume_ratio IS NOT NULL),
+m AS (SELECT date, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS aa, var_pop(b) AS bb,
+             covar_pop(a, b) AS ab, covar_pop(y, a) AS ya, covar_pop(y, b) AS yb FROM k GROUP BY date),
+s AS (SELECT *, (ya * bb - yb * ab) / (aa * bb - ab * ab) AS s1, (yb * aa - ya * ab) / (aa * bb - ab * ab) AS s2
+      FROM m WHERE n > 2 AND aa > 0 AND bb > 0 AND 1 - ab * ab / (aa * bb) > 1e-9),
+long AS (SELECT 'intercept' AS term, my - s1 * ma - s2 * mb AS b FROM s
+         UNION ALL SELECT 'return_20d', s1 FROM s UNION ALL SELECT 'volume_ratio', s2 FROM s)
+SELECT term, round(avg(b), 8) AS mean, round(stddev_samp(b) / sqrt(count(b)), 8) AS se,
+       round(avg(b) / (stddev_samp(b) / sqrt(count(b))), 8) AS t, count(b) AS n_dates FROM long GROUP BY term""")
+def fama_macbeth_multi(spark, d):
+    """Fama-MacBeth of the next-day return on momentum and volume ratio."""
+    return rounded(M.fama_macbeth_multi(bar_features(spark, d), TARGET, ["return_20d", "volume_ratio"]), 8)
+
+
+@query("out_of_sample", f"""{BF_SQL},
+dd AS (SELECT DISTINCT date FROM clean),
+rk AS (SELECT date, dense_rank() OVER (ORDER BY date) AS r, (SELECT count(*) FROM dd) AS n FROM dd),
+fo AS (SELECT fold, date, CASE WHEN r > st AND r <= st + w THEN 'test' WHEN r <= st THEN 'train' END AS role
+       FROM (SELECT fold, date, r, floor(n * 0.7) + fold * ceil((n - floor(n * 0.7)) / 5.0) AS st,
+                    ceil((n - floor(n * 0.7)) / 5.0) AS w FROM rk, range(5) t(fold))),
+p AS (SELECT fo.fold, fo.role, bf.return_20d AS x, bf.return_1d_fwd AS y FROM bf JOIN fo USING (date)
+      WHERE role IS NOT NULL AND return_20d IS NOT NULL AND return_1d_fwd IS NOT NULL),
+f AS (SELECT fold, regr_intercept(y, x) AS a, regr_slope(y, x) AS b, count(*) AS n FROM p WHERE role = 'train' GROUP BY fold),
+e AS (SELECT p.fold, f.n, p.y, f.a + f.b * p.x AS h FROM p JOIN f USING (fold) WHERE p.role = 'test')
+SELECT CAST(fold AS INTEGER) AS fold, max(n) AS n_train, count(*) AS n_test, round(avg((y - h) * (y - h)), 10) AS mse,
+       round(avg(abs(y - h)), 10) AS mae, round(avg(CASE WHEN sign(y) = sign(h) THEN 1.0 ELSE 0.0 END), 10) AS hit_rate
+FROM e GROUP BY fold""")
+def out_of_sample(spark, d):
+    """Each walk-forward fold: fit on its train dates, score its test dates."""
+    folds = M.walk_forward(PR.clean_prices(I.bars_long(spark, d)), "date", 0.7, 5, 0)
+    return rounded(M.out_of_sample(bar_features(spark, d), ["return_20d"], TARGET, folds), 10)
+
+
+@query("factor_merge", f"""{BF_SQL},
+size AS (SELECT ticker, date, ln(close * volume) AS size FROM clean WHERE close * volume > 0),
+mk AS (SELECT date, avg(return_1d) AS mkt FROM bf GROUP BY date)
+SELECT bf.ticker, bf.date, round(bf.return_20d, 6) AS return_20d, round(s.size, 6) AS size, round(mk.mkt, 6) AS mkt
+FROM bf LEFT JOIN size s ON s.ticker = bf.ticker AND s.date = bf.date LEFT JOIN mk ON mk.date = bf.date""")
+def factor_merge(spark, d):
+    """Supplied factor tables on the firm-day panel: size by firm and date, the market by date."""
+    bars = PR.clean_prices(I.bars_long(spark, d))
+    bf = bar_features(spark, d).select("ticker", "date", "return_1d", "return_20d")
+    worth = F.col("close") * F.col("volume")
+    size = bars.filter(worth > 0).select("ticker", "date", F.log(worth).alias("size"))
+    market = bf.groupBy("date").agg(F.avg("return_1d").alias("mkt"))
+    return rounded(FE.attach_factors(bf.select("ticker", "date", "return_20d"), size, market))
