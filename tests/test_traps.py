@@ -201,9 +201,19 @@ def test_html_text_nodes_joined_without_separator_T16(spark):
             "<body><p>a<b>b</b></p><table><tr><td>x</td></tr></table><!-- c -->"
             "<p>&amp;&lt;x&gt; &quot;q&quot;  end</p></body></html>")
     df = spark.createDataFrame([(html,)], "html string")
-    fast = FI.clean_html(df, "html").collect()[0].text
-    exact = FI.clean_html(df, "html", exact=True).collect()[0].text
-    assert fast == exact == 'Tab&<x> "q" end'
+    assert FI.clean_html(df, "html").collect()[0].text == 'Tab&<x> "q" end'
+
+
+def test_html_tables_at_any_depth_and_every_reference(spark):
+    cases = [("a<table>OUT<table>IN</table>ER</table>b&#160;c&#8217;s &eacute;&copy &#x1F600;", "ab c’s é© 😀"),
+             ("x</table>y<TABLE\n z>q", "xy"), ("&amp;lt; &#0; &#xD800; &unknown; &AMP", "&lt; � � &unknown; &"),
+             ("<tablet>kept</tablet> a < b", "kept a < b"), ("", ""), (None, None),
+             ("<table>" * 40 + "deep" + "</table>" * 40 + "out", "out"), ("1<b>2</b>3<script>if(a<table)</script>4", "1234")]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i int, html string")
+    got = {r.i: r.text for r in FI.clean_html(df, "html").collect()}
+    assert got == {i: t for i, (_, t) in enumerate(cases)}
+    low = spark.createDataFrame([("A <Table>x<table>y</table>z</table>B Exhibit 99.1 c",)], "t string")
+    assert low.select(FI.strip_exhibits(F.col("t")).alias("t")).collect()[0].t == "a b c"
 
 
 def test_sections_stop_at_any_item_T17(spark):

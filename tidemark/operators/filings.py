@@ -116,72 +116,65 @@ def new_filings(index: DataFrame, stored: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- HTML → text
 
-_ENTITY_TABLE = [  # named entities decoded by the built-in path; &amp; last
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"),
-    ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"),
-    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
-    ("&amp;", "&"),
-]
+def drop_tables(c: Column) -> Column:
+    """Remove table subtrees at any nesting: the text is cut before each table tag, a
+    running depth follows opening and closing tags, and only parts at depth 0 stay.
+    A table that is never closed takes the rest with it; a stray closing tag goes alone."""
+    tag = r"(?i)(?=</?table[\s/>])"
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
 
+    def step(state: Column, part: Column) -> Column:
+        opens, closes = part.rlike(r"(?i)^<table[\s/>]"), part.rlike(r"(?i)^</table[\s/>]")
+        depth = (F.when(opens, state["depth"] + 1).when(closes, F.greatest(state["depth"] - 1, F.lit(0)))
+                 .otherwise(state["depth"]))
+        body = F.when(opens | closes, F.regexp_replace(part, r"^<[^>]*>?", "")).otherwise(part)
+        kept = F.when(depth == 0, F.concat(state["kept"], F.array(body))).otherwise(state["kept"])
+        return F.struct(depth.alias("depth"), kept.alias("kept"))
 
-def html_to_text(c: Column) -> Column:
-    """Built-in (JVM) path: drop script/style/table subtrees and comments,
-    remove tags without inserting separators, decode common entities,
-    collapse whitespace, strip."""
-    x = F.regexp_replace(c, r"(?is)<script\b[^>]*>.*?</script\s*>", "")
-    x = F.regexp_replace(x, r"(?is)<style\b[^>]*>.*?</style\s*>", "")
-    x = F.regexp_replace(x, r"(?s)<!--.*?-->", "")
-    x = F.regexp_replace(x, r"(?is)<table\b[^>]*>.*?</table\s*>", "")
-    x = F.regexp_replace(x, r"(?s)<[^>]*>", "")
-    for ent, ch in _ENTITY_TABLE:
-        x = F.replace(x, F.lit(ent), F.lit(ch))
-    return collapse_ws(x)
+    return F.aggregate(F.split(c, tag), start, step, lambda state: F.array_join(state["kept"], ""))
 
 
-def _html_text_exact(html: str | None) -> str:
-    """Exact path with the standard-library parser (entities, odd markup)."""
-    from html.parser import HTMLParser
+def _named_entities() -> Column:
+    """name (with its semicolon, if it has one) -> text, as a literal map."""
+    from html.entities import html5
 
-    class _Text(HTMLParser):
-        SKIP = {"script", "style", "table"}
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in sorted(html5.items()))), F.lit("\x01"), F.lit("\x02"))
 
-        def __init__(self):
-            super().__init__(convert_charrefs=True)
-            self.parts: list[str] = []
-            self.depth = 0
 
-        def handle_starttag(self, tag, attrs):
-            if tag in self.SKIP:
-                self.depth += 1
+def decode_entities(c: Column) -> Column:
+    """Decode numeric and named character references once (the result of one is not read
+    again); unknown names stay as they are, impossible code points become U+FFFD."""
+    names = _named_entities()
 
-        def handle_endtag(self, tag):
-            if tag in self.SKIP and self.depth:
-                self.depth -= 1
+    def part(s: Column) -> Column:
+        number = r"^&#(?:([0-9]{1,7})|[xX]([0-9a-fA-F]{1,6}));?"
+        dec, hexa = F.regexp_extract(s, number, 1), F.regexp_extract(s, number, 2)
+        code = F.when(dec != "", dec.cast("int")).when(hexa != "", F.conv(hexa, 16, 10).cast("int"))
+        real = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        name = F.regexp_extract(s, r"^&([A-Za-z][A-Za-z0-9]*;?)", 1)
+        known = F.try_element_at(names, name)
+        return (F.when(~s.startswith("&"), s)
+                .when(code.isNotNull(), F.concat(char, F.regexp_replace(s, number, "")))
+                .when(known.isNotNull(), F.concat(known, F.substr(s, F.length(name) + 2)))
+                .otherwise(s))
 
-        def handle_data(self, data):
-            if not self.depth:
-                self.parts.append(data)
+    return F.when(F.instr(c, "&") == 0, c).otherwise(F.array_join(F.transform(F.split(c, "(?=&)"), part), ""))
 
-    if not html:
-        return ""
-    p = _Text()
-    p.feed(html)
-    p.close()
-    return " ".join("".join(p.parts).split())
 
+def html_to_text(c: Column) -> Column:
+    """HTML → clean text in the JVM: drop script, style and table subtrees and comments,
+    remove tags without inserting separators, decode character references, collapse
+    whitespace (non-breaking spaces too), strip."""
+    x = F.regexp_replace(c, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
+    x = F.regexp_replace(x, r"(?s)<!--.*?-->", "")
+    x = F.regexp_replace(drop_tables(x), r"(?s)<[^>]*>", "")
+    return collapse_ws(F.replace(decode_entities(x), F.lit("\u00a0"), F.lit(" ")))
 
-def clean_html(df: DataFrame, col: str = "html", out: str = "text", exact: bool = False) -> DataFrame:
-    """HTML → clean text.  ``exact=True`` runs the standard-library parser in an
-    Arrow-batched pandas UDF (one parser per value, vectorised transfer)."""
-    if not exact:
-        return df.withColumn(out, html_to_text(F.col(col)))
-
-    @F.pandas_udf(T.StringType())
-    def _clean(s: pd.Series) -> pd.Series:
-        return s.map(_html_text_exact)
 
-    return df.withColumn(out, _clean(F.col(col)))
+def clean_html(df: DataFrame, col: str = "html", out: str = "text") -> DataFrame:
+    """HTML column → clean text column."""
+    return df.withColumn(out, html_to_text(F.col(col)))
 
 
 # ---------------------------------------------------------------- sections
@@ -260,8 +253,7 @@ def keep_language(df: DataFrame, lang: str = "en", lang_col: str | None = None,
 
 def strip_exhibits(c: Column) -> Column:
     """Lower-case, drop table subtrees and exhibit references."""
-    x = F.regexp_replace(F.lower(c), r"(?s)<table\b[^>]*>.*?</table\s*>", " ")
-    x = F.regexp_replace(x, r"exhibit\s+[0-9]+(\.[0-9]+)?", " ")
+    x = F.regexp_replace(drop_tables(F.lower(c)), r"exhibit\s+[0-9]+(\.[0-9]+)?", " ")
     return collapse_ws(x)
 
 

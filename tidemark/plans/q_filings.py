@@ -71,8 +71,8 @@ def _html_sql(x: str) -> str:
     y = f"regexp_replace({y}, '(?s)<!--.*?-->', '', 'g')"
     y = f"regexp_replace({y}, '(?is)<table\\b[^>]*>.*?</table\\s*>', '', 'g')"
     y = f"regexp_replace({y}, '(?s)<[^>]*>', '', 'g')"
-    for ent, ch in FI._ENTITY_TABLE:
-        y = f"replace({y}, {P.q(ent)}, {P.q(ch)})"
+    for name, ch in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        y = f"regexp_replace({y}, '&{name}(;|\\b)', {P.q(ch)}, 'g')"
     return P.collapse(y)
 
 
@@ -84,10 +84,14 @@ def clean_pages(spark, d):
     return FI.clean_html(I.table(spark, d, "pages"), "html", "text").select("page_id", "text")
 
 
-@query("clean_pages_exact", CLEAN_PAGES_SQL)
+@query("clean_pages_exact", f"""SELECT page_id, trim('a b' || chr(8217) || 'c' || chr(233) || ' 1<2 &zzz; ' || text) AS text
+FROM ({CLEAN_PAGES_SQL})""")
 def clean_pages_exact(spark, d):
-    """Standard-library HTML parser in an Arrow-batched UDF (exact entities)."""
-    return FI.clean_html(I.table(spark, d, "pages"), "html", "text", exact=True).select("page_id", "text")
+    """Pages behind nested tables and character references of every kind."""
+    head = ("a<TABLE x='1'><tr><td>OUT<table><tr><td>in</td></tr></table>ER</td></tr></TABLE >&#160;<i>b</i>&#8217;c"
+            "&#xE9; 1&lt;2 &zzz; ")
+    pages = I.table(spark, d, "pages").withColumn("html", F.concat(F.lit(head), F.col("html")))
+    return FI.clean_html(pages, "html", "text").select("page_id", "text")
 
 
 def _sections_sql():
