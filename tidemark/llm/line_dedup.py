@@ -10,9 +10,7 @@ reaches the threshold, whether or not that line is itself removed.
 2. Lines with equal sets form a class; all but its first line are removed.  Copies
    are counted by partial aggregates, so a line in a third of all documents is one class.
 3. Two classes can only match if they share a word among their rarest words.  Each
-   class posts that prefix (as a probe the words that a partner of any size must
-   meet, as an index entry the fewer that a partner of its size or longer must meet);
-   the join keeps pairs that pass the length and positional filters and whose prefixes do
+   class posts that prefix once; the join keeps pairs that pass the length and positional filters and whose prefixes do
    not already lack too many words of each other.
 4. The words of the remaining pairs are fetched from the texts and compared whole.
 
@@ -81,10 +79,6 @@ def _prefix(n: Column) -> Column:
     return n - F.ceil(n * OVER / UNDER).cast("int") + 1
 
 
-def _index_prefix(n: Column) -> Column:
-    return n - F.ceil(n * (2 * OVER) / (OVER + UNDER)).cast("int") + 1
-
-
 def _numbered_lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("no", "line")).where(~is_short(F.col("line")))
 
@@ -98,14 +92,16 @@ def _bits(prefix: Column) -> Column:
 def candidate_pairs(classes: DataFrame) -> DataFrame:
     """(doc, no, other_doc, other_no): a class and an earlier one that pass the filters.
 
-    ``most`` is what two sets can still share from a common word on.  Of the two
+    ``most`` is what two sets can still share from a common word on; as the shorter side
+    is y, it also leaves out y's words beyond its own, shorter index prefix (both sides
+    read one exchange, so that prefix is not cut off before).  Of the two
     prefixes, the one that ends earlier lies whole within the order range of the other:
     its words that the other's signature lacks are not in the other set at all."""
     placed = classes.where(F.col("n") > ONLY_EQUAL).select(
         "doc", "no", "n", _bits(F.col("prefix")).alias("bits"), F.element_at("prefix", -1).alias("last"),
         F.posexplode("prefix").alias("at", "word"))
     x = placed.alias("x")
-    y = placed.where(F.col("at") < _index_prefix(F.col("n"))).alias("y")
+    y = placed.alias("y")
 
     most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
     lacks = F.when(F.col("x.last") <= F.col("y.last"),
