@@ -423,3 +423,38 @@ def test_caller_models_plug_in_through_arrow_udfs(spark):
     assert {k: tuple(v) for k, v in plain.items()} == {k: tuple(v) for k, v in dedup.items()}
     enc = {r.id: list(r.embedding) for r in NV.encode(df, "text", encoder=pandas_encoder(load_encoder)).collect()}
     assert enc[1] == [13.0, 2.0] and enc[2] == [8.0, 1.0]
+
+
+def test_arguments_are_checked_and_passed_on(spark):
+    from tidemark.operators import aspects as A
+    from tidemark.operators import novelty as NV
+
+    for bad in ({"window_days": 0}, {"min_history": 0}, {"window_days": -3}):
+        with pytest.raises(ValueError):
+            NV.novelty(spark.createDataFrame([], "ticker string, date date, embedding array<double>"), **bad)
+    with pytest.raises(ValueError):
+        A.extract_aspects(F.col("t"), {"a": ["x"]}, threshold=1.5)
+    df = spark.createDataFrame([("a gain today",), ("gains against it",), ("risky",), ("éGain",)], "t string")
+    flags = A.keyword_flags(F.col("t"), {"g": ["gain"], "r": ["risk*"]}, whole_word=True)
+    got = [tuple(r) for r in df.select(flags["g"], flags["r"]).collect()]
+    assert got == [(True, False), (False, False), (False, True), (False, False)]
+    own = S.score_sentiment(df, "t", positive=["today"], negative=["against"])
+    assert [r.sentiment_label for r in own.collect()][:2] == [
+        r.sentiment_label for r in S.score_sentiment(spark.createDataFrame(
+            [("profit",), ("loss",)], "t string"), "t", positive=["profit"], negative=["loss"]).collect()]
+
+
+def test_a_text_the_model_fails_on_gets_the_neutral_row(spark):
+    from tidemark.functions.fixed import NEUTRAL_SCORES
+    from tidemark.functions.models import pandas_scorer
+
+    def load():
+        def model(texts):
+            if any("bad" in t for t in texts):
+                raise ValueError("cannot score")
+            return [{"positive": 0.7, "negative": 0.1, "neutral": 0.2} for _ in texts]
+        return model
+
+    df = spark.createDataFrame([(i, "bad one" if i == 3 else "fine") for i in range(8)], "i int, t string").coalesce(1)
+    got = {r.i: r.s.asDict() for r in df.select("i", pandas_scorer(load)(F.col("t")).alias("s")).collect()}
+    assert all((got[i]["positive"] == NEUTRAL_SCORES["positive"]) == (i == 3) for i in range(8))

@@ -58,6 +58,9 @@ NEUTRAL_SCORES = {"label": "neutral", "positive": 0.33, "negative": 0.33,
 # Filing items cut out of 8-K text.
 SECTION_ITEMS = ["1.01", "1.02", "2.02", "7.01", "8.01"]
 
+# Text of an item up to the next "Item <digit>" or the end; {item} is the escaped number.
+SECTION_PATTERN = r"(?is)Item\s+{item}[^0-9]*?(.*?)(?=Item\s+[0-9]|$)"
+
 # Prefix of filing URLs built from index file names.
 FILING_URL_BASE = "https://www.sec.gov/Archives"
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.fixed import NEGATIVE_KEYWORDS, POSITIVE_KEYWORDS
+from tidemark.functions.fixed import NEGATIVE_KEYWORDS, NEUTRAL_SCORES, POSITIVE_KEYWORDS
 from tidemark.functions.text import collapse_ws, count_contained, word_tokens
 
 CLASS_SCORES = T.StructType([
@@ -81,13 +81,23 @@ def pandas_scorer(load_model: Callable[[], Callable[[list[str]], list[dict]]]):
     """Turn a model factory into a Column -> struct(positive, negative, neutral) scorer.
 
     ``load_model()`` runs once per task; the returned callable receives a list of
-    texts (one Arrow batch) and returns one dict of class scores per text.
+    texts (one Arrow batch) and returns one dict of class scores per text.  If it
+    fails on a batch, the batch is scored text by text and a text on which it
+    fails again gets the fixed neutral row.
     """
+    def guarded(model, texts: list[str]) -> list[dict]:
+        try:
+            return model(texts)
+        except Exception:  # noqa: BLE001 - whatever a caller's model raises on one text
+            if len(texts) == 1:
+                return [dict(NEUTRAL_SCORES)]
+            return [row for t in texts for row in guarded(model, [t])]
+
     @F.pandas_udf(CLASS_SCORES)
     def _score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = load_model()
         for texts in batches:
-            rows = model(texts.fillna("").astype(str).tolist())
+            rows = guarded(model, texts.fillna("").astype(str).tolist())
             yield pd.DataFrame({k: [float(r.get(k, 0.0)) for r in rows]
                                 for k in ("positive", "negative", "neutral")})
 

@@ -35,10 +35,6 @@ def cosine(a, b) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
 
 
-def vec_add(a, b) -> Column:
-    return F.zip_with(as_double(a), as_double(b), lambda x, y: x + y)
-
-
 def vec_scale(a, s) -> Column:
     s = s if isinstance(s, Column) else F.lit(float(s))
     return F.transform(as_double(a), lambda x: x * s)
@@ -53,19 +49,6 @@ def vec_sum(list_col) -> Column:
                     lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y)))
 
 
-def vec_max(list_col) -> Column:
-    """Element-wise maximum of an array of vectors; NULL for an empty list."""
-    lst = F.transform(_c(list_col), lambda v: v.cast("array<double>"))
-    return F.when(
-        F.size(lst) > 0,
-        F.aggregate(lst, F.element_at(lst, 1),
-                    lambda acc, v: F.zip_with(acc, v, lambda x, y: F.greatest(x, y))))
-
-
-def zeros_like(v) -> Column:
-    return F.transform(as_double(v), lambda x: F.lit(0.0))
-
-
 def dot_const(v, const: list[float]) -> Column:
     """Dot product with a constant vector as plain arithmetic over the non-zero
     coefficients (whole-stage codegen, no lambda per row)."""

@@ -24,10 +24,14 @@ from tidemark.functions.text import fill_text, is_blank
 from tidemark.functions.vectors import cosine_const, norm_dim
 
 
-def term_match(text_lower: Column, term: str) -> Column:
+def term_match(text_lower: Column, term: str, whole_word: bool = False) -> Column:
     """Plain term: case-folded substring.  Term with '*': the term (not
     lower-cased) as a regex with '*' → '.*', searched anywhere; a trailing-only
-    wildcard without other regex characters reduces to a substring test."""
+    wildcard without other regex characters reduces to a substring test.
+    ``whole_word`` asks for word boundaries around the match instead."""
+    if whole_word:
+        inner = term.lower().replace("*", "\\w*") if "*" in term else re.escape(term.lower())
+        return text_lower.rlike(rf"(?U)(?<!\w)(?:{inner})(?!\w)")
     if "*" not in term:
         return F.instr(text_lower, F.lit(term.lower())) > 0
     stem = term.rstrip("*")
@@ -36,13 +40,14 @@ def term_match(text_lower: Column, term: str) -> Column:
     return text_lower.rlike(term.replace("*", ".*"))
 
 
-def keyword_flags(text: Column, lexicon: dict = DEFAULT_LEXICON, lowered: bool = False) -> dict[str, Column]:
+def keyword_flags(text: Column, lexicon: dict = DEFAULT_LEXICON, lowered: bool = False,
+                  whole_word: bool = False) -> dict[str, Column]:
     low = text if lowered else F.lower(fill_text(text))
     out = {}
     for aspect, terms in lexicon.items():
         cond = F.lit(False)
         for t in terms:
-            cond = cond | term_match(low, t)
+            cond = cond | term_match(low, t, whole_word)
         out[aspect] = cond
     return out
 
@@ -99,6 +104,8 @@ def extract_aspects(text: Column, lexicon: dict = DEFAULT_LEXICON, emb: Column |
     """map<aspect, score>: 1.0 for a keyword hit, the cosine for a semantic hit
     (>= threshold), the larger of the two when both; blank text → empty map.
     ``lowered`` may carry a materialised lower-cased text column."""
+    if not -1.0 <= threshold <= 1.0:
+        raise ValueError(f"the similarity threshold is a cosine: {threshold} is outside [-1, 1]")
     if use_keyword:
         kw = keyword_flags(lowered, lexicon, lowered=True) if lowered is not None else keyword_flags(text, lexicon)
     else:

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from datetime import date
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.functions.fixed import FILING_URL_BASE, SECTION_ITEMS
+from tidemark.functions.fixed import FILING_URL_BASE, SECTION_ITEMS, SECTION_PATTERN
 from tidemark.functions.text import NON_WORD, WS_CLASS, collapse_ws, is_blank, zero_fill
 
 # ---------------------------------------------------------------- index files
@@ -181,7 +179,7 @@ def clean_html(df: DataFrame, col: str = "html", out: str = "text") -> DataFrame
 
 def section_pattern(item: str) -> str:
     """Item text up to the next 'Item <digit>' or the end (first match only)."""
-    return r"(?is)Item\s+" + item.replace(".", r"\.") + r"[^0-9]*?(.*?)(?=Item\s+[0-9]|$)"
+    return SECTION_PATTERN.replace("{item}", item.replace(".", r"\."))
 
 
 def extract_sections(text: Column, items=SECTION_ITEMS) -> Column:
@@ -277,14 +275,6 @@ def pii_alerts(df: DataFrame, id_cols: list[str], text_col: str = "text") -> Dat
             .select(*id_cols, "_a.kind", "_a.match"))
 
 
-def word_ngrams(toks: Column, n: int = 3) -> Column:
-    """Consecutive word n-grams of a token array (empty when too short)."""
-    return F.when(F.size(toks) >= n,
-                  F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1),
-                              lambda i: F.array_join(F.slice(toks, i, n), " "))
-                  ).otherwise(F.array().cast("array<string>"))
-
-
 def explode_ngrams(df: DataFrame, id_col: str, toks_col: str, n: int = 3, out: str = "gram") -> DataFrame:
     """One row per consecutive word n-gram of a token array.
 

@@ -67,6 +67,11 @@ def firm_day_embedding(df: DataFrame, keys=("ticker", "date"), emb_col: str = "e
     return (out.withColumn(emb_col, F.when(F.col("n_valid") > 0, F.col("_v"))).drop("_v"))
 
 
+def check_window(window_days: int, min_history: int) -> None:
+    if window_days < 1 or min_history < 1:
+        raise ValueError(f"window_days and min_history must be at least 1, not {window_days} and {min_history}")
+
+
 def _day_window(window_days: int, key: str = "ticker"):
     return (Window.partitionBy(key).orderBy(F.col("_day"))
             .rangeBetween(-window_days, -1))
@@ -82,17 +87,20 @@ def novelty(firm_days: DataFrame, key: str = "ticker", date_col: str = "date",
     0.0; fewer than ``min_history`` history days → 0.5; otherwise
     1 − max(0, cosine(today, mean of history)).  Adds ``window_size`` (history
     days) and ``rolling_mean_embedding`` (when the history is long enough)."""
+    check_window(window_days, min_history)
     day = F.datediff(F.col(date_col), F.lit(EPOCH))
     stored = F.when(F.col(emb_col).isNotNull(), F.col(emb_col))
     w = _day_window(window_days, key)
     out = (firm_days.withColumn("_day", day)
            .withColumn("_hist", F.collect_list(stored).over(w)))
     n = F.size("_hist")
-    hist_sum = vec_sum(F.col("_hist"))
+    # the vector sum is computed once; score and rolling mean read the column
+    out = materialize(out, _hsum=vec_sum(F.col("_hist")))
+    hist_sum = F.col("_hsum")
     score = (F.when(F.col(emb_col).isNull(), F.lit(0.0))
              .when(n < min_history, F.lit(0.5))
              .otherwise(F.lit(1.0) - F.greatest(F.lit(0.0), cosine(F.col(emb_col), hist_sum))))
-    return (out.withColumns({"window_size": n.cast("int"), "_hsum": hist_sum})
+    return (out.withColumn("window_size", n.cast("int"))
             .withColumn("novelty_score", score)
             .withColumn("rolling_mean_embedding",
                         F.when(F.col(emb_col).isNotNull() & (F.col("window_size") >= min_history),
@@ -108,6 +116,7 @@ def novelty_rows(rows: DataFrame, key: str = "ticker", date_col: str = "date",
     in the window is one history item.  Rows are first summed per firm-day
     (vector sum + count), the window runs over firm-days and the result is
     joined back on (ticker, date)."""
+    check_window(window_days, min_history)
     ok = ~is_blank(F.col(text_col))
     e = F.col(emb_col).cast("array<double>")
     daily = (rows.filter(ok & F.col(key).isNotNull() & F.col(date_col).isNotNull())

@@ -45,7 +45,8 @@ def sentiment_columns(text: Column, scores: Column, blank: Column | None = None)
     }
 
 
-def _scores(df: DataFrame, text: Column, scorer, normalized: Column | None) -> DataFrame:
+def _scores(df: DataFrame, text: Column, scorer, normalized: Column | None, positive: list[str],
+            negative: list[str]) -> DataFrame:
     """Append the class-score struct ``_sc`` and the blank flag ``_blank``.
 
     Everything expensive — the keyword counts (default scorer) or the model
@@ -59,30 +60,33 @@ def _scores(df: DataFrame, text: Column, scorer, normalized: Column | None) -> D
     if normalized is None:
         df = df.withColumn("_snorm", normalize_for_keywords(fill_text(text)))
         normalized = F.col("_snorm")
-    counts = F.struct(count_contained(normalized, POSITIVE_KEYWORDS).alias("p"),
-                      count_contained(normalized, NEGATIVE_KEYWORDS).alias("n"))
+    counts = F.struct(count_contained(normalized, positive).alias("p"),
+                      count_contained(normalized, negative).alias("n"))
     df = materialize(df, _pn=counts, _blank=blank).drop("_snorm")
     return df.withColumn("_sc", class_scores(F.col("_pn.p"), F.col("_pn.n"))).drop("_pn")
 
 
 def score_sentiment(df: DataFrame, text_col: str = "text", scorer=None,
                     prefix: str = "sentiment_", dedupe: bool = False,
-                    normalized_col: str | None = None) -> DataFrame:
-    """Append ``{prefix}label/positive/negative/neutral/compound``.
+                    normalized_col: str | None = None, positive: list[str] | None = None,
+                    negative: list[str] | None = None) -> DataFrame:
+    """Append ``{prefix}label/positive/negative/neutral/compound``; ``positive`` and
+    ``negative`` replace the default keyword lists.
 
     ``normalized_col`` may name an existing lower-cased, whitespace-collapsed
     copy of the text (shared with other keyword operators).  ``dedupe=True`` is
     meant for expensive model scorers: distinct texts (keyed by md5) are scored
     once and joined back; AQE's skew join splits a hot text."""
+    lists = (POSITIVE_KEYWORDS if positive is None else positive, NEGATIVE_KEYWORDS if negative is None else negative)
     if not dedupe:
         norm = F.col(normalized_col) if normalized_col else None
-        tmp = _scores(df, F.col(text_col), scorer, norm)
+        tmp = _scores(df, F.col(text_col), scorer, norm, *lists)
         cols = sentiment_columns(F.col(text_col), F.col("_sc"), F.col("_blank"))
         return tmp.withColumns({prefix + k: v for k, v in cols.items()}).drop("_sc", "_blank")
     key = "_text_md5"
     keyed = df.withColumn(key, F.md5(fill_text(F.col(text_col))))
     distinct = keyed.groupBy(key).agg(F.any_value(fill_text(F.col(text_col))).alias("_t"))
-    distinct = _scores(distinct, F.col("_t"), scorer, None)
+    distinct = _scores(distinct, F.col("_t"), scorer, None, *lists)
     cols = sentiment_columns(F.col("_t"), F.col("_sc"), F.col("_blank"))
     scored = distinct.select(key, *[v.alias(prefix + k) for k, v in cols.items()])
     return keyed.join(scored, key, "left").drop(key)
