@@ -115,7 +115,14 @@ def test_flagship_reads_each_table_once(spark):
     plan = _plan(E.queries()["feature_panel"](spark, SMOKE))
     # the market mean is an aggregate of the bars joined back (no window over a whole date), which reads them again
     assert _scan_counts(plan) == {"documents": 1, "lineitem": 2}
-    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan   # union + window, no join back
+    # union + window, no join back but that one, a row per trading day
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 1
+
+
+def test_flagship_has_no_window_over_a_whole_date(spark):
+    import re
+
+    assert not re.search(r"windowspecdefinition\(date#\d+,", _plan(E.queries()["feature_panel"](spark, SMOKE)))
 
 
 def test_expensive_text_expressions_run_once_per_row(spark):
