@@ -160,6 +160,31 @@ def test_substring_edges(edge, empty):
     assert substring_dedup.deduplicate(empty).count() == 0
 
 
+def passage_between_contexts(n):
+    """One passage in all documents, between different words."""
+    rng = random.Random(7)
+    own = lambda: " ".join(f"w{rng.randint(0, 5000)}" for _ in range(40))
+    passage = " ".join(f"p{i}" for i in range(60))
+    return [(i, f"{own()} {passage} {own()}") for i in range(n)]
+
+
+@pytest.mark.parametrize("shard", [1, 5, 1_000])
+def test_substrings_of_hot_anchors(spark, monkeypatch, shard):
+    """Low limits take windows instead of automata."""
+    monkeypatch.setattr(substring_dedup.repeated_spans, "__defaults__", (substring_dedup.WINDOW, shard))
+    rows = passage_between_contexts(80) + [(i + 200, t) for i, t in corpus(3)] + [(900, "a b " * 60), (901, "x " + "a b " * 40)]
+    got = sorted(tuple(r) for r in substring_dedup.deduplicate(frame(spark, rows)).collect())
+    assert got == brute_substrings(rows, substring_dedup.WINDOW)
+
+
+def test_no_automaton_takes_more_than_a_shard(spark):
+    rows = frame(spark, passage_between_contexts(300))
+    _, classes = substring_dedup._shared(rows, substring_dedup.WINDOW)
+    assert classes.groupBy("anchor").count().agg({"count": "max"}).first()[0] > 200
+    fetched = substring_dedup._fetched(rows, classes, substring_dedup.WINDOW, 100).where("words is not null")
+    assert (fetched.groupBy("anchor").count().agg({"count": "max"}).first()[0] or 0) <= 100
+
+
 def test_automaton_statistics():
     rng = random.Random(2)
     for _ in range(30):

@@ -17,8 +17,12 @@ automata cannot all be sent to all documents; both meet by key instead:
    The words of the passages are the texts' own, fetched from the documents.
 4. Covered word ranges go back to the documents by id and are cut out of the texts.
 
-An anchor in a third of all documents is one class, or a few: copies are counted by
-partial sums and joined, never collected.
+Copies of an anchor are counted by partial sums and joined, never collected.  At the
+edges of a shared passage, though, the passages reach into each document's own words,
+and every document is a class of its own.  An anchor with more than ``SHARD`` classes
+is therefore no shard: step 3 takes its windows one by one instead, keyed by anchor and
+window hash; the first occurrence of each is a partial minimum, and a join finds the
+later ones.  So no automaton holds more than ``SHARD`` passages.
 """
 
 from __future__ import annotations
@@ -37,31 +41,40 @@ from tidemark.session import cut_lineage
 
 WINDOW = 20
 ANCHOR = 8
+#: Classes that go through one automaton; the windows of anchors with more are joined.
+SHARD = 1_000
 _WORDS = re.compile(r"[^ \t-\r]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def passages(h: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """(anchor hash, passage hash, first window, windows) of each passage of a text."""
-    n = len(h) - window + 1
-    if n <= 0:
-        none = np.zeros(0, np.int64)
-        return none.view(np.uint64), none.view(np.uint64), none, none
+def _spans(h: np.ndarray):
+    """Hash of the words from each ``lo`` to before each ``hi``."""
     with np.errstate(over="ignore"):
         power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(h), _BASE)]))
         back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(h), _INVERSE)]))
         upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:-1])])
 
-        def span(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    def span(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
             return mix((upto[hi] - upto[lo]) * back[lo] + (hi - lo).astype(np.uint64))
 
-        at = np.arange(len(h) - anchor + 1)
-        grams = span(at, at + anchor)
-        least = at[:n] + np.lib.stride_tricks.sliding_window_view(grams, window - anchor + 1).argmin(1)
-        first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-        windows = np.diff(np.concatenate([first, [n]]))
-        return grams[least[first]], span(first, first + windows + window - 1), first, windows
+    return span
+
+
+def passages(h: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
+    """(anchor hash, passage hash, first window, windows) of each passage of a text."""
+    n = len(h) - window + 1
+    if n <= 0:
+        none = np.zeros(0, np.int64)
+        return none.view(np.uint64), none.view(np.uint64), none, none
+    span = _spans(h)
+    at = np.arange(len(h) - anchor + 1)
+    grams = span(at, at + anchor)
+    least = at[:n] + np.lib.stride_tricks.sliding_window_view(grams, window - anchor + 1).argmin(1)
+    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    windows = np.diff(np.concatenate([first, [n]]))
+    return grams[least[first]], span(first, first + windows + window - 1), first, windows
 
 
 class SuffixAutomaton:
@@ -150,15 +163,25 @@ def _anchors(window: int):
 
 
 def _fetch(window: int):
+    """The words of wanted passages; of hot ones each window, with its hash instead."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 rows: list[tuple] = []
-                for doc, text, wanted in zip(part.column("doc_id").to_pylist(), texts_of(part),
-                                             part.column("wanted").to_pylist()):
+                for no, (doc, text, wanted) in enumerate(zip(part.column("doc_id").to_pylist(), texts_of(part),
+                                                             part.column("wanted").to_pylist())):
                     words = _WORDS.findall(text)
                     rows += [(x["anchor"], x["passage"], doc, x["at"],
-                              " ".join(words[x["at"]:x["at"] + x["windows"] + window - 1])) for x in wanted]
+                              " ".join(words[x["at"]:x["at"] + x["windows"] + window - 1])) for x in wanted if not x["hot"]]
+                    hot = [x for x in wanted if x["hot"]]
+                    if hot:
+                        h = hashed_words(part.column("text").slice(no, 1))[0]
+                        starts = np.concatenate([np.arange(x["at"], x["at"] + x["windows"]) for x in hot])
+                        anchors = np.repeat([x["anchor"] for x in hot], [x["windows"] for x in hot])
+                        fits = starts <= len(h) - window        # another text under this id may be shorter
+                        starts, anchors = starts[fits], anchors[fits]
+                        keys = _spans(h)(starts, starts + window).view(np.int64)
+                        rows += [(a, k, doc, s, None) for a, k, s in zip(anchors.tolist(), keys.tolist(), starts.tolist())]
                 cols = list(zip(*rows)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()))],
@@ -167,13 +190,17 @@ def _fetch(window: int):
 
 
 def _stream(window: int):
-    """Rows sorted by (anchor, doc, at): each shard through its growing automaton."""
+    """Rows sorted by (anchor, doc, at, passage), repeated ones skipped: each shard through
+    its growing automaton."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor = automaton = None
+        anchor = automaton = before = None
         for batch in batches:
             docs, lows, highs = [], [], []
-            for key, doc, at, text in zip(batch.column("anchor").to_pylist(), batch.column("doc").to_pylist(),
-                                          batch.column("at").to_pylist(), batch.column("words").to_pylist()):
+            for key, passage, doc, at, text in zip(*(batch.column(c).to_pylist() for c in (
+                    "anchor", "passage", "doc", "at", "words"))):
+                if (key, passage, doc, at) == before:
+                    continue
+                before = key, passage, doc, at
                 words = text.split(" ")
                 if key != anchor:
                     anchor, automaton = key, SuffixAutomaton()
@@ -210,26 +237,47 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
-def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc, low, high): word ranges of ``rows`` (doc_id, text) that repeated windows cover."""
+def _shared(rows: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """Passages whose anchor occurs more than once, and their classes with the first occurrence."""
     found = rows.mapInArrow(_anchors(window), "anchor bigint, passage bigint, doc bigint, at int, windows int")
     # cut off, so that the join below is dealt out by an exchange of its own and a hot anchor is split
     often = cut_lineage(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
     shared = cut_lineage(found.join(often, "anchor"))
     classes = cut_lineage(shared.groupBy("anchor", "passage", "windows").agg(
         F.min(F.struct("doc", "at")).alias("first")))
-    several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    return shared, classes
+
+
+def _fetched(rows: DataFrame, classes: DataFrame, window: int, shard: int) -> DataFrame:
+    """(anchor, passage, doc, at, words): the classes of anchors with several of them; each
+    window of those with more than ``shard``, its hash as ``passage`` and no words."""
+    several = cut_lineage(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     wanted = classes.join(several, "anchor").groupBy(F.col("first.doc").alias("wanted_by")).agg(
-        F.collect_list(F.struct("anchor", "passage", F.col("first.at").alias("at"), "windows")).alias("wanted"))
-    shards = rows.join(wanted, F.col("doc_id") == F.col("wanted_by")).select("doc_id", "text", "wanted").mapInArrow(
+        F.collect_list(F.struct("anchor", "passage", F.col("first.at").alias("at"), "windows",
+                                (F.col("n") > shard).alias("hot"))).alias("wanted"))
+    return rows.join(wanted, F.col("doc_id") == F.col("wanted_by")).select("doc_id", "text", "wanted").mapInArrow(
         _fetch(window), "anchor bigint, passage bigint, doc bigint, at int, words string")
-    within = (shards.dropDuplicates(["anchor", "passage", "doc", "at"]).repartition("anchor")
-              .sortWithinPartitions("anchor", "doc", "at").mapInArrow(_stream(window), "doc bigint, low int, high int"))
+
+
+def repeated_spans(rows: DataFrame, window: int = WINDOW, shard: int = SHARD) -> DataFrame:
+    """(doc, low, high): word ranges of ``rows`` (doc_id, text) that repeated windows cover."""
+    shared, classes = _shared(rows, window)
+    fetched = cut_lineage(_fetched(rows, classes, window, shard))
+    within = (fetched.where("words is not null").repartition("anchor")
+              .sortWithinPartitions("anchor", "doc", "at", "passage")
+              .mapInArrow(_stream(window), "doc bigint, low int, high int"))
+    single = fetched.where("words is null").select("anchor", F.col("passage").alias("hash"), "doc", "at")
+    # cut off for the same reason: a window in very many classes is split
+    begun = cut_lineage(single.groupBy("anchor", "hash").agg(
+        F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    again = single.join(begun, ["anchor", "hash"]).where(
+        (F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at"))).select(
+        "doc", F.col("at").alias("low"), (F.col("at") + window).alias("high"))
     keys = ["anchor", "passage", "windows"]
     later = shared.join(classes, keys).where(
         (F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at"))).select(
         "doc", F.col("at").alias("low"), (F.col("at") + F.col("windows") + (window - 1)).alias("high"))
-    return within.unionByName(later)
+    return within.unionByName(again).unionByName(later)
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
