@@ -1,5 +1,6 @@
 """Page extraction, nearest neighbours, decontamination and the pipeline."""
 
+import itertools
 import re
 import tempfile
 
@@ -165,6 +166,36 @@ def test_contaminated(spark, limit):
     assert kept == {i for i, found in want.items() if not found}
 
 
+@pytest.mark.parametrize("size", range(1, D.OVERLAP + 1))
+def test_masks_cover_every_tolerated_pattern(size):
+    tolerated = size - D.needed(size)
+    for gone in itertools.combinations(range(size), tolerated):
+        assert any(all(at + k not in gone for k, kept in enumerate(mask) if kept)
+                   for mask in D.SEEDS[size] for at in range(size - len(mask) + 1)), gone
+
+
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_contaminated_with_every_tolerated_pattern(spark, limit):
+    """Items of 1 to 14 words with the tolerated substitutions at all places, against all
+    alignments, and no masks."""
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(1, 15)]
+    docs = []
+    for n, text in items:
+        size = min(n, D.OVERLAP)
+        for more in (0, 1):
+            for gone in itertools.combinations(range(size), min(size, size - D.needed(n) + more)):
+                docs.append((len(docs), "a " + " ".join("z" if k in gone else w for k, w in enumerate(text.split())) + " b"))
+    want = {}
+    for doc, text in docs:
+        h = text.split()
+        want[doc] = {n for n, t in items for g in [t.split()] for size in [min(n, D.OVERLAP)]
+                     for p in range(len(h) - size + 1) for q in range(n - size + 1)
+                     if sum(a == b for a, b in zip(h[p:p + size], g[q:q + size])) >= D.needed(n)}
+    rows = D.report(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4),
+                    spark.createDataFrame(items, "item_id bigint, text string"), broadcast_seeds=limit).collect()
+    assert {r.doc_id: set(r["items"]) for r in rows} == want
+
+
 def test_decontamination_edges(spark, edge, empty):
     item = "The quick brown fox jumps over the lazy dog. A second line of plain words"
     b = spark.createDataFrame([(1, item), (1, item), (2, None)], "item_id bigint, text string")
