@@ -222,6 +222,12 @@ def test_lines(spark, seed, vocabulary):
     assert got == brute_lines(rows)
 
 
+def test_short_lines_are_removed_if_repeated(spark):
+    rows = [(1, "Menu\nRead more\n\nMenu"), (2, "Read more\n\n \t\nmore\nMENU"), (3, "read More\nother"), (4, "\n")]
+    got = {r.doc_id: (r.text, r._removed) for r in line_dedup.deduplicate(frame(spark, rows)).collect()}
+    assert got == {1: ("Menu\nRead more\n", 1), 2: ("\n \t\nmore", 2), 3: ("other", 1), 4: ("\n", 0)}
+
+
 def test_line_edges(edge, empty):
     got = line_dedup.deduplicate(edge)
     assert got.columns == [*edge.columns, "_lines", "_removed"]

@@ -29,8 +29,8 @@ from tidemark.session import cut_lineage
 
 #: Jaccard threshold as a ratio of integers, so that the comparison is exact.
 OVER, UNDER = 9, 10
-#: Lines with fewer words are kept and match nothing.
-MIN_WORDS = 3
+#: Lines with fewer words, that is blank ones, are kept and match nothing.
+MIN_WORDS = 1
 BUCKETS = 1 << 16
 #: Sets of this size or less match only if they are equal, below the threshold's resolution.
 ONLY_EQUAL = OVER - 1
@@ -39,7 +39,7 @@ ONLY_EQUAL = OVER - 1
 #: joined by a shuffle.
 BROADCAST_DOCS = 200_000
 
-_SHORT = r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){0,%d}+[\x20\x09-\x0D]*+$" % (MIN_WORDS - 1)
+_BLANK = r"^[\x20\x09-\x0D]*+\z"
 
 
 def lines_of(text: Column) -> Column:
@@ -47,8 +47,8 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def is_short(line: Column) -> Column:
-    return line.rlike(_SHORT)
+def is_blank(line: Column) -> Column:
+    return line.rlike(_BLANK)
 
 
 def _bucket(h: Column) -> Column:
@@ -80,7 +80,7 @@ def _prefix(n: Column) -> Column:
 
 
 def _numbered_lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("no", "line")).where(~is_short(F.col("line")))
+    return docs.select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("no", "line")).where(~is_blank(F.col("line")))
 
 
 def _bits(prefix: Column) -> Column:
@@ -122,7 +122,7 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
 
 def kept_lines(docs: DataFrame) -> DataFrame:
     """(doc, lines): the numbers of the lines of ``docs`` (doc_id, text; ids not null) that
-    stay, apart from short ones, which always do."""
+    stay, apart from blank ones, which always do."""
     ranks = rarity_ranks(docs)
     keyed = _numbered_lines(docs).select("doc_id", "no", word_keys(F.col("line"), ranks).alias("keys"))
     sets = keyed.select(
@@ -158,7 +158,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """All rows and columns of ``docs`` with the removed lines cut out of the text, plus
     ``_lines`` and ``_removed`` (how many there were, how many went).
 
-    Blank and short lines (fewer than ``MIN_WORDS`` words) stay; a text left without
+    Blank lines stay, lines of any other length take part; a text left without
     lines is empty; null and empty texts stay as they are.  Rows with a null id neither
     lose lines nor make others lose them.  Ids are expected to be unique: rows that
     repeat an id lose the lines that the first of equal lines under that id does not keep."""
@@ -166,7 +166,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         "doc_id is not null")
     kept = kept_lines(rows).withColumnRenamed("doc", "_kept_for").withColumnRenamed("lines", "_kept")
     all_lines = F.split(F.col(text_col), "\n")
-    stay = F.filter(F.col("_all"), lambda line, no: is_short(line) | F.col(id_col).isNull()
+    stay = F.filter(F.col("_all"), lambda line, no: is_blank(line) | F.col(id_col).isNull()
                     | F.coalesce(F.array_contains("_kept", no), F.lit(False)))
     return (docs.join(kept, F.col(id_col).cast("bigint") == F.col("_kept_for"), "left")
             .withColumn("_all", all_lines).withColumn("_stay", stay)
