@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, decontaminate, html_main, language_id, line_dedup, packing, permutation_index, shingle_join, substring_dedup, token_counts, toxicity
+from tidemark.llm import byte_bpe, decontaminate, html_main, language_id, line_dedup, packing, permutation_index, prefix_trie, shingle_join, substring_dedup, token_counts, toxicity
 from tidemark.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,46 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
     return byte_bpe.digest(byte_bpe.decode(encoded, ranks))
+
+
+#: crc32 of the string ``{0}``, bit by bit (3988292384: the reversed CRC-32 polynomial).
+_SQL_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)),
+    lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"""
+
+
+@query("op13_prefix_trie", f"""
+WITH own AS (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), x := coalesce(text, ''))
+                       ORDER BY turn NULLS FIRST, coalesce(role, '')) AS turns,
+         {_SQL_CRC32.format("conv_id::VARCHAR")} % 6 AS h
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(d.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns
+  FROM own c LEFT JOIN own d ON d.conv_id = c.conv_id - c.conv_id % 100),
+member AS (
+  SELECT conv_id, d, turns[1:d] AS path, len(turns) = d AS ends
+  FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM rebuilt)),
+node AS (
+  SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ids,
+         (count(*) - 1) * coalesce(length(path[d].x), 0) AS saved
+  FROM member GROUP BY path, d),
+linked AS (
+  SELECT n.*, p.conv_id AS parent_conv_id
+  FROM node n LEFT JOIN node p ON p.d = n.d - 1 AND p.path = n.path[1:n.d - 1]),
+family AS (
+  SELECT l.*, (SELECT count(*) FROM linked k WHERE k.d = l.d + 1 AND k.parent_conv_id = l.conv_id) AS n_children
+  FROM linked l)
+SELECT f.conv_id, f.d::BIGINT AS depth, f.parent_conv_id, f.n_convs, f.n_children,
+       t.n_leaves, t.saved_tokens, sha256(f.ids) AS ends_sha256
+FROM family f JOIN (
+  SELECT above.conv_id, above.d, count(*) FILTER (WHERE below.n_children = 0) AS n_leaves,
+         sum(below.saved)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(d + 1)) AS up FROM family) below
+  JOIN node above ON above.d = below.up AND above.path = below.path[1:below.up]
+  GROUP BY above.conv_id, above.d) t ON t.conv_id = f.conv_id AND t.d = f.d
+""")
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rebuilt = prefix_trie.share_heads(prefix_trie.paths(table(spark, sf_dir, "conversations")))
+    return prefix_trie.prefix_trie(rebuilt)
