@@ -38,6 +38,9 @@ WIDTH = 20
 #: Path bytes (and 64 for each item) that a run of the first round holds.
 RUN_BYTES = 4_000_000
 
+#: Ways in which the children of one node are dealt when they fetch its conv_id.
+SALTS = 64
+
 _NODE, _ITEM, _END = 0, 1, 2
 _OUT = ("kind int, key binary, path binary, conv_id bigint, depth int, parent binary, parent_conv_id bigint, "
         "n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string")
@@ -229,9 +232,13 @@ def prefix_trie(path_rows: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
     late = late.drop("ends_sha256").join(shas, "key", "left").fillna(_EMPTY_SHA, "ends_sha256")
     cols = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
     nodes = early.select("parent", *cols).unionByName(late.select("parent", *cols))
-    # only nodes that were finished late can be parents that a run did not see finished
-    parents = late.select(F.col("key").alias("parent"), F.col("conv_id").alias("_conv"))
-    open_ended = nodes.where("parent is not null").drop("parent_conv_id").join(parents, "parent", "left")
+    # Only nodes that were finished late (a few a run) can be parents that a run did not see
+    # finished.  A node may have most conversations as children, so the children are salted.
+    parents = late.select(F.col("key").alias("parent"), F.col("conv_id").alias("_conv"),
+                          F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    open_ended = (nodes.where("parent is not null").drop("parent_conv_id")
+                  .withColumn("_salt", F.pmod(F.xxhash64("conv_id"), F.lit(SALTS)).cast("int"))
+                  .join(parents, ["parent", "_salt"], "left"))
     return (nodes.where("parent is null").select(*cols)
             .unionByName(open_ended.withColumnRenamed("_conv", "parent_conv_id").select(*cols))
             .withColumn("depth", F.col("depth").cast("bigint")))

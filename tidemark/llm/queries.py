@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, decontaminate, html_main, language_id, line_dedup, packing, permutation_index, prefix_trie, shingle_join, substring_dedup, token_counts, toxicity
+from tidemark.llm import byte_bpe, decontaminate, html_main, language_id, line_dedup, packing, permutation_index, prefix_trie, shingle_join, substring_dedup, token_counts, toxicity, turn_repair
 from tidemark.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +96,75 @@ _SQL_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
     lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"""
 
 
+def _repair_sql() -> str:
+    """The repair as a recursion from each conversation's last row to its first.  A state's value is
+    one string: six digits of cost, the audit, chr(1), the repaired lines; the least string wins."""
+    def edit(value: str, cost: str, letter: str, line: str | None = None) -> str:
+        rest = f"substr({value}, strpos({value}, chr(1)) + 1)"
+        lines = rest if line is None else f"{line} || CASE WHEN {rest} = '' THEN '' ELSE chr(10) || {rest} END"
+        return (f"lpad((left({value}, 6)::INT + {cost})::VARCHAR, 6, '0') || '{letter}' || "
+                f"substr({value}, 7, strpos({value}, chr(1)) - 7) || chr(1) || {lines}")
+
+    follow, names, initial = {0: 2, 1: 2, 2: 3, 3: 2}, {2: "user", 3: "assistant"}, {2: "u", 3: "a"}
+    rows, once, twice = [], [], []
+    for s, to in follow.items():
+        alive = "CASE WHEN f.fault IN (0, 3) THEN {} ELSE never END"
+        keeps = [(initial[to], to)] + ([("s", 1)] if s == 0 else [])
+        offers = [edit(f"v{s}", "4", "D"), alive.format(edit(f"v{to}", "3 + dear", "R", f"'{names[to]}:' || f.text"))]
+        offers += [f"CASE WHEN f.fault IN (0, 3) AND f.initial = '{c}' THEN {edit(f'v{t}', 'dear', 'K', 'f.role || chr(58) || f.text')} "
+                   "ELSE never END" for c, t in keeps]
+        rows.append(f"least({', '.join(offers)}) AS x{s}")
+        once.append(f"least(x{s}, {edit(f'x{to}', '3', 'I', repr(names[to] + ':'))}) AS y{s}")
+        twice.append(f"least(x{s}, {edit(f'y{to}', '3', 'I', repr(names[to] + ':'))}) AS v{s}")
+    return f"""
+WITH RECURSIVE hit AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_SQL_CRC32.format("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind
+  FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hit),
+placed AS (
+  SELECT *, left(role, 1) AS initial,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n FROM damaged),
+row_fault AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 2
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault,
+         coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY n) || initial NOT IN ('su', 'ua', 'au'), false) AS illegal
+  FROM placed),
+counted AS (
+  SELECT conv_id, count(*) AS n_rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+         count(*) FILTER (WHERE fault = 3) AS truncated, count(*) FILTER (WHERE illegal) AS illegal
+  FROM row_fault GROUP BY conv_id),
+step AS (
+  SELECT conv_id, n_rows + 1 AS i, '000000' || chr(1) AS v0, '000006II' || chr(1) || 'user:' || chr(10) || 'assistant:' AS v1,
+         '000003I' || chr(1) || 'assistant:' AS v2, '000000' || chr(1) AS v3 FROM counted
+  UNION ALL
+  SELECT conv_id, i, {", ".join(twice)} FROM (
+    SELECT *, {", ".join(once)} FROM (
+      SELECT s.conv_id, f.n AS i, {", ".join(rows)}
+      FROM (SELECT *, '900000' || chr(1) AS never FROM step) s
+      JOIN (SELECT *, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS dear FROM row_fault) f
+        ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.n = s.i - 1)))
+SELECT o.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate,
+       coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal, coalesce(left(v0, 6), '0')::BIGINT AS cost,
+       coalesce(substr(v0, 7, strpos(v0, chr(1)) - 7), '') AS audit,
+       sha256(coalesce(substr(v0, strpos(v0, chr(1)) + 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN (SELECT * FROM step WHERE i = 1) s ON s.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+@query("op12_turn_repair", _repair_sql())
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.digest(turn_repair.repair(turn_repair.damage(table(spark, sf_dir, "conversations"))))
+
+
 @query("op13_prefix_trie", f"""
 WITH own AS (
   SELECT conv_id, list(struct_pack(r := coalesce(role, ''), x := coalesce(text, ''))
