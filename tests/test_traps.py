@@ -1,7 +1,11 @@
 """Unit tables for the semantic traps (pandas / Python behaviour is the spec)."""
 
 import math
+import random
 from datetime import date, datetime
+from html import unescape
+from html.entities import html5
+from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -216,6 +220,65 @@ def test_html_tables_at_any_depth_and_every_reference(spark):
     assert low.select(FI.strip_exhibits(F.col("t")).alias("t")).collect()[0].t == "a b c"
 
 
+class _Page(HTMLParser):
+    """Text of a page by the standard parser, without scripts, styles and tables."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.raw, self.depth = [], None, 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style"):
+            self.raw = tag
+        elif tag == "table":
+            self.depth += 1
+
+    def handle_startendtag(self, tag, attrs):
+        pass
+
+    def handle_endtag(self, tag):
+        if tag == self.raw:
+            self.raw = None
+        elif tag == "table" and self.depth:
+            self.depth -= 1
+
+    def handle_data(self, data):
+        if not self.raw and not self.depth:
+            self.out.append(data)
+
+    @classmethod
+    def text(cls, page):
+        parser = cls()
+        parser.feed(page)
+        parser.close()
+        return " ".join("".join(parser.out).split())
+
+
+def test_html_equals_the_standard_parser(spark):
+    rng = random.Random(4)
+    bits = ["a", "b ", "<b>", "</b>", "<i title='x>y'>", "<p class=\"q'>\">", "<table>", "<TABLE x=1>", "</table>",
+            "<!-- c -->", "<!-- <script> -->", "<script>", "</script>", "<style>p{}</style>", "&amp;", "&lt;", "&#146;",
+            "&copyfoo", "&copy;", "&", "<", ">", "&#x41;", "<br/>", "<table/>", "=", "it's", "<p title=it's>", "\"",
+            "<!DOCTYPE x>", "<?pi?>", "</>", "&notin;", "&notit;", "1 < 2", "<tablet>", "</tablet>", "\n", "&#0;", "&#1;",
+            "&#xD800;", "&#150", "&zzz;", "&#;", "&AMP", " "]
+    pages = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    pages += ["Company&#146;s &#147;plan&#148; &#150; &copyfoo", "<!-- <script> -->keep</script>", "a<b foo", "<p>one<p>two",
+              "<![CDATA[x<b>y]]>z", "<script src=x />z</script>w"]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    got = {r.i: r.text for r in FI.clean_html(df, "html").collect()}
+    assert got == {i: _Page.text(p) for i, p in enumerate(pages)}
+
+
+def test_every_reference_equals_the_standard_decoder(spark):
+    rng = random.Random(6)
+    refs = [f"&#{n};" for n in [*range(300), 0xFDD0, 0xFFFE, 0xFFFF, 0x1FFFE, 0x10FFFF, 0x110000, 0xD800, 99999999999]]
+    refs += [f"&{n}{tail}" for n in html5 for tail in ("", "x", " ")]
+    refs += ["&" + "".join(rng.choices("abcdefglmnopqrstABx#0123456789;&", k=rng.randrange(1, 9))) for _ in range(2000)]
+    df = spark.createDataFrame(list(enumerate(refs)), "i int, t string")
+    got = {r.i: r.t for r in df.select("i", FI.decode_entities(F.col("t")).alias("t")).collect()}
+    assert got == {i: unescape(r) for i, r in enumerate(refs)}
+
+
 def test_sections_stop_at_any_item_T17(spark):
     text = ("Cover. Item 2.02 Results were strong, see Item 7 for details. "
             "Item 8.01 Other events. ITEM 2.02 again")

@@ -114,6 +114,26 @@ def new_filings(index: DataFrame, stored: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- HTML → text
 
+# What follows a tag name: a value may be quoted (and then hold '>'); a quote anywhere else is a character.
+_ATTRIBUTES = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+'|)[^>=]*+)*+"""
+
+#: One alternation reads the markup from left to right, so a comment hides the tags in it and raw
+#: text hides comments.  What groups 2 and 3 matched stays: the name and end of a table tag.
+MARKUP = (
+    r"(?is)<(?:"
+    r"!--.*?-->"                                                             # comment
+    r"|!\[CDATA\[.*?\]\]>"
+    rf"|(script|style)(?=[\s/>]){_ATTRIBUTES}(?<!/)>.*?(?:</\s*\1\s*>|\z)"   # raw text
+    r"|(?!!--)[!?/](?!table[\s>])[^>]*>"                                      # declaration, closing tag
+    rf"|(?!/?table[\s/>])[a-z]{_ATTRIBUTES}>"                                # opening tag
+    rf"|table(?=[\s/]){_ATTRIBUTES}(?<=/)>)"                                 # a table closed at once
+    rf"|(</?table)(?=[\s/>]){_ATTRIBUTES}(>)")
+
+
+#: A noncharacter, which no text may hold.
+_CUT = "\ufdd0"
+
+
 def drop_tables(c: Column) -> Column:
     """Remove table subtrees at any nesting: the text is cut before each table tag, a
     running depth follows opening and closing tags, and only parts at depth 0 stay.
@@ -132,42 +152,81 @@ def drop_tables(c: Column) -> Column:
     return F.aggregate(F.split(c, tag), start, step, lambda state: F.array_join(state["kept"], ""))
 
 
-def _named_entities() -> Column:
-    """name (with its semicolon, if it has one) -> text, as a literal map."""
+# ---------------------------------------------------------------- character references
+
+#: Buckets of the table of named references: a name is found by its crc32, not by a search.
+_BUCKETS = 2048
+_NUMBER = r"^&#(?:0*([0-9]+)|[xX]0*([0-9a-fA-F]+));?"
+
+
+def _bucketed_names() -> Column:
+    """Array of ``\\x01 name \\x02 text \\x01 name ...`` strings, by crc32 of the name; one literal."""
     from html.entities import html5
+    from zlib import crc32
 
-    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in sorted(html5.items()))), F.lit("\x01"), F.lit("\x02"))
+    buckets = [""] * _BUCKETS
+    for name, text in sorted(html5.items()):
+        buckets[crc32(name.encode()) % _BUCKETS] += f"\x01{name}\x02{text}"
+    return F.split(F.lit("\x03".join(buckets)), "\x03")
+
+
+def _named(name: Column) -> Column:
+    """Text of a named reference (its semicolon included, if it has one), or null."""
+    bucket = F.element_at(_bucketed_names(), (F.crc32(name.cast("binary")) % _BUCKETS + 1).cast("int"))
+    at = F.instr(bucket, F.concat(F.lit("\x01"), name, F.lit("\x02")))
+    return F.when(at > 0, F.substring_index(F.substr(bucket, at + F.length(name) + 2), "\x01", 1))
+
+
+def _character(code: Column) -> Column:
+    """Character of a numeric reference: 128 to 159 are read as windows-1252, null, surrogates
+    and numbers beyond Unicode give U+FFFD, other control characters and noncharacters nothing."""
+    western = [bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)]
+    plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    nothing = (code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127)
+               | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE))
+    return (F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd")
+            .when(code.between(128, 159), F.element_at(F.array(*[F.lit(w) for w in western]), (code - 127).cast("int")))
+            .when(nothing, "").otherwise(plain))
 
 
 def decode_entities(c: Column) -> Column:
-    """Decode numeric and named character references once (the result of one is not read
-    again); unknown names stay as they are, impossible code points become U+FFFD."""
-    names = _named_entities()
+    """Decode character references once (the result of one is not read again), as browsers do:
+    numbers by :func:`_character`, names with their semicolon, and of a name without one the
+    longest beginning that may stand without; unknown names stay as they are."""
+    from html.entities import html5
+
+    short = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+
+    def number(s: Column) -> Column:
+        dec, hexa = F.regexp_extract(s, _NUMBER, 1), F.regexp_extract(s, _NUMBER, 2)
+        code = (F.when(F.length(dec) > 7, 0x110000).when(F.length(hexa) > 6, 0x110000)
+                .when(dec != "", dec.try_cast("int")).when(hexa != "", F.conv(hexa, 16, 10).try_cast("int")))
+        return F.when(code.isNull(), s).otherwise(F.concat(_character(code), F.regexp_replace(s, _NUMBER, "")))
+
+    def name(s: Column) -> Column:
+        whole = F.regexp_extract(s, r"^&([A-Za-z][A-Za-z0-9]*;?)", 1)
+        begin = F.regexp_extract(s, f"^&({short})", 1)
+        found, first = _named(whole), _named(begin)
+        return F.coalesce(F.concat(found, F.substr(s, F.length(whole) + 2)),
+                          F.concat(first, F.substr(s, F.length(begin) + 2)), s)
 
     def part(s: Column) -> Column:
-        number = r"^&#(?:([0-9]{1,7})|[xX]([0-9a-fA-F]{1,6}));?"
-        dec, hexa = F.regexp_extract(s, number, 1), F.regexp_extract(s, number, 2)
-        code = F.when(dec != "", dec.cast("int")).when(hexa != "", F.conv(hexa, 16, 10).cast("int"))
-        real = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        char = F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
-        name = F.regexp_extract(s, r"^&([A-Za-z][A-Za-z0-9]*;?)", 1)
-        known = F.try_element_at(names, name)
-        return (F.when(~s.startswith("&"), s)
-                .when(code.isNotNull(), F.concat(char, F.regexp_replace(s, number, "")))
-                .when(known.isNotNull(), F.concat(known, F.substr(s, F.length(name) + 2)))
-                .otherwise(s))
+        # the bare ampersand's own reference, by far the most frequent, needs no table
+        return (F.when(s.startswith("&amp;"), F.concat(F.lit("&"), F.substr(s, F.lit(6))))
+                .when(~s.startswith("&"), s).when(s.startswith("&#"), number(s)).otherwise(name(s)))
 
-    return F.when(F.instr(c, "&") == 0, c).otherwise(F.array_join(F.transform(F.split(c, "(?=&)"), part), ""))
+    # ``c`` is named once, as each further mention would compute it again
+    return F.array_join(F.transform(F.split(c, "(?=&)"), part), "")
 
 
 def html_to_text(c: Column) -> Column:
-    """HTML → clean text in the JVM: drop script, style and table subtrees and comments,
-    remove tags without inserting separators, decode character references, collapse
-    whitespace (non-breaking spaces too), strip."""
-    x = F.regexp_replace(c, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
-    x = F.regexp_replace(x, r"(?s)<!--.*?-->", "")
-    x = F.regexp_replace(drop_tables(x), r"(?s)<[^>]*>", "")
-    return collapse_ws(F.replace(decode_entities(x), F.lit("\u00a0"), F.lit(" ")))
+    """HTML → clean text in the JVM: markup, comments, script and style are removed in one pass that
+    inserts no separators, tables by their depth if there are any, character references are decoded,
+    whitespace is collapsed (non-breaking spaces too) and stripped.  A '<' that begins no tag, and a
+    tag or comment that is never closed, are text."""
+    # a mark where markup was keeps a reference before it from running on behind it
+    x = F.regexp_replace(c, MARKUP, f"{_CUT}$2$3")
+    return collapse_ws(F.replace(decode_entities(drop_tables(x)), F.lit(_CUT), F.lit("")))
 
 
 def clean_html(df: DataFrame, col: str = "html", out: str = "text") -> DataFrame:

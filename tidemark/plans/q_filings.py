@@ -94,6 +94,17 @@ def clean_pages_exact(spark, d):
     return FI.clean_html(pages, "html", "text").select("page_id", "text")
 
 
+@query("clean_pages_references", f"""SELECT page_id, trim('Company’s “plan” – ©foo ¬it; ab €1 ' || text) AS text
+FROM ({CLEAN_PAGES_SQL})""")
+def clean_pages_references(spark, d):
+    """Pages behind what filings are full of: windows-1252 numbers, names without a semicolon,
+    markup inside comments, quotes inside and outside of attribute values."""
+    head = ("<!-- <script> -->Company&#146;s &#147;plan&#148; &#150; &copyfoo &notit; <p title=it's>a<b x='1>2'>b</b>"
+            "<![CDATA[x<i>y]]> &#x80;1 ")
+    pages = I.table(spark, d, "pages").withColumn("html", F.concat(F.lit(head), F.col("html")))
+    return FI.clean_html(pages, "html", "text").select("page_id", "text")
+
+
 def _sections_sql():
     parts = []
     for item in SECTION_ITEMS:
