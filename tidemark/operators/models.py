@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.fixed import TRADING_DAYS_PER_YEAR
 from tidemark.operators.quantiles import exact_quantiles
@@ -361,7 +362,7 @@ def f_sf(f: float, d1: float, d2: float) -> float:
 
 
 GRANGER_OUT = ("{g} lag int, n long, ssr_restricted double, ssr_unrestricted double, f_stat double, "
-               "df_num int, df_den int, p_value double, bic double, n_bic long, selected boolean")
+               "df_num int, df_den int, p_value double, bic double, n_bic long, rank int, selected boolean")
 
 
 def granger_moments(df: DataFrame, y: str, x: str, group_cols: list[str], order_col: str,
@@ -375,8 +376,11 @@ def granger_moments(df: DataFrame, y: str, x: str, group_cols: list[str], order_
     the upper triangle of z z' and z y — so a group of any size leaves at most
     ``max_lag`` rows of (2L+1)(2L+2)/2 + 2L + 3 numbers."""
     w = Window.partitionBy(*group_cols).orderBy(order_col)
+    whole = Window.partitionBy(*group_cols)
     base = df.select(*group_cols, order_col, F.col(y).cast("double").alias("_y"),
                      F.col(x).cast("double").alias("_x"))
+    # the intercept takes up any shift, so the moments are taken about the group's means
+    base = base.withColumns({c: F.col(c) - F.avg(c).over(whole) for c in ("_y", "_x")})
     base = base.select(*group_cols, "_y",
                        *[F.lag("_y", i).over(w).alias(f"_y{i}") for i in range(1, max_lag + 1)],
                        *[F.lag("_x", i).over(w).alias(f"_x{i}") for i in range(1, max_lag + 1)])
@@ -414,26 +418,31 @@ def _granger_solve(pdf, group_cols: list[str], max_lag: int):
     k = 2 * max_lag + 1
 
     def ssrs(r, p):
-        zz = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                zz[i, j] = zz[j, i] = r[f"zz_{i}_{j}"]
-        zy = np.array([r[f"zy_{i}"] for i in range(k)])
-
-        def ssr(idx):
-            a, b = zz[np.ix_(idx, idx)], zy[idx]
-            beta = np.linalg.lstsq(a, b, rcond=None)[0]
-            return max(float(r["yy"] - beta @ b), 0.0)
-
-        res = [0] + list(range(1, p + 1))
-        return ssr(res), ssr(res + list(range(max_lag + 1, max_lag + p + 1)))
+        """(restricted SSR, unrestricted SSR, rank): what elimination of the regressors, in order,
+        leaves of y'y; a regressor of which nothing is left is collinear and takes nothing."""
+        order = [*range(p + 1), *range(max_lag + 1, max_lag + p + 1)]
+        m = np.zeros((len(order) + 1, len(order) + 1))
+        for a, i in enumerate(order):
+            for b, j in enumerate(order):
+                m[a, b] = r[f"zz_{min(i, j)}_{max(i, j)}"]
+            m[a, -1] = m[-1, a] = r[f"zy_{i}"]
+        m[-1, -1] = r["yy"]
+        size, rank, ssr_r = np.diag(m).copy(), 0, 0.0
+        for step in range(len(order)):
+            if m[step, step] > COLLINEAR * size[step]:
+                m = m - np.outer(m[:, step], m[step]) / m[step, step]
+                rank += 1
+            if step == p:
+                ssr_r = m[-1, -1]
+        none = COLLINEAR * size[-1]
+        return (float(ssr_r) if ssr_r > none else 0.0), (float(m[-1, -1]) if m[-1, -1] > none else 0.0), rank
 
     recs = pdf.to_dict("records")
     common = {int(r["lag"]): r for r in recs if r["common"]}
     out = []
     for r in sorted((r for r in recs if not r["common"]), key=lambda r: r["lag"]):
         p, n = int(r["lag"]), int(r["n"])
-        ssr_r, ssr_u = ssrs(r, p)
+        ssr_r, ssr_u, rank = ssrs(r, p)
         df_den = n - (2 * p + 1)
         if df_den > 0 and ssr_u > 0:
             f = (ssr_r - ssr_u) / p / (ssr_u / df_den)
@@ -444,12 +453,12 @@ def _granger_solve(pdf, group_cols: list[str], max_lag: int):
         if p in common:
             c = common[p]
             n_bic = int(c["n"])
-            _, ssr_c = ssrs(c, p)
+            _, ssr_c, _ = ssrs(c, p)
             if n_bic > 2 * p + 1 and ssr_c > 0:
                 bic = n_bic * math.log(ssr_c / n_bic) + (2 * p + 1) * math.log(n_bic)
         out.append({**{g: r[g] for g in group_cols}, "lag": p, "n": n, "ssr_restricted": ssr_r,
                     "ssr_unrestricted": ssr_u, "f_stat": f, "df_num": p, "df_den": df_den,
-                    "p_value": pv, "bic": bic, "n_bic": n_bic})
+                    "p_value": pv, "bic": bic, "n_bic": n_bic, "rank": rank})
     res = pd.DataFrame(out)
     if len(res):
         finite = res["bic"].replace([np.inf, -np.inf], np.nan)
@@ -468,7 +477,7 @@ def granger_causality(df: DataFrame, y: str, x: str, group_cols: list[str] | Non
     (SSR_u/(n − 2p − 1)) with its p-value.  Lags are compared on one common
     sample (rows with all max_lag lags, ``n_bic`` of them): the unrestricted
     model's BIC n·ln(SSR_u/n) + (2p+1)·ln n there; ``selected`` marks the
-    lowest.
+    lowest.  ``rank`` below 2p + 1 tells of collinear regressors.
     Rows are reduced to moments by one Spark aggregate; only those ≤ max_lag
     moment rows per group reach the Python solve (``applyInPandas``)."""
     groups = list(group_cols or [])
@@ -517,64 +526,158 @@ def cluster_bootstrap(df: DataFrame, cluster: str, value: str, replicates: int =
     return boot.select("mean", "boot_std", F.col("_ci")[0].alias("ci_low"), F.col("_ci")[1].alias("ci_high"))
 
 
-def _demeaned(d: DataFrame, cols: list[str], entity: str, time: str) -> DataFrame:
-    """One round of alternating projections: entity means, then date means.  Both are
-    partial aggregates joined back; a date's firms never meet in one task."""
-    for g in (entity, time):
-        means = d.groupBy(F.col(g).alias("_g")).agg(*[F.avg(c).alias(f"_m{c}") for c in cols])
-        d = d.join(means, F.col(g).eqNullSafe(F.col("_g"))).select(
-            entity, time, *[(F.col(c) - F.col(f"_m{c}")).alias(c) for c in cols])
-    return d
+#: A regressor counts as collinear if so much of it, relative to its size, is left.
+COLLINEAR = 1e-9
+
+#: Tasks that add up date-by-date matrices: each sends one (dates squared doubles) to the sum.
+MATRIX_TASKS = 32
+
+
+def _firm_rows(df: DataFrame, cols: list[str], entity: str, time: str, dates: DataFrame) -> DataFrame:
+    """One row a firm: its cells (date index, rows, sums of the variables) and its raw cross products.
+    Rows are summed by firm and date first, so a firm of any size has a row a date at most."""
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    cells = df.groupBy(entity, time).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(c).alias(c) for c in cols],
+        *[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"c{i}_{j}") for i, j in pairs])
+    placed = cells.join(F.broadcast(dates), F.col(time).eqNullSafe(F.col("_date")))
+    return placed.groupBy(entity).agg(
+        F.collect_list("_t").alias("t"), F.collect_list("n").alias("n"),
+        *[F.collect_list(c).alias(c) for c in cols], *[F.sum(f"c{i}_{j}").alias(f"c{i}_{j}") for i, j in pairs])
+
+
+def _firms(pdf, k: int):
+    """(date indexes, rows, sums (dates x variables), cross products) of each firm row."""
+    for r in pdf.itertuples(index=False):
+        t, n = np.asarray(r.t, dtype=int), np.asarray(r.n, dtype=float)
+        s = np.column_stack([np.asarray(getattr(r, f"v{i}"), dtype=float) for i in range(k)])
+        cross = np.array([[getattr(r, f"c{min(i, j)}_{max(i, j)}") for j in range(k)] for i in range(k)], dtype=float)
+        yield t, n, s, cross
+
+
+def _date_effects(firms: DataFrame, k: int, n_dates: int, tol: float, most_rounds: int) -> tuple[np.ndarray, ...]:
+    """The normal equations with the firm effects eliminated are a matrix over dates; returns the date
+    effects that solve them, the date sums of the firm-demeaned variables and their cross products."""
+    def partial(batches):
+        outer = np.zeros((n_dates, n_dates))
+        count, sums, cross = np.zeros(n_dates), np.zeros((n_dates, k)), np.zeros((k, k))
+        for pdf in batches:
+            weights = np.zeros((len(pdf), n_dates))
+            for i, (t, n, s, c) in enumerate(_firms(pdf, k)):
+                total = n.sum()
+                mean = s.sum(axis=0) / total
+                weights[i, t] = n / np.sqrt(total)
+                count[t] += n
+                sums[t] += s - np.outer(n, mean)
+                cross += c - total * np.outer(mean, mean)
+            outer += weights.T @ weights
+        outer = np.diag(count) - outer
+        rows = [(i, outer[i:i + 64].tobytes()) for i in range(0, n_dates, 64)]
+        yield pd.DataFrame([*rows, (-1, sums.tobytes()), (-2, cross.tobytes())], columns=["part", "block"])
+
+    def add(pdf):
+        total = sum(np.frombuffer(b) for b in pdf["block"])
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "block": [total.tobytes()]})
+
+    def solve(pdf):
+        done = {part: np.frombuffer(block) for part, block in zip(pdf["part"], pdf["block"])}
+        matrix = np.concatenate([done[i] for i in range(0, n_dates, 64)]).reshape(n_dates, n_dates)
+        effects = _solve_dates(matrix, done[-1].reshape(n_dates, k), tol, most_rounds)
+        return pd.DataFrame({"effects": [effects.tobytes()], "sums": [done[-1].tobytes()], "cross": [done[-2].tobytes()]})
+
+    # the blocks of the sum meet in one task, which solves them: the calendar squared, whatever the panel
+    kind = "part int, block binary"
+    r = (firms.repartition(MATRIX_TASKS).mapInPandas(partial, kind).groupBy("part").applyInPandas(add, kind)
+         .groupBy(F.lit("all")).applyInPandas(solve, "effects binary, sums binary, cross binary").first())
+    return tuple(np.frombuffer(r[c]).reshape(-1, k) for c in ("effects", "sums", "cross"))
+
+
+def _solve_dates(matrix: np.ndarray, sums: np.ndarray, tol: float, most_rounds: int) -> np.ndarray:
+    """Date effects.  The matrix is singular along each set of dates that firms connect, so every
+    set gets its own mean of zero as one more equation.  What a solve leaves over is solved again
+    until it is below ``tol``, relative to the right-hand side; not a number if that is not reached."""
+    n = len(matrix)
+    label, sets = np.full(n, -1), 0
+    for start in range(n):
+        if label[start] < 0:
+            label[start], queue = sets, [start]
+            while queue:
+                found = np.flatnonzero((matrix[queue.pop()] != 0) & (label < 0))
+                label[found] = sets
+                queue.extend(found)
+            sets += 1
+    member = label[:, None] == np.arange(sets)
+    scale = np.diag(matrix)
+    anchor = member @ (member / member.sum(axis=0)).T * np.where(scale > 0, scale, 1.0).mean()
+    effects = np.linalg.solve(matrix + anchor, sums)
+    size = np.abs(sums).max(axis=0)
+    for _ in range(most_rounds):
+        left = sums - matrix @ effects
+        if (np.abs(left).max(axis=0) <= tol * size).all():
+            return effects
+        effects = effects + np.linalg.solve(matrix + anchor, left)
+    return np.full_like(effects, np.nan)
 
 
 def panel_fit(df: DataFrame, y: str, xs: list[str], entity: str = "ticker", time: str = "date",
-              tol: float = 1e-10, most_rounds: int = 1000) -> dict:
-    """Two-way fixed-effects regression of ``y`` on several ``xs`` with
-    entity-clustered errors: slopes, errors, n_obs, n_entities, rank and rounds.
-
-    Unbalanced panels are demeaned by alternating projections until the largest
-    entity mean, relative to its variable's own spread, is below ``tol``; if
-    ``most_rounds`` do not reach it the fit fails instead of returning an
-    unconverged slope.  Every round ends in a reliable checkpoint.  The demeaned
-    variables are scaled before the k x k solve; collinear ones show in ``rank``."""
-    cols = [f"_v{i}" for i in range(len(xs) + 1)]
-    named = [F.col(c).cast("double").alias(n) for c, n in zip([y, *xs], cols)]
+              tol: float = 1e-10, most_rounds: int = 20) -> dict:
+    """Two-way fixed-effects regression of ``y`` on several ``xs`` with entity-clustered errors:
+    slopes, errors, n_obs, n_entities and rank.
+
+    Exact for any panel: the firms are eliminated in closed form by one aggregate, and the date
+    effects solve the system that is left, whose size is the calendar (a few thousand dates; one
+    task solves it).  The panel is read three times: for the means, the firm rows, which are
+    written to the checkpoint folder, and from these the matrix and the clustered errors.  Rows with
+    a null variable take no part; a null firm or date is a level of its own.  Variables are scaled
+    before the k x k solve; ``rank`` counts the regressors that are not collinear.  If refinement does
+    not bring the system's residual below ``tol`` the fit fails."""
+    cols = [f"v{i}" for i in range(len(xs) + 1)]
+    k = len(cols)
     complete = F.lit(True)
     for c in (y, *xs):
         complete = complete & F.col(c).isNotNull()
-    d = cut_lineage(df.filter(complete).select(entity, time, *named))
-    spread = d.agg(*[F.stddev_pop(c).alias(c) for c in cols], F.count(F.lit(1)).alias("n"),
-                   F.count_distinct(entity).alias("e")).collect()[0]
-    if not spread["n"]:
-        return {"slopes": [None] * len(xs), "errors": [None] * len(xs), "n_obs": 0, "n_entities": 0, "rank": 0, "rounds": 0}
-    for rounds in range(1, most_rounds + 1):
-        d = cut_lineage(_demeaned(d, cols, entity, time))
-        worst = (d.groupBy(entity).agg(*[F.abs(F.avg(c)).alias(c) for c in cols])
-                 .agg(*[F.max(c).alias(c) for c in cols]).collect()[0])
-        if all((worst[c] or 0.0) <= tol * (spread[c] or 1.0) for c in cols):
-            break
-    else:
-        raise RuntimeError(f"fixed effects did not converge to {tol} in {most_rounds} rounds")
-    k = len(xs)
-    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
-    cross = d.agg(*[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"c{i}_{j}") for i, j in pairs]).collect()[0]
-    moment = np.array([[cross[f"c{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)])
-    scale = np.sqrt(np.maximum(np.diag(moment)[1:], 0.0))
-    scale[scale == 0] = 1.0
+    rows = df.filter(complete).select(F.col(entity).alias("_firm"), F.col(time).alias("_day"),
+                                      *[F.col(c).cast("double").alias(n) for c, n in zip([y, *xs], cols)])
+    base = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in cols]).first()
+    if not base["n"]:
+        return {"slopes": [None] * len(xs), "errors": [None] * len(xs), "n_obs": 0, "n_entities": 0, "rank": 0}
+    centred = rows.select("_firm", "_day", *[(F.col(c) - F.lit(base[c])).alias(c) for c in cols])
+    days = [r[0] for r in rows.select("_day").distinct().collect()]      # the calendar
+    dates = df.sparkSession.createDataFrame(
+        [(d, i) for i, d in enumerate(days)], T.StructType([T.StructField("_date", rows.schema["_day"].dataType),
+                                                            T.StructField("_t", T.IntegerType())]))
+    firms = cut_lineage(_firm_rows(centred, cols, "_firm", "_day", dates).drop("_firm"))
+    effects, sums, cross = _date_effects(firms, k, len(days), tol, most_rounds)
+    if np.isnan(effects).any():
+        raise RuntimeError(f"fixed effects did not reach {tol} in {most_rounds} rounds")
+    moment = cross - sums.T @ effects
+    gone = np.diag(moment)[1:] <= COLLINEAR * np.diag(cross)[1:]           # the levels explain the regressor
+    moment[1:, 1:][gone] = moment[1:, 1:][:, gone] = 0.0
+    moment[1:, 0][gone] = 0.0
+    scale = np.sqrt(np.where(gone, 1.0, np.diag(moment)[1:]))
     xx, xy = moment[1:, 1:] / np.outer(scale, scale), moment[1:, 0] / scale
-    rank = int(np.linalg.matrix_rank(xx))
-    inverse = np.linalg.pinv(xx)
+    rank = int(np.linalg.matrix_rank(xx, tol=COLLINEAR))
+    inverse = np.linalg.pinv(xx, rcond=COLLINEAR, hermitian=True)
     slopes = inverse @ xy / scale
-    residual = F.col(cols[0])
-    for b, c in zip(slopes, cols[1:]):
-        residual = residual - F.lit(float(b)) * F.col(c)
-    scores = d.groupBy(entity).agg(*[F.sum(F.col(c) * residual).alias(c) for c in cols[1:]])
-    meat = scores.agg(*[F.sum(F.col(cols[i + 1]) * F.col(cols[j + 1])).alias(f"m{i}_{j}")
-                        for i in range(k) for j in range(i, k)]).collect()[0]
-    m = np.array([[meat[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / np.outer(scale, scale)
+    weights = np.concatenate([[1.0], -slopes])
+
+    def meat(batches):
+        total, n = np.zeros((k - 1, k - 1)), 0
+        for pdf in batches:
+            for t, rows_, s, c in _firms(pdf, k):
+                own = (s - rows_[:, None] * effects[t]).sum(axis=0) / rows_.sum()
+                fitted = own + effects[t]
+                inner = c - fitted.T @ s - s.T @ fitted + fitted.T @ (rows_[:, None] * fitted)
+                score = inner[1:] @ weights
+                total += np.outer(score, score)
+                n += 1
+        yield pd.DataFrame({"n": [n], "meat": [total.tobytes()]})
+
+    parts = firms.mapInPandas(meat, "n bigint, meat binary").collect()   # k x k numbers a task
+    m = sum(np.frombuffer(r["meat"]).reshape(k - 1, k - 1) for r in parts) / np.outer(scale, scale)
     errors = np.sqrt(np.maximum(np.diag(inverse @ m @ inverse), 0.0)) / scale
-    return {"slopes": [float(b) for b in slopes], "errors": [float(e) for e in errors], "n_obs": int(spread["n"]),
-            "n_entities": int(spread["e"]), "rank": rank, "rounds": rounds}
+    return {"slopes": [float(v) for v in slopes], "errors": [float(e) for e in errors], "n_obs": int(base["n"]),
+            "n_entities": sum(r["n"] for r in parts), "rank": rank}
 
 
 def panel_ols_fe(df: DataFrame, y: str, x: str, entity: str = "ticker", time: str = "date",

@@ -166,29 +166,91 @@ def predict_date(spark, d):
 
 
 GRANGER_LAGS = 5
+COLLINEAR = M.COLLINEAR
 
 
 def _panel(spark, d):
     return FE.feature_panel(I.filings(spark, d), I.bars_long(spark, d), _vectors(spark), DEFAULT_LEXICON, 64)
 
 
-@query("granger_panel")
+def _granger_sql(source: str) -> str:
+    """Moments of every lag's regression as lists of lists, eliminated column by column; the F test's
+    tail by the series of the incomplete beta function.  ``source``: g (group), date, y, x."""
+    lags = range(1, GRANGER_LAGS + 1)
+    whole = lambda p: " AND ".join(f"y{i} IS NOT NULL AND x{i} IS NOT NULL" for i in range(1, p + 1))
+    design = "CASE p " + " ".join(
+        f"WHEN {p} THEN [1.0, {', '.join(f'y{i}' for i in range(1, p + 1))}, {', '.join(f'x{i}' for i in range(1, p + 1))}, y]"
+        for p in lags) + " END"
+    beta = lambda x, a, b: (  # noqa: E731 - I_x(a, b)
+        f"exp({a} * ln({x}) + {b} * ln(1 - {x}) + lgamma({a} + {b}) - lgamma({a}) - lgamma({b})) / {a} * "
+        f"list_sum(list_transform(range(3000), lambda n: exp(lgamma({a} + {b} + n) - lgamma({a} + {b}) - lgamma({a} + 1 + n) "
+        f"+ lgamma({a} + 1) + n * ln({x}))))")
+    return f"""{PANEL_SQL.replace("WITH ", "WITH RECURSIVE ", 1)},
+panel AS (SELECT w.ticker, w.date, w.sentiment_score, f.return_1d AS forward_return
+          FROM wide w JOIN nextday x USING (ticker, date)
+          LEFT JOIN fac f ON f.ticker = w.ticker AND f.date = x.trade_date),
+src AS ({source}),
+centred AS (SELECT g, date, y - avg(y) OVER (PARTITION BY g) AS y, x - avg(x) OVER (PARTITION BY g) AS x FROM src),
+lagged AS (SELECT g, y, {", ".join(f"lag({c}, {i}) OVER w AS {c}{i}" for c in "yx" for i in lags)}
+           FROM centred WINDOW w AS (PARTITION BY g ORDER BY date)),
+deep AS (SELECT *, CASE {" ".join(f"WHEN {whole(p)} THEN {p}" for p in reversed(lags))} ELSE 0 END AS depth
+         FROM lagged WHERE y IS NOT NULL),
+served AS (SELECT *, unnest(range(1, depth + 1)) AS p, false AS common FROM deep
+           UNION ALL SELECT *, unnest(range(1, {GRANGER_LAGS + 1})) AS p, true AS common FROM deep WHERE depth = {GRANGER_LAGS}),
+vec AS (SELECT g, p, common, {design} AS z FROM served),
+pair AS (SELECT g, p, common, i, j, count(*) AS n, sum(z[i] * z[j]) AS v
+         FROM (SELECT g, p, common, z, unnest(range(1, len(z) + 1)) AS i FROM vec), range(1, {2 * GRANGER_LAGS + 3}) t(j)
+         WHERE j <= len(z) GROUP BY g, p, common, i, j),
+line AS (SELECT g, p, common, i, any_value(n) AS n, list(v ORDER BY j) AS r FROM pair GROUP BY g, p, common, i),
+step AS (SELECT g, p, common, any_value(n) AS n, 1 AS k, list(r ORDER BY i) AS m, list(r[i] ORDER BY i) AS size,
+                0 AS rank, 0.0::DOUBLE AS ssr_r FROM line GROUP BY g, p, common
+  UNION ALL
+  SELECT g, p, common, n, k + 1, m, size, rank, CASE WHEN k = 1 + p THEN m[2 * p + 2][2 * p + 2] ELSE ssr_r END
+  FROM (SELECT g, p, common, n, k, size, ssr_r, rank + (m[k][k] > {COLLINEAR} * size[k])::INT AS rank,
+               CASE WHEN m[k][k] > {COLLINEAR} * size[k]
+                    THEN list_transform(range(1, 2 * p + 3), lambda i: list_transform(range(1, 2 * p + 3),
+                           lambda j: m[i][j] - m[i][k] * m[k][j] / m[k][k])) ELSE m END AS m
+        FROM step WHERE k <= 2 * p + 1)),
+done AS (SELECT g, p, common, n, rank, 2 * p + 1 AS k, n - (2 * p + 1) AS df,
+                CASE WHEN ssr_r > {COLLINEAR} * size[2 * p + 2] THEN ssr_r ELSE 0.0 END AS ssr_r,
+                CASE WHEN m[2 * p + 2][2 * p + 2] > {COLLINEAR} * size[2 * p + 2] THEN m[2 * p + 2][2 * p + 2] ELSE 0.0 END AS ssr_u
+         FROM step WHERE k = 2 * p + 2),
+own AS (SELECT *, CASE WHEN df > 0 AND ssr_u > 0 THEN (ssr_r - ssr_u) / p / (ssr_u / df) END AS f FROM done WHERE NOT common),
+bics AS (SELECT g, p, n AS n_bic, CASE WHEN n > k AND ssr_u > 0 THEN n * ln(ssr_u / n) + k * ln(n) END AS bic FROM done WHERE common),
+tail AS (SELECT o.*, b.bic, coalesce(b.n_bic, 0) AS n_bic, df / 2.0 AS a, o.p / 2.0 AS b, df / (df + o.p * f) AS q
+         FROM own o LEFT JOIN bics b ON b.g = o.g AND b.p = o.p)
+SELECT g, p::INT AS lag, n, round(ssr_r, 6) AS ssr_restricted, round(ssr_u, 6) AS ssr_unrestricted, round(f, 6) AS f_stat,
+       p::INT AS df_num, df::INT AS df_den,
+       round(CASE WHEN f IS NULL THEN NULL WHEN f <= 0 THEN 1.0
+                  WHEN q <= (a + 1) / (a + b + 2) THEN {beta("q", "a", "b")}
+                  ELSE 1 - ({beta("(1 - q)", "b", "a")}) END, 6) AS p_value,
+       round(bic, 6) AS bic, n_bic, rank::INT AS rank,
+       bic IS NOT NULL AND p = first_value(p) OVER (PARTITION BY g ORDER BY bic NULLS LAST, p) AS selected
+FROM tail"""
+
+
+def _missing_as_null(df):
+    return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@query("granger_panel", f"""SELECT g AS ticker, * EXCLUDE (g) FROM (
+{_granger_sql("SELECT ticker AS g, date, forward_return AS y, sentiment_score AS x FROM panel")})""")
 def granger_panel(spark, d):
     """Per firm: does lagged firm-day sentiment help predict the next trading
-    day's return (lags 1..5, F test, BIC-selected lag)?  Rows-only check; the
-    unit test compares with a brute-force least-squares fit."""
+    day's return (lags 1..5, F test, BIC-selected lag)?"""
     g = M.granger_causality(_panel(spark, d), "forward_return", "sentiment_score", ["ticker"], "date",
                             GRANGER_LAGS)
-    return rounded(g)
+    return rounded(_missing_as_null(g))
 
 
-@query("granger_index")
+@query("granger_index", f"""SELECT * EXCLUDE (g) FROM (
+{_granger_sql("SELECT 1 AS g, date, avg(forward_return) AS y, avg(sentiment_score) AS x FROM panel GROUP BY date")})""")
 def granger_index(spark, d):
     """The same test on the equal-weighted series: mean next-day return and
     mean sentiment over firms per date."""
     idx = (_panel(spark, d).groupBy("date")
            .agg(F.avg("forward_return").alias("forward_return"), F.avg("sentiment_score").alias("sentiment_score")))
-    return rounded(M.granger_causality(idx, "forward_return", "sentiment_score", None, "date", GRANGER_LAGS))
+    return rounded(_missing_as_null(M.granger_causality(idx, "forward_return", "sentiment_score", None, "date", GRANGER_LAGS)))
 
 
 DECILE_SQL = f"""{BF_SQL},
@@ -320,15 +382,77 @@ def cluster_bootstrap(spark, d):
     return rounded(M.cluster_bootstrap(bar_features(spark, d), "ticker", TARGET, B, BOOT_SEED))
 
 
-@query("panel_fixed_effects")
+def _sweep_sql(n: int) -> str:
+    """``m`` after Gauss-Jordan elimination of column ``k`` of an n-row matrix (a list of lists)."""
+    return (f"list_transform(range(1, {n + 1}), lambda i: CASE WHEN i = k "
+            "THEN list_transform(m[k], lambda v: v / m[k][k]) "
+            "ELSE list_transform(range(1, len(m[k]) + 1), lambda j: m[i][j] - m[i][k] * m[k][j] / m[k][k]) END)")
+
+
+def _solved_sql(n: int, source: str) -> str:
+    """CTEs that reduce the n-row matrix ``m`` of the one-row table ``source`` to [identity | solution]."""
+    return f"""swept AS (SELECT 1 AS k, m FROM {source}
+  UNION ALL SELECT k + 1, {_sweep_sql(n)} FROM swept WHERE k <= {n}),
+solved AS (SELECT m FROM swept WHERE k = {n + 1})"""
+
+
+PANEL_ROUNDS = 40
+
+
+def _panel_fe_sql(xs: list[str]) -> str:
+    """Within-firm and within-date means taken out in turn until nothing changes, then the slopes by
+    elimination on their cross products and the firms' scores."""
+    v = ["y", *[f"x{i}" for i in range(1, len(xs) + 1)]]
+    minus = lambda by: ", ".join(f"{c} - avg({c}) OVER (PARTITION BY {by}) AS {c}" for c in v)
+    k = len(xs)
+    matrix = "[" + ", ".join("[" + ", ".join([f"sum(x{i} * x{j})" for j in range(1, k + 1)] + [f"sum(x{i} * y)"]
+                                             + [f"{float(i == j)}" for j in range(1, k + 1)]) + "]" for i in range(1, k + 1)) + "]"
+    fit = " - ".join(["y"] + [f"m[{i}][{k + 1}] * x{i}" for i in range(1, k + 1)])
+    bread = lambda i, j: f"m[{i}][{k + 1 + j}]"
+    error = {i: " + ".join(f"{bread(i, a)} * {bread(i, b)} * sum(s{a} * s{b})" for a in range(1, k + 1) for b in range(1, k + 1))
+             for i in range(1, k + 1)}
+    return f"""{BF_SQL.replace("WITH ", "WITH RECURSIVE ", 1)},
+start AS (SELECT ticker, date, {TARGET} AS y, {", ".join(f"{x} AS x{i}" for i, x in enumerate(xs, 1))} FROM bf
+          WHERE {TARGET} IS NOT NULL AND {" AND ".join(f"{x} IS NOT NULL" for x in xs)}),
+turn AS (SELECT 0 AS round, * FROM start
+  UNION ALL SELECT round + 1, ticker, date, {minus("date")} FROM (SELECT round, ticker, date, {minus("ticker")} FROM turn)
+  WHERE round < {PANEL_ROUNDS}),
+within_ AS (SELECT * FROM turn WHERE round = {PANEL_ROUNDS}),
+moment AS (SELECT {matrix} AS m FROM within_),
+{_solved_sql(k, "moment")},
+score AS (SELECT m, ticker, count(*) AS n, {", ".join(f"sum(x{i} * ({fit})) AS s{i}" for i in range(1, k + 1))}
+          FROM within_, solved GROUP BY m, ticker),
+coefficient AS (SELECT unnest([{", ".join(f"'{x}'" for x in xs)}]) AS term,
+       unnest([{", ".join(f"m[{i}][{k + 1}]" for i in range(1, k + 1))}]) AS slope,
+       unnest([{", ".join(f"sqrt({error[i]})" for i in range(1, k + 1))}]) AS cluster_se,
+       sum(n)::BIGINT AS n_obs, count(*) AS n_entities FROM score GROUP BY m)"""
+
+
+@query("panel_fixed_effects", f"""{_panel_fe_sql(["return_20d"])}
+SELECT round(slope, 6) AS slope, round(cluster_se, 6) AS cluster_se, n_obs, n_entities FROM coefficient""")
 def panel_fixed_effects(spark, d):
     """Two-way (firm, date) fixed-effects slope of next-day return on 20-day
-    momentum with firm-clustered error (iterative demeaning: rows-only check;
-    unit-tested against a dense least-squares solve)."""
+    momentum with firm-clustered error."""
     return rounded(M.panel_ols_fe(bar_features(spark, d), TARGET, "return_20d"))
 
 
-@query("ols_multi")
+def _ols_multi_sql() -> str:
+    """Normal equations of the centred regressors, then their elimination."""
+    k = len(FEATS)
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in [*FEATS, TARGET])
+    cov = lambda a, b: f"covar_pop({a}, {b})"
+    matrix = "[" + ", ".join("[" + ", ".join([cov(a, b) for b in FEATS] + [cov(a, TARGET)]) + "]" for a in FEATS) + "]"
+    return f"""{BF_SQL.replace("WITH ", "WITH RECURSIVE ", 1)},
+whole AS (SELECT * FROM bf WHERE {complete}),
+moment AS (SELECT {matrix} AS m FROM whole),
+{_solved_sql(k, "moment")},
+means AS (SELECT avg({TARGET}) AS y, [{", ".join(f"avg({c})" for c in FEATS)}] AS x FROM whole)"""
+
+
+@query("ols_multi", f"""{_ols_multi_sql()}
+SELECT 'intercept' AS term, round(y - list_sum(list_transform(range(1, {len(FEATS) + 1}), lambda i: x[i] * m[i][{len(FEATS) + 1}])), 6) AS coefficient
+FROM means, solved
+UNION ALL SELECT unnest([{", ".join(f"'{c}'" for c in FEATS)}]), round(unnest(list_transform(m, lambda r: r[{len(FEATS) + 1}])), 6) FROM solved""")
 def ols_multi(spark, d):
     """Multi-factor OLS of next-day return (coefficients from one aggregate of
     cross-products; unit-tested against numpy)."""
@@ -336,11 +460,12 @@ def ols_multi(spark, d):
     return rounded(M.coefficient_frame(spark, model))
 
 
-@query("panel_multi_factor")
+@query("panel_multi_factor", f"""{_panel_fe_sql(["return_1d", "return_20d", "volume_ratio"])}
+SELECT term, round(slope, 9) AS slope, round(cluster_se, 9) AS cluster_se, round(slope / cluster_se, 9) AS t, n_obs, n_entities
+FROM coefficient""")
 def panel_multi_factor(spark, d):
     """Two-way fixed effects of the next-day return on three regressors with
-    firm-clustered errors (iterative: no SQL form; unit-tested against dense
-    dummy-variable least squares)."""
+    firm-clustered errors."""
     return rounded(M.panel_coefficients(bar_features(spark, d), TARGET, ["return_1d", "return_20d", "volume_ratio"]), 9)
 
 
