@@ -1,7 +1,7 @@
 """The registered query catalogue (importing the modules registers them)."""
 
-from tidemark.plans import (q_aspects, q_features, q_filings, q_models, q_novelty, q_prices,  # noqa: F401
-                            q_sentiment, q_sources)
+from tidemark.plans import (q_aspects, q_features, q_filings, q_models, q_novelty, q_operators,  # noqa: F401
+                            q_prices, q_sentiment, q_sources)
 from tidemark.plans.q_streaming import STREAM_QUERIES
 from tidemark.plans.registry import ORACLES, QUERIES, query
 

@@ -10,7 +10,7 @@ from tidemark.operators import prices as PR
 from tidemark.plans import inputs as I
 from tidemark.plans import sqlparts as P
 from tidemark.plans.registry import query, rounded
-from tidemark.sources.sinks import upsert_latest
+from tidemark.sources.sinks import refresh_prices
 
 CLEAN_SQL = """clean AS (
   SELECT * FROM bars
@@ -139,12 +139,8 @@ def prices_refresh(spark, d):
     """Re-pulled last days replace stored bars (latest write wins); returns and
     volatility are derived from the merged history, not from the slice."""
     clean = PR.clean_prices(I.bars_short(spark, d)).select("ticker", "date", "close")
-    stored = clean.withColumn("created_at", F.lit(datetime(2024, 2, 1)))
-    fresh = (clean.filter(F.col("date") >= F.lit(REFRESH_FROM).cast("date"))
-             .withColumn("close", F.col("close") * 1.01)
-             .withColumn("created_at", F.lit(datetime(2024, 2, 2))))
-    merged = upsert_latest(stored, fresh, ["ticker", "date"], ["created_at"]).drop("created_at")
-    return rounded(PR.with_returns(merged))
+    fresh = clean.filter(F.col("date") >= F.lit(REFRESH_FROM).cast("date")).withColumn("close", F.col("close") * 1.01)
+    return rounded(refresh_prices(clean, fresh, PR.with_returns))
 
 
 @query("prices_requested_vs_found", f"""WITH {P.BARS_LONG},
