@@ -32,6 +32,23 @@ TEXT = ("The été title First paragraph, with bold and a link, long enough to w
         "Second paragraph ’s text & more words to have weight. item one item two cell other")
 
 
+@pytest.mark.parametrize("page,text", [
+    ('<svg class="i"/><article><p>Whole article.</p></article>', "Whole article."),
+    ('<article><p>One <svg><title>icon</title><path d="M0"/></svg>two.</p></article>', "One two."),
+    ("<article><p>Before.</p><select><option>x<p>After.</p></article>", "Before. x After."),
+    ('<article><h2 class="section-header">Head</h2><p class="market-share">Share rose.</p>'
+     '<p class="notice-period">A month.</p><p class="comment-on-law">On law.</p></article>', "Head Share rose. A month. On law."),
+    ('<article><p>Kept.</p><div class="cookie-notice">Gone</div><p class="share-buttons">Gone</p><div class="ad">Gone</div>'
+     "</article>", "Kept."),
+    ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here.</p></article>", "Let x=2 here."),
+    ("<article><p title=it's>It's text.</p><p title='a>b'>More.</p></article>", "It's text. More."),
+    ('<div class="post"><p>Short post of some words here.</p></div><section class="responses"><p>Reader says great things at '
+     "some length, longer than the post is by far, and again great.</p></section>", "Short post of some words here."),
+])
+def test_extract_loses_and_leaks_nothing(page, text):
+    assert H.extract(f"<html><body>{page}</body></html>", None) == text
+
+
 def test_extract():
     assert H.extract(PAGE, None) == TEXT
     assert H.extract(PAGE, "html>body.no-sidebar>div.post.post-#") == TEXT

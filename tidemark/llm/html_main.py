@@ -30,10 +30,16 @@ from tidemark.session import cut_lineage
 BROADCAST_HOSTS = 50_000
 SALTS = 32
 
+# What follows a tag name: a value may be quoted (and then hold '>'); a quote anywhere else is a character.
+_ATTRIBUTES = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+'|)[^>=]*+)*+"""
+# Raw text runs to its end tag or the end of the page; foreign and form content only to an end tag that
+# is there, as an element closed at once, or never, holds nothing.
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|math|object|textarea|select|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)"
+    rf"|<(?P<raw>script|style|noscript|iframe|title|textarea)(?=[\s/>]){_ATTRIBUTES}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<box>svg|template|object|select)(?=[\s/>]){_ATTRIBUTES}(?<!/)>.*?</(?P=box)\s*>"
+    rf"|</?(?:svg|template|object|select)(?=[\s/>]){_ATTRIBUTES}>"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>{_ATTRIBUTES})(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
 _CLASS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -42,7 +48,8 @@ _DIGITS = re.compile(r"\d+")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i",
           "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong",
-          "sub", "sup", "time", "tt", "u", "var", "img", "wbr"}
+          "sub", "sup", "time", "tt", "u", "var", "img", "wbr",
+          "math", "mfrac", "mi", "mn", "mo", "mrow", "mspace", "msqrt", "msub", "msubsup", "msup", "mtext", "semantics"}
 #: Elements that hold one piece of running text; they are not containers.
 TEXT_BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote", "dd", "dt", "figcaption", "caption",
                "td", "th", "tr", "tbody", "thead", "table", "ul", "ol", "dl", "figure", "address", "summary"}
@@ -52,11 +59,14 @@ EXCLUDED_TAGS = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "
 #: Words of a class, id or role that mark such a subtree.
 EXCLUDED_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs",
                   "comment", "comments", "complementary", "contentinfo", "consent", "cookie", "cookies", "copyright",
-                  "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation",
-                  "newsletter", "notice", "pagination", "popup", "promo", "promoted", "related", "replies", "search",
+                  "discussion", "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation",
+                  "newsletter", "notice", "pagination", "popup", "promo", "promoted", "related", "replies", "responses", "search",
                   "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 #: Words of a class, id or role that mark the content itself: a header in it keeps its headings.
 CONTENT_WORDS = {"article", "content", "entry", "main", "post", "story"}
+#: Words of a class name that say nothing of what it marks.
+NEUTRAL_WORDS = {"area", "bar", "block", "box", "button", "buttons", "container", "inner", "item", "items", "label", "link",
+                 "links", "list", "note", "outer", "section", "slot", "text", "title", "unit", "wrap", "wrapper"}
 _NEGATION = {"no", "has", "with", "without", "non"}
 #: Elements that these start tags close implicitly, up to the nearest stop element.
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
@@ -73,10 +83,12 @@ class _Element:
         self.heading_only, self.content = heading_only, content
 
 
-def _label(tag: str, attrs: str) -> tuple[str, set[str]]:
-    """Generalised name of an element and the marking words of its class, id and role."""
+def _label(tag: str, attrs: str) -> tuple[str, set[str], bool]:
+    """Generalised name of an element, the marking words of its class, id and role, and whether one
+    of these names says nothing but that: ``cookie-notice`` does, ``market-share`` does not."""
     classes: list[str] = []
     marks: set[str] = set()
+    plainly = False
     if attrs and not attrs.isspace():
         for m in _CLASS.finditer(attrs):
             value = html.unescape(m[2] or m[3] or m[4] or "")
@@ -89,7 +101,12 @@ def _label(tag: str, attrs: str) -> tuple[str, set[str]]:
                     if before not in _NEGATION:
                         marks.add(token)
                     before = token
-    return ".".join([tag, *classes]), marks
+                words = {t.lower() for t in _TOKEN.findall(name)}
+                # a neutral word in front makes the name a part of the content: section-header
+                first = next((t.lower() for t in _TOKEN.findall(name)), "")
+                plainly |= bool(words & EXCLUDED_WORDS) and words <= EXCLUDED_WORDS | NEUTRAL_WORDS and (
+                    first in EXCLUDED_WORDS)
+    return ".".join([tag, *classes]), marks, plainly
 
 
 class Block:
@@ -176,14 +193,14 @@ def blocks_of(page: str) -> list[Block]:
             flush()
         parent = stack[-1]
         attrs = m["attrs"] or ""
-        name, marks = _label(tag, attrs)
+        name, marks, plainly = _label(tag, attrs)
         excluded, heading_only = parent.excluded, parent.heading_only
         content = parent.content or tag in ("article", "main")
         if not excluded and tag not in ("html", "body", "main", "article"):
             content = content or (tag not in INLINE and bool(marks & CONTENT_WORDS) and not marks & EXCLUDED_WORDS)
             if tag == "header" and parent.content:
                 heading_only = True
-            elif tag in EXCLUDED_TAGS or marks & EXCLUDED_WORDS:
+            elif tag in EXCLUDED_TAGS or (plainly if parent.content else marks & EXCLUDED_WORDS):
                 excluded = True
         path = parent.path if tag in INLINE else f"{parent.path}>{name}" if parent.path else name
         if not attrs.rstrip().endswith("/") or tag not in INLINE:
