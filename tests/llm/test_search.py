@@ -271,3 +271,16 @@ def test_pipeline_runs_and_packs(spark):
     rows = corpus_pipeline.run(spark, SMOKE).collect()
     assert rows and max(r.offset + r.length for r in rows) <= 4096
     assert packing.pack  # the last stage's operator
+
+
+def test_long_items_are_not_broadcast_whole(spark):
+    """Both joins find the same passages of an item of thousands of words."""
+    words = [f"w{i}" for i in range(4000)]
+    items = spark.createDataFrame([(1, " ".join(words)), (1, "other text under the same id of nine words"), (None, " ".join(words[100:140]))],
+                                  "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "x y z " + " ".join(words[2000:2020])), (2, " ".join(words[90:150])), (3, "nothing here")],
+                                 "doc_id bigint, text string")
+    near = D.report(docs, items).orderBy("doc_id").collect()
+    far = sorted(D.contaminated(docs, items, broadcast_bytes=100).select("doc_id", "item_id", "surplus").collect(), key=repr)
+    assert far == sorted(D.contaminated(docs, items).select("doc_id", "item_id", "surplus").collect(), key=repr)
+    assert [(r.doc_id, r.contaminated, r.n_items) for r in near] == [(1, True, 1), (2, True, 1), (3, False, 0)]
