@@ -117,3 +117,11 @@ def test_toxicity_query_on_held_out_documents(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     unseen = [r for r in rows if r.held_out]
     assert np.mean([r.predicted == r.toxic for r in unseen]) > 0.8
+
+
+def test_toxicity_sample_is_bounded_after_the_join(spark):
+    a, b, c = [i for i in range(50) if zlib.crc32(str(i).encode()) % 5][:3]          # ids that may teach
+    docs = spark.createDataFrame([(a, f"bad text {i}") for i in range(50)] + [(b, "x" * 300), (c, "fine")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(a, 1), (b, 0), (c, 0)], "doc_id bigint, toxic int")
+    rows = tx.training_sample(docs, labels, by_label=(2, 2), most_chars=200).collect()
+    assert sorted((r.label, r.text[:3]) for r in rows) == [(0, "fin"), (1, "bad"), (1, "bad")]

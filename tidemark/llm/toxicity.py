@@ -28,6 +28,8 @@ from tidemark.llm.common import crc_mod, slices, texts_of
 
 #: Bound of the training sample: so many labelled documents of label 1 and of label 0.
 SAMPLE_BY_LABEL = (1500, 4500)
+#: Characters of a text that is learnt from, at most.
+SAMPLE_CHARS = 200_000
 BUCKETS = 1 << 17
 DIMENSION = 8
 WINDOW = 16
@@ -217,11 +219,12 @@ def _train(texts: list[str], labels: list[int], epochs: int, batch: int, rate: f
     return ToxicityModel(vectors @ (softmax[:, 1] - softmax[:, 0]), float(bias[1] - bias[0]))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, *, by_label: tuple[int, int] = SAMPLE_BY_LABEL) -> DataFrame:
+def training_sample(docs: DataFrame, labels: DataFrame, *, by_label: tuple[int, int] = SAMPLE_BY_LABEL,
+                    most_chars: int = SAMPLE_CHARS) -> DataFrame:
     """(text, label) of the labelled documents, ``by_label`` of label 1 and 0 at most, drawn
     by a hash of the id from those whose crc32(doc_id) mod 5 is not 0.  Rows
-    with a null text, id or label teach nothing; a repeated document or label row
-    counts as often as it is there."""
+    with a null text, id or label, and texts over ``most_chars`` characters, teach nothing; a
+    repeated document or label row counts as often as it is there, within the same bounds."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where(
         F.col("label").isin(0, 1) & (crc_mod(F.col("doc_id"), 5) != 0))
     drawn = None
@@ -230,7 +233,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, *, by_label: tuple[int,
         drawn = part if drawn is None else drawn.unionByName(part)
     # broadcast: sum(by_label) rows at most, so no text is shuffled
     drawn = F.broadcast(drawn)
-    return docs.select("doc_id", "text").where("text is not null").join(drawn, "doc_id").select("text", "label")
+    met = docs.select("doc_id", "text").where(F.length("text") <= most_chars).join(drawn, "doc_id")
+    bounded = None
+    for label, most in zip((1, 0), by_label):              # ids may repeat: the bound holds for what is collected
+        part = met.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(most)
+        bounded = part if bounded is None else bounded.unionByName(part)
+    return bounded.select("text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, by_label: tuple[int, int] = SAMPLE_BY_LABEL) -> ToxicityModel:
