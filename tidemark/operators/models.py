@@ -429,7 +429,7 @@ def _granger_solve(pdf, group_cols: list[str], max_lag: int):
         m[-1, -1] = r["yy"]
         size, rank, ssr_r = np.diag(m).copy(), 0, 0.0
         for step in range(len(order)):
-            if m[step, step] > COLLINEAR * size[step]:
+            if rank < r["n"] and m[step, step] > COLLINEAR * size[step]:     # no more than one a row
                 m = m - np.outer(m[:, step], m[step]) / m[step, step]
                 rank += 1
             if step == p:

@@ -206,8 +206,8 @@ step AS (SELECT g, p, common, any_value(n) AS n, 1 AS k, list(r ORDER BY i) AS m
                 0 AS rank, 0.0::DOUBLE AS ssr_r FROM line GROUP BY g, p, common
   UNION ALL
   SELECT g, p, common, n, k + 1, m, size, rank, CASE WHEN k = 1 + p THEN m[2 * p + 2][2 * p + 2] ELSE ssr_r END
-  FROM (SELECT g, p, common, n, k, size, ssr_r, rank + (m[k][k] > {COLLINEAR} * size[k])::INT AS rank,
-               CASE WHEN m[k][k] > {COLLINEAR} * size[k]
+  FROM (SELECT g, p, common, n, k, size, ssr_r, rank + (rank < n AND m[k][k] > {COLLINEAR} * size[k])::INT AS rank,
+               CASE WHEN rank < n AND m[k][k] > {COLLINEAR} * size[k]
                     THEN list_transform(range(1, 2 * p + 3), lambda i: list_transform(range(1, 2 * p + 3),
                            lambda j: m[i][j] - m[i][k] * m[k][j] / m[k][k])) ELSE m END AS m
         FROM step WHERE k <= 2 * p + 1)),
