@@ -6,6 +6,7 @@ import re
 
 import pytest
 from llm_cases import edge, empty, small_docs  # noqa: F401
+from pyspark.sql import functions as F
 
 from tidemark.llm import components as C
 from tidemark.llm import line_dedup, shingle_join, substring_dedup
@@ -239,6 +240,37 @@ def test_line_edges(edge, empty):
     assert line_dedup.deduplicate(empty).count() == 0 and line_dedup.report(empty).count() == 0
 
 
+def test_line_columns_of_any_name(spark):
+    names = ("_kept", "_kept_for", "_all", "_stay", "_0", "_1", "_2", "_3", "c0", "c1", "all", "nth", "other_no")
+    rows = frame(spark, [(1, "one two\nthree"), (2, "One two\nfour")])
+    for name in (*names, "_lines", "_removed"):
+        rows = rows.withColumn(name, F.lit(name))
+    got = line_dedup.deduplicate(rows)
+    assert got.columns == ["doc_id", "text", *names, "_lines", "_removed"]
+    assert sorted((r.doc_id, r.text, r._lines, r._removed) for r in got.collect()) == [(1, "one two\nthree", 2, 0), (2, "four", 2, 1)]
+    assert all(r[n] == n for r in got.collect() for n in names)
+
+
+def test_line_family_costs_a_pair_each(spark, monkeypatch):
+    base = [f"r{i}" for i in range(40)]
+    rows = [(k, " ".join([*base, f"q{k}"])) for k in range(400)]
+    tried = []
+    whole = line_dedup._matched
+    monkeypatch.setattr(line_dedup, "_matched", lambda docs, pairs: tried.append(pairs.count()) or whole(docs, pairs))
+    assert sum(r.n_removed for r in line_dedup.report(frame(spark, rows)).collect()) == 399
+    assert tried == [399]
+
+
+def test_line_rounds_reach_every_candidate(spark):
+    """Decoys that pass the filters but do not match come before the one that does."""
+    rng = random.Random(5)
+    base = [f"r{i}" for i in range(60)]
+    decoys = [(k, " ".join(base[: 50 - k % 3] + [f"d{k}x{i}" for i in range(rng.randrange(4, 9))])) for k in range(30)]
+    rows = decoys + [(100 + k, " ".join([*base, f"q{k}"])) for k in range(5)]
+    got = sorted(tuple(r) for r in line_dedup.report(frame(spark, rows)).collect())
+    assert got == brute_lines(rows)
+
+
 def test_line_join_uses_no_python(small_docs):
     plan = line_dedup.deduplicate(small_docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)

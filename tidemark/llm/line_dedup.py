@@ -10,21 +10,23 @@ reaches the threshold, whether or not that line is itself removed.
 2. Lines with equal sets form a class; all but its first line are removed.  Copies
    are counted by partial aggregates, so a line in a third of all documents is one class.
 3. Two classes can only match if they share a word among their rarest words.  Each
-   class posts that prefix once; the join keeps pairs that pass the length and positional filters and whose prefixes do
-   not already lack too many words of each other.
-4. The words of the remaining pairs are fetched from the texts and compared whole.
-
-Words are told apart by 56 bits of their hash within a rarity rank.
+   class posts that prefix once; the join keeps pairs that pass the length and positional
+   filters and whose prefixes do not already lack too many words of each other.
+4. One match is enough to remove a line, so a round takes each open line's earliest
+   untried candidates only, one at first and ``WIDER`` times as many in each next round.
+   Their lines are fetched from the texts and compared word by word; a line that matched
+   or has no candidate left is settled.  So many near copies of one line cost a pair each.
+
+Words are told apart by 56 bits of their hash within a rarity rank until they are compared.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD_BREAK, words
 from tidemark.session import cut_lineage
 
 #: Jaccard threshold as a ratio of integers, so that the comparison is exact.
@@ -35,9 +37,11 @@ BUCKETS = 1 << 16
 #: Sets of this size or less match only if they are equal, below the threshold's resolution.
 ONLY_EQUAL = OVER - 1
 
-#: Documents whose lines are compared that are broadcast, so that no text is shuffled for them; more are
-#: joined by a shuffle.
-BROADCAST_DOCS = 200_000
+#: Growth of the number of candidates that a line may try in a round.
+WIDER = 8
+#: Line numbers of the texts to compare are broadcast up to this size, so that no text is shuffled for
+#: them; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 _BLANK = r"^[\x20\x09-\x0D]*+\z"
 
@@ -51,13 +55,21 @@ def is_blank(line: Column) -> Column:
     return line.rlike(_BLANK)
 
 
+def line_words(line: Column) -> Column:
+    """The words of a lower-cased line, as ``common.words`` has them; a line holds no line feed,
+    and one plain separator is cheaper to split at than a pattern."""
+    for other in "\t\x0b\x0c\r":
+        line = F.replace(line, F.lit(other), F.lit(" "))
+    return F.array_remove(F.split(F.lower(line), " "), "")
+
+
 def _bucket(h: Column) -> Column:
     return F.pmod(h, F.lit(BUCKETS)).cast("int")
 
 
 def rarity_ranks(docs: DataFrame) -> bytes:
     """Rank (1 to 127, rising with frequency) of each hash bucket of words."""
-    counted = (docs.select(F.explode(words(F.lower(F.col("text")))).alias("w"))
+    counted = (docs.select(F.explode(line_words(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))).alias("w"))
                .groupBy(_bucket(F.xxhash64("w")).alias("bucket")).agg(F.count(F.lit(1)).alias("n")))
     ranks = bytearray(b"\x01" * BUCKETS)
     for r in counted.collect():                     # at most BUCKETS rows
@@ -68,11 +80,11 @@ def rarity_ranks(docs: DataFrame) -> bytes:
 def word_keys(line: Column, ranks: bytes) -> Column:
     """The distinct words of a line as sorted 63-bit keys, rarest first: rank, then hash."""
     table = F.lit(ranks)
-    hashed = F.transform(words(F.lower(line)), lambda w: F.xxhash64(w))
+    hashed = F.array_distinct(F.transform(line_words(line), lambda w: F.xxhash64(w)))
     key = F.transform(hashed, lambda h: F.shiftleft(
         F.ascii(F.substring(table, _bucket(h) + 1, F.lit(1)).cast("string")).cast("bigint"), 56).bitwiseOR(
         F.shiftrightunsigned(h, 8)))
-    return F.sort_array(F.array_distinct(key))
+    return F.array_distinct(F.sort_array(key))
 
 
 def _prefix(n: Column) -> Column:
@@ -89,35 +101,56 @@ def _bits(prefix: Column) -> Column:
         F.call_function("shiftleft", F.lit(1).cast("bigint"), w.bitwiseAND(63))))
 
 
-def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """(doc, no, other_doc, other_no): a class and an earlier one that pass the filters.
-
-    ``most`` is what two sets can still share from a common word on; as the shorter side
-    is y, it also leaves out y's words beyond its own, shorter index prefix (both sides
-    read one exchange, so that prefix is not cut off before).  Of the two
-    prefixes, the one that ends earlier lies whole within the order range of the other:
-    its words that the other's signature lacks are not in the other set at all."""
-    placed = classes.where(F.col("n") > ONLY_EQUAL).select(
+def _postings(classes: DataFrame) -> DataFrame:
+    return classes.where(F.col("n") > ONLY_EQUAL).select(
         "doc", "no", "n", _bits(F.col("prefix")).alias("bits"), F.element_at("prefix", -1).alias("last"),
         F.posexplode("prefix").alias("at", "word"))
-    x = placed.alias("x")
-    y = placed.alias("y")
 
-    most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+
+def candidate_pairs(classes: DataFrame, opened: DataFrame | None, most: int) -> DataFrame:
+    """(doc, no, other_doc, other_no, nth): of each open class the ``most`` earliest classes before
+    it that pass the filters and come after the last one tried, numbered from 1.
+
+    ``opened`` has (doc, no, tried_doc, tried_no); None: every class is open and untried.
+    ``rest`` is what two sets can still share from a common word on.  Of the two
+    prefixes, the one that ends earlier lies whole within the order range of the other:
+    its words that the other's signature lacks are not in the other set at all."""
+    x = _postings(classes if opened is None else classes.join(opened.select("doc", "no"), ["doc", "no"], "left_semi"))
+    x, y = x.alias("x"), _postings(classes).alias("y")
+    rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
     lacks = F.when(F.col("x.last") <= F.col("y.last"),
                    F.col("x.n") - F.bit_count(F.col("x.bits").bitwiseAND(F.bitwise_not("y.bits")))).otherwise(
         F.col("y.n") - F.bit_count(F.col("y.bits").bitwiseAND(F.bitwise_not("x.bits"))))
-    # the index entry is the shorter (or equal) side
-    lengths = (F.col("y.n") <= F.col("x.n")) & (F.col("y.n") * UNDER >= F.col("x.n") * OVER)
-    enough = F.least(most, lacks) * (OVER + UNDER) >= (F.col("x.n") + F.col("y.n")) * OVER
-    differ = (F.col("x.doc") != F.col("y.doc")) | (F.col("x.no") != F.col("y.no"))
-    met = x.join(y, (F.col("x.word") == F.col("y.word")) & differ & lengths & enough)
-    first = F.struct(F.col("x.doc"), F.col("x.no")) < F.struct(F.col("y.doc"), F.col("y.no"))
-    return met.select(
-        F.when(first, F.col("y.doc")).otherwise(F.col("x.doc")).alias("doc"),
-        F.when(first, F.col("y.no")).otherwise(F.col("x.no")).alias("no"),
-        F.when(first, F.col("x.doc")).otherwise(F.col("y.doc")).alias("other_doc"),
-        F.when(first, F.col("x.no")).otherwise(F.col("y.no")).alias("other_no")).distinct()
+    lengths = F.least("x.n", "y.n") * UNDER >= F.greatest("x.n", "y.n") * OVER
+    enough = F.least(rest, lacks) * (OVER + UNDER) >= (F.col("x.n") + F.col("y.n")) * OVER
+    earlier = (F.col("y.doc") < F.col("x.doc")) | ((F.col("y.doc") == F.col("x.doc")) & (F.col("y.no") < F.col("x.no")))
+    met = x.join(y, (F.col("x.word") == F.col("y.word")) & earlier & lengths & enough).select(
+        F.col("x.doc").alias("doc"), F.col("x.no").alias("no"), F.col("y.doc").alias("other_doc"),
+        F.col("y.no").alias("other_no"))
+    if opened is not None:
+        met = met.join(opened, ["doc", "no"]).where(
+            F.struct("other_doc", "other_no") > F.struct("tried_doc", "tried_no")).drop("tried_doc", "tried_no")
+    order = Window.partitionBy("doc", "no").orderBy("other_doc", "other_no")
+    return met.withColumn("nth", F.dense_rank().over(order)).where(F.col("nth") <= most).distinct()
+
+
+def _matched(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc, no): the lines whose words reach the threshold with a partner's."""
+    ends = pairs.select("doc", "no").union(pairs.select("other_doc", "other_no"))
+    wanted = cut_lineage(ends.groupBy("doc").agg(F.collect_set("no").alias("wanted")))     # lines of one document
+    size = wanted.agg(F.sum(F.size("wanted") * 8 + 32)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        wanted = F.broadcast(wanted)
+    at = F.transform("wanted", lambda no: F.struct(no.alias("no"), F.get("all", no).alias("line")))
+    lines = (docs.join(wanted, F.col("doc_id") == F.col("doc"))
+             .select("doc", "wanted", lines_of(F.col("text")).alias("all"))
+             .select("doc", F.inline(at)).where("line is not null"))
+    one = lines
+    two = lines.toDF("other_doc", "other_no", "other_line")
+    a, b = (F.array_distinct(line_words(F.col(c))) for c in ("line", "other_line"))
+    sets = pairs.join(two, ["other_doc", "other_no"]).join(one, ["doc", "no"]).select("doc", "no", a.alias("a"), b.alias("b"))
+    shared = F.size(F.array_intersect("a", "b"))
+    return sets.where(shared * (UNDER + OVER) >= (F.size("a") + F.size("b")) * OVER).select("doc", "no").distinct()
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
@@ -135,22 +168,18 @@ def kept_lines(docs: DataFrame) -> DataFrame:
                                      F.first("prefix").alias("prefix"))
         .select(F.col("first.doc_id").alias("doc"), F.col("first.no").alias("no"), "n", "prefix"))
 
-    pairs = cut_lineage(candidate_pairs(classes))
-    ends = pairs.select("doc", "no").union(pairs.select("other_doc", "other_no")).distinct()
-    wanted = cut_lineage(ends.groupBy("doc").agg(F.collect_list("no").alias("wanted")))     # lines of one document
-    if wanted.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS:
-        wanted = F.broadcast(wanted)
-    fetched = docs.join(wanted, F.col("doc_id") == F.col("doc")).select(
-        "doc_id", "wanted", F.posexplode(lines_of(F.col("text"))).alias("no", "line")).where(
-        F.array_contains("wanted", F.col("no")))
-    compared = cut_lineage(fetched.select("doc_id", "no", word_keys(F.col("line"), ranks).alias("keys")))
-    one = compared.toDF("doc", "no", "keys")
-    two = compared.toDF("other_doc", "other_no", "other_keys")
-    shared = F.size(F.array_intersect("keys", "other_keys"))
-    matched = (pairs.join(one, ["doc", "no"]).join(two, ["other_doc", "other_no"])
-               .where(shared * (UNDER + OVER) >= (F.size("keys") + F.size("other_keys")) * OVER)
-               .select("doc", "no").distinct())
-    return classes.select("doc", "no").join(matched, ["doc", "no"], "left_anti").groupBy("doc").agg(
+    gone, opened, most = None, None, 1
+    while True:
+        pairs = cut_lineage(candidate_pairs(classes, opened, most))
+        matched = cut_lineage(_matched(docs, pairs))
+        gone = matched if gone is None else gone.union(matched)
+        last = pairs.where(F.col("nth") == most).select(
+            "doc", "no", F.col("other_doc").alias("tried_doc"), F.col("other_no").alias("tried_no"))
+        opened = cut_lineage(last.join(matched, ["doc", "no"], "left_anti"))
+        if opened.isEmpty():
+            break
+        most *= WIDER
+    return classes.select("doc", "no").join(gone, ["doc", "no"], "left_anti").groupBy("doc").agg(
         F.collect_list("no").alias("lines"))                                       # lines of one document
 
 
@@ -161,19 +190,26 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Blank lines stay, lines of any other length take part; a text left without
     lines is empty; null and empty texts stay as they are.  Rows with a null id neither
     lose lines nor make others lose them.  Ids are expected to be unique: rows that
-    repeat an id lose the lines that the first of equal lines under that id does not keep."""
+    repeat an id lose the lines that the first of equal lines under that id does not keep.  Extra
+    columns of any name come through, but for ``_lines`` and ``_removed``, which are the
+    counts and replace columns of that name; an empty table gives an empty one."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where(
         "doc_id is not null")
-    kept = kept_lines(rows).withColumnRenamed("doc", "_kept_for").withColumnRenamed("lines", "_kept")
-    all_lines = F.split(F.col(text_col), "\n")
-    stay = F.filter(F.col("_all"), lambda line, no: is_blank(line) | F.col(id_col).isNull()
-                    | F.coalesce(F.array_contains("_kept", no), F.lit(False)))
-    return (docs.join(kept, F.col(id_col).cast("bigint") == F.col("_kept_for"), "left")
-            .withColumn("_all", all_lines).withColumn("_stay", stay)
-            .withColumn(text_col, F.array_join("_stay", "\n"))
-            .withColumn("_lines", F.coalesce(F.size("_all"), F.lit(0)))
-            .withColumn("_removed", F.coalesce(F.size("_all") - F.size("_stay"), F.lit(0)))
-            .select(*docs.columns, "_lines", "_removed"))
+    kept = kept_lines(rows).toDF("_0", "_1").hint("shuffle_hash")       # line numbers are small beside texts: these are not sorted
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    text = F.col(names[text_col])
+    split = docs.toDF(*names.values()).join(kept, F.col(names[id_col]).cast("bigint") == F.col("_0"), "left").select(
+        *names.values(), "_1", F.split(text, "\n").alias("_2"))
+    numbers = F.transform("_2", lambda line, no: F.when(is_blank(line), no))
+    nothing = F.array().cast("array<int>")
+    stay = F.array_sort(F.array_distinct(F.concat(F.coalesce("_1", nothing), F.array_compact(numbers))))
+    left = split.select(*names.values(), "_2", F.when(F.col(names[id_col]).isNull(), F.col("_2")).otherwise(
+        F.array_compact(F.transform(stay, lambda no: F.get("_2", no)))).alias("_3"))
+    return left.select(
+        *[(F.array_join("_3", "\n") if c == text_col else F.col(n)).alias(c) for c, n in names.items()
+          if c not in ("_lines", "_removed")],
+        F.coalesce(F.size("_2"), F.lit(0)).alias("_lines"),
+        F.coalesce(F.size("_2") - F.size("_3"), F.lit(0)).alias("_removed"))
 
 
 def report(docs: DataFrame) -> DataFrame:
