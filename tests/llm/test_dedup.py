@@ -258,17 +258,25 @@ def test_line_family_costs_a_pair_each(spark, monkeypatch):
     whole = line_dedup._matched
     monkeypatch.setattr(line_dedup, "_matched", lambda docs, pairs: tried.append(pairs.count()) or whole(docs, pairs))
     assert sum(r.n_removed for r in line_dedup.report(frame(spark, rows)).collect()) == 399
-    assert tried == [399]
-
-
-def test_line_rounds_reach_every_candidate(spark):
-    """Decoys that pass the filters but do not match come before the one that does."""
-    rng = random.Random(5)
-    base = [f"r{i}" for i in range(60)]
-    decoys = [(k, " ".join(base[: 50 - k % 3] + [f"d{k}x{i}" for i in range(rng.randrange(4, 9))])) for k in range(30)]
-    rows = decoys + [(100 + k, " ".join([*base, f"q{k}"])) for k in range(5)]
+    assert tried == [399, 0]                        # the earliest candidates settle all
+
+
+def test_line_rounds_reach_every_candidate(spark, monkeypatch):
+    """Earlier lines that pass the filters but do not match come before the one that does: with
+    signatures of the prefix alone and one more candidate a round, several rounds are needed."""
+    monkeypatch.setattr(line_dedup, "SIGNED", 1)
+    monkeypatch.setattr(line_dedup, "WIDER", 2)
+    rounds = []
+    whole = line_dedup.candidate_pairs
+    monkeypatch.setattr(line_dedup, "candidate_pairs", lambda *a: rounds.append(a[2]) or whole(*a))
+    rare = [f"r{i}" for i in range(12)]
+    common = [f"c{i}" for i in range(60)]
+    filler = [(500 + k, " ".join(common[j] for j in range(k % 7, 60, 7)) + f" f{k}") for k in range(60)]
+    decoys = [(k, " ".join(rare + random.Random(k).sample(common, 28))) for k in range(9)]
+    last = rare + random.Random(99).sample(common, 28)
+    rows = [*filler, *decoys, (100, " ".join(last)), (101, " ".join([*last, "one"]))]
     got = sorted(tuple(r) for r in line_dedup.report(frame(spark, rows)).collect())
-    assert got == brute_lines(rows)
+    assert got == brute_lines(rows) and len(rounds) > 1
 
 
 def test_line_join_uses_no_python(small_docs):

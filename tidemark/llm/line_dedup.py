@@ -11,10 +11,11 @@ reaches the threshold, whether or not that line is itself removed.
    are counted by partial aggregates, so a line in a third of all documents is one class.
 3. Two classes can only match if they share a word among their rarest words.  Each
    class posts that prefix once; the join keeps pairs that pass the length and positional
-   filters and whose prefixes do not already lack too many words of each other.
+   filters and whose ``SIGNED`` rarest words do not already lack too many of each other.
 4. One match is enough to remove a line, so a round takes each open line's earliest
-   untried candidates only, one at first and ``WIDER`` times as many in each next round.
-   Their lines are fetched from the texts and compared word by word; a line that matched
+   untried candidates only, ``WIDER`` at first and ``WIDER`` times as many in each next round.
+   The lines are fetched from the texts and compared word by word, the earliest candidate
+   first, the others of the round for lines that did not match; a line that matched
    or has no candidate left is settled.  So many near copies of one line cost a pair each.
 
 Words are told apart by 56 bits of their hash within a rarity rank until they are compared.
@@ -37,7 +38,9 @@ BUCKETS = 1 << 16
 #: Sets of this size or less match only if they are equal, below the threshold's resolution.
 ONLY_EQUAL = OVER - 1
 
-#: Growth of the number of candidates that a line may try in a round.
+#: Rarest words of a set that its 64-bit signature covers, or its whole prefix if that is longer.
+SIGNED = 32
+#: Candidates that a line may try in the first round, and growth of that number from round to round.
 WIDER = 8
 #: Line numbers of the texts to compare are broadcast up to this size, so that no text is shuffled for
 #: them; more are joined by a shuffle.
@@ -95,16 +98,15 @@ def _numbered_lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("no", "line")).where(~is_blank(F.col("line")))
 
 
-def _bits(prefix: Column) -> Column:
-    """64-bit signature of the words of a prefix."""
-    return F.aggregate(prefix, F.lit(0).cast("bigint"), lambda bits, w: bits.bitwiseOR(
+def _bits(words: Column) -> Column:
+    """64-bit signature of the shortened keys of words."""
+    return F.aggregate(words, F.lit(0).cast("bigint"), lambda bits, w: bits.bitwiseOR(
         F.call_function("shiftleft", F.lit(1).cast("bigint"), w.bitwiseAND(63))))
 
 
 def _postings(classes: DataFrame) -> DataFrame:
     return classes.where(F.col("n") > ONLY_EQUAL).select(
-        "doc", "no", "n", _bits(F.col("prefix")).alias("bits"), F.element_at("prefix", -1).alias("last"),
-        F.posexplode("prefix").alias("at", "word"))
+        "doc", "no", "n", "bits", "last", F.posexplode("prefix").alias("at", "word"))
 
 
 def candidate_pairs(classes: DataFrame, opened: DataFrame | None, most: int) -> DataFrame:
@@ -112,8 +114,8 @@ def candidate_pairs(classes: DataFrame, opened: DataFrame | None, most: int) ->
     it that pass the filters and come after the last one tried, numbered from 1.
 
     ``opened`` has (doc, no, tried_doc, tried_no); None: every class is open and untried.
-    ``rest`` is what two sets can still share from a common word on.  Of the two
-    prefixes, the one that ends earlier lies whole within the order range of the other:
+    ``rest`` is what two sets can still share from a common word on.  Of the two runs of
+    signed words, the one that ends earlier lies whole within the order range of the other:
     its words that the other's signature lacks are not in the other set at all."""
     x = _postings(classes if opened is None else classes.join(opened.select("doc", "no"), ["doc", "no"], "left_semi"))
     x, y = x.alias("x"), _postings(classes).alias("y")
@@ -158,20 +160,24 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     stay, apart from blank ones, which always do."""
     ranks = rarity_ranks(docs)
     keyed = _numbered_lines(docs).select("doc_id", "no", word_keys(F.col("line"), ranks).alias("keys"))
-    sets = keyed.select(
-        "doc_id", "no", F.xxhash64(F.lit(1), "keys").alias("k1"), F.xxhash64(F.lit(2), "keys").alias("k2"),
-        F.size("keys").alias("n"),
-        F.transform(F.slice("keys", F.lit(1), _prefix(F.size("keys"))),
-                    lambda k: F.shiftright(k, 32).cast("int")).alias("prefix"))
+    n = F.size("keys")
+    short = keyed.select("doc_id", "no", "keys", F.transform(
+        F.slice("keys", F.lit(1), F.greatest(_prefix(n), F.lit(SIGNED))), lambda k: F.shiftright(k, 32).cast("int")).alias("signed"))
+    sets = short.select(
+        "doc_id", "no", F.xxhash64(F.lit(1), "keys").alias("k1"), F.xxhash64(F.lit(2), "keys").alias("k2"), n.alias("n"),
+        _bits(F.col("signed")).alias("bits"), F.element_at("signed", -1).alias("last"),
+        F.slice("signed", F.lit(1), _prefix(n)).alias("prefix"))
     classes = cut_lineage(
-        sets.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.first("n").alias("n"),
-                                     F.first("prefix").alias("prefix"))
-        .select(F.col("first.doc_id").alias("doc"), F.col("first.no").alias("no"), "n", "prefix"))
+        sets.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "no")).alias("first"),
+                                     *[F.first(c).alias(c) for c in ("n", "bits", "last", "prefix")])
+        .select(F.col("first.doc_id").alias("doc"), F.col("first.no").alias("no"), "n", "bits", "last", "prefix"))
 
-    gone, opened, most = None, None, 1
+    gone, opened, most = None, None, WIDER
     while True:
         pairs = cut_lineage(candidate_pairs(classes, opened, most))
-        matched = cut_lineage(_matched(docs, pairs))
+        at_once = cut_lineage(_matched(docs, pairs.where("nth = 1")))
+        others = pairs.where("nth > 1").join(at_once, ["doc", "no"], "left_anti")
+        matched = at_once.union(cut_lineage(_matched(docs, others)))
         gone = matched if gone is None else gone.union(matched)
         last = pairs.where(F.col("nth") == most).select(
             "doc", "no", F.col("other_doc").alias("tried_doc"), F.col("other_no").alias("tried_no"))
