@@ -116,6 +116,21 @@ def test_prices_partitioned_by_ticker_prune(spark, tmp_dir):
     assert "PartitionFilters" in plan and "ticker" in plan and "PushedFilters" in plan
 
 
+def test_price_folders_do_not_grow_with_the_tickers(spark, tmp_dir):
+    cols = "ticker string, date date, open double, high double, low double, close double, volume long"
+    bar = lambda t, day, x: (t, date(2024, 1, day), x, x, x, x, 1)
+    first = [bar(f"T{i}", day, float(i)) for i in range(300) for day in (1, 2)] + [bar(None, 1, 5.0), bar("007", 1, 7.0)]
+    K.write_prices(spark.createDataFrame(first, cols), f"{tmp_dir}/px")
+    assert sum(n.startswith("ticker") for n in os.listdir(f"{tmp_dir}/px")) <= K.PRICE_BUCKETS < 300
+    read = lambda *a: sorted(map(repr, R.read_prices(spark, f"{tmp_dir}/px", *a).select(*[c.split()[0] for c in cols.split(", ")]).collect()))
+    assert read() == sorted(map(repr, spark.createDataFrame(first, cols).collect()))
+    assert len(read("T17")) == 2 and len(read("007")) == 1
+    # the tickers written again are replaced, the others stay
+    K.write_prices(spark.createDataFrame([bar("T17", 9, 1.5), bar(None, 9, 2.5)], cols), f"{tmp_dir}/px")
+    kept = [r for r in first if r[0] not in ("T17", None)] + [bar("T17", 9, 1.5), bar(None, 9, 2.5)]
+    assert read() == sorted(map(repr, spark.createDataFrame(kept, cols).collect()))
+
+
 def test_price_pulls_as_of(spark, tmp_dir):
     cols = "ticker string, date date, close double"
     K.append_price_pull(spark.createDataFrame([("A", date(2024, 1, 1), 10.0)], cols),

@@ -38,7 +38,7 @@ def _written_prices(spark, d) -> str:
 @query("roundtrip_prices", f"""WITH {P.BARS_SHORT}
 SELECT {_BARS_OUT} FROM bars""")
 def roundtrip_prices(spark, d):
-    """Bars written one folder per ticker and read back whole."""
+    """Bars written by ticker and read back whole."""
     return rounded(R.read_prices(spark, _written_prices(spark, d)).select(*BAR_COLS))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.text import zero_fill
+from tidemark.sources.sinks import PRICE_BUCKET, price_bucket
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -23,15 +24,18 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 def read_prices(spark: SparkSession, path: str, ticker: str | None = None,
                 start: date | None = None, end: date | None = None) -> DataFrame:
     """Bars of a ticker and an inclusive date range; the predicates reach the
-    scan (partition pruning on ``ticker``, row-group pushdown on ``date``)."""
+    scan (pruning of the ticker's folder, row-group pushdown on ``ticker`` and ``date``)."""
     df = spark.read.parquet(path)
+    folders = PRICE_BUCKET in df.columns
     if ticker:
         df = df.filter(F.col("ticker") == ticker)
+        if folders:
+            df = df.filter(F.col(PRICE_BUCKET) == price_bucket(F.lit(ticker)))
     if start:
         df = df.filter(F.col("date") >= F.lit(start))
     if end:
         df = df.filter(F.col("date") <= F.lit(end))
-    return df
+    return df.drop(PRICE_BUCKET)
 
 
 def read_news(spark: SparkSession, path: str) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Folders of a price table: a ticker's bars lie in one of them, however many tickers there are.
+PRICE_BUCKETS = 64
+PRICE_BUCKET = "ticker_bucket"
+
 
 def upsert_latest(existing: DataFrame, updates: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """INSERT OR REPLACE semantics: per key the row with the greatest ``order``
@@ -48,9 +53,40 @@ def write_news(df: DataFrame, path: str) -> None:
     write_nonempty(df, path, "articles")
 
 
+def price_bucket(ticker: Column) -> Column:
+    """The folder of a ticker's bars."""
+    return F.pmod(F.crc32(F.coalesce(ticker, F.lit(""))), F.lit(PRICE_BUCKETS)).cast("int")
+
+
+def _stored_prices(df: DataFrame, path: str) -> DataFrame | None:
+    try:
+        return df.sparkSession.read.parquet(path)
+    except AnalysisException as failed:
+        if failed.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def write_prices(df: DataFrame, path: str) -> None:
-    """One layout serves both 'per ticker' and 'combined' readers."""
-    write_table(df, path, partition_by=["ticker"])
+    """One layout serves both 'per ticker' and 'combined' readers: ``PRICE_BUCKETS`` folders of
+    tickers, each a file sorted by ticker and date, so a ticker prunes folders and row groups.
+    The tickers in ``df`` replace their stored bars, others stay.  (A folder for every ticker
+    makes files, renames and listings of their number.)  A table stored with a folder for every
+    ticker keeps that layout."""
+    stored = _stored_prices(df, path)
+    if stored is not None and PRICE_BUCKET not in stored.columns:
+        write_table(df, path, partition_by=["ticker"])
+        return
+    out = df.withColumn(PRICE_BUCKET, price_bucket(F.col("ticker")))
+    if stored is not None:
+        new = df.select(F.col("ticker").alias("_t")).distinct()
+        # at most PRICE_BUCKETS numbers
+        touched = [r[0] for r in out.select(PRICE_BUCKET).distinct().collect()]
+        others = (stored.filter(F.col(PRICE_BUCKET).isin(touched))
+                  .join(new, F.col("ticker").eqNullSafe(F.col("_t")), "left_anti"))
+        out = out.unionByName(others, allowMissingColumns=True)
+    write_table(out.repartition(PRICE_BUCKET).sortWithinPartitions(PRICE_BUCKET, "ticker", "date"), path,
+                partition_by=[PRICE_BUCKET])
 
 
 def write_filing_index(df: DataFrame, path: str) -> None:
