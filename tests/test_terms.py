@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,15 @@ def test_ten_thousand_terms(spark, texts):
     assert rows(texts, T.term_hits(F.col("text"), lexicon, most_bytes=20_000)) == want
 
 
+def test_a_batch_of_texts_is_answered_in_bounded_pieces():
+    pairs = [("a", f"w{i}") for i in range(500)]
+    text = " ".join(t for _, t in pairs)
+    pieces = list(T._matcher(pairs).func(iter([pa.array([text] * 700 + [None, "w1"])])))
+    assert len(pieces) > 2 and all(len(p.flatten()) <= T.MOST_HITS + len(pairs) for p in pieces)
+    found = [h for p in pieces for h in p.to_pylist()]
+    assert found == [[{"aspect": a, "term": t} for a, t in pairs]] * 700 + [[], [{"aspect": "a", "term": "w1"}]]
+
+
 def test_lexicons_from_tables_are_bounded(spark):
     table = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", None), (None, "y"), ("b", "z")], "aspect string, term string")
     assert T.collect_lexicon(table) == {"a": ["x"], "b": ["z"]}

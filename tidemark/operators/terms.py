@@ -17,9 +17,11 @@ in parts of that size, one after the other, each a pass over the text column.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,9 @@ from tidemark.functions.text import fill_text
 #: Bytes of terms and aspects that one UDF carries.
 MOST_BYTES = 16_000_000
 
+#: Hits after which a task sends the texts matched so far on; they are numbers until then.
+MOST_HITS = 100_000
+
 _PLAIN = re.compile(r"[A-Za-z0-9 _\-]*")
 _HITS = "array<struct<aspect:string,term:string>>"
 
@@ -73,22 +78,41 @@ class TermTable:
         literal = max(pieces, key=len) if all(map(_PLAIN.fullmatch, pieces)) else ""
         return literal, expression
 
-    def hits(self, text: str) -> list[tuple[str, str]]:
+    def hit_ids(self, text: str) -> list[int]:
+        """Numbers of the pairs that hit, ascending."""
         found = set(self.always)
         if not self.empty:
             for _, ids in self.automaton.iter(text):
                 found.update(i for i in ids if i not in found
                              and (i not in self.checks or self.checks[i].search(text)))
         found.update(i for i, expression in self.tried if expression.search(text))
-        return [self.pairs[i] for i in sorted(found)]
+        return sorted(found)
+
+    def hits(self, text: str) -> list[tuple[str, str]]:
+        return [self.pairs[i] for i in self.hit_ids(text)]
 
 
 def _matcher(pairs: list[tuple[str, str]]):
-    @F.pandas_udf(_HITS)
-    def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(_HITS)
+    def match(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = TermTable(pairs)
+        aspects, terms = (pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1))
+
+        def hits(offsets: list[int], ids: array) -> pa.Array:
+            picked = pa.array(np.frombuffer(ids, dtype=np.int32))
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(
+                [aspects.take(picked), terms.take(picked)], ["aspect", "term"]))
+
         for texts in batches:
-            yield pd.Series([[{"aspect": a, "term": t} for a, t in table.hits(text)] for text in texts.fillna("")])
+            offsets, ids = [0], array("i")
+            for text in texts:
+                ids.extend(table.hit_ids(text.as_py() or ""))
+                offsets.append(len(ids))
+                if len(ids) >= MOST_HITS:     # a batch of texts is answered in pieces of bounded size
+                    yield hits(offsets, ids)
+                    offsets, ids = [0], array("i")
+            if len(offsets) > 1 or not len(texts):
+                yield hits(offsets, ids)
 
     return match
 
