@@ -17,3 +17,13 @@ def test_personal_data_is_looked_for_once(spark):
     # an inferred filter on the exploded array would run every pattern a second time
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == len(FI.PII_PATTERNS)
+
+
+def test_trigrams_are_dealt_once(spark):
+    df = spark.createDataFrame([(1, "a b c a b c"), (1, "a b c"), (2, "x a b c"), (None, "a b c"), (3, None)], "i int, text string")
+    out = FI.trigram_tfidf(df, "i", "text")
+    assert {(r.i, r.gram): (r.tf, r.df) for r in out.collect()} == {
+        (1, "a b c"): (3, 3), (1, "b c a"): (1, 1), (1, "c a b"): (1, 1), (2, "x a b"): (1, 1), (2, "a b c"): (1, 3),
+        (None, "a b c"): (1, 3)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(i" not in plan
