@@ -5,6 +5,7 @@ import os
 from datetime import date, datetime
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tidemark.operators import prices as PR
@@ -45,6 +46,25 @@ def test_stream_filings_reads_only_new_files(spark, tmp_dir):
     assert got == ["a-1", "a-2"]          # each file exactly once across runs
 
 
+def test_files_are_listed_and_read_by_tasks(spark, tmp_dir):
+    for i, at in enumerate(["1/a b%é#?x.txt", "2/sub/deep/r.txt", "2/_a=1/x.txt", "_metadata/y.txt", "top.txt",
+                            "_hidden/c.txt", "2/_h.txt", "2/.g.txt", "2/n.md", "2/_metadata_x.txt"]):
+        _write(f"{tmp_dir}/in/{at}", f"text {i}")
+    _write(f"{tmp_dir}/in/2/empty.txt", "")
+    found = R.whole_files(spark, f"{tmp_dir}/in", "*.txt")
+    plain = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
+             .load(f"{tmp_dir}/in").select("path", F.col("_metadata.file_path").alias("file_path"), "length", "content"))
+    assert sorted(found.collect()) == sorted(plain.collect()) and found.count() == 5
+    # the driver knows none of the files
+    assert plain.inputFiles() and not found.inputFiles()
+    assert not R.read_filing_corpus(spark, f"{tmp_dir}/in").inputFiles()
+    assert not R.file_fingerprints(spark, f"{tmp_dir}/in").inputFiles()
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        R.whole_files(spark, f"{tmp_dir}/none")
+    assert R.whole_files(spark, f"{tmp_dir}/in/top.txt").count() == 1
+    assert R.whole_files(spark, f"{tmp_dir}/in/2", "[mn].md").count() == 1
+
+
 def test_index_files_bind_columns_by_header(spark, tmp_dir):
     from tidemark.operators import filings as FI
     header = "Company Name".ljust(62) + "Form Type".ljust(12) + "CIK".ljust(12) + "Date Filed".ljust(12) + "File Name"

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,17 +44,132 @@ def read_news(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Bytes and files that a reading task hands on at once.
+SLICE_BYTES, SLICE_FILES = 16 << 20, 1000
+
+
+def _folder(spark: SparkSession, root: str):
+    """(file system, base path, the base as Spark spells it) of a folder that tasks can list
+    by themselves; None: a file, a pattern, a missing path or an unknown file system."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", root):
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+        root = f"file:{os.path.abspath(root)}" if default.startswith("file:") else default.rstrip("/") + root
+    try:
+        if root.startswith("file:"):
+            base = os.path.normpath("/" + root.removeprefix("file:").lstrip("/"))
+            files, spelled = fs.LocalFileSystem(), f"file:{base}"
+        else:
+            files, base = fs.FileSystem.from_uri(root)
+            spelled = root.rstrip("/")
+        return (files, base, spelled) if files.get_file_info(base).type == fs.FileType.Directory else None
+    except (pa.ArrowException, OSError, ValueError):
+        return None
+
+
+def whole_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """(path, file_path, length, content) of every file below ``root`` whose name matches ``glob``:
+    the rows that Spark's ``binaryFile`` source finds (no hidden and no empty files), ``file_path``
+    being the path as ``_metadata`` spells it.
+
+    That source lists all files into the driver.  Here tasks list the folders and read the files, so the
+    driver holds no name: one task lists ``root`` itself, every folder in it is walked by one
+    task, and the files are dealt out over the shuffle partitions.  What tasks cannot list goes through
+    Spark's source."""
+    found = None if re.search(r"[\[\]{}\\]", glob) else _folder(spark, root)
+    if found is None:
+        df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+              .option("pathGlobFilter", glob).load(root))
+        return df.select("path", F.col("_metadata.file_path").alias("file_path"), "length", "content")
+    files, base, spelled = found
+    most_bytes, most_files = SLICE_BYTES, SLICE_FILES
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def inside(folder):
+        """(folders, files) of a folder, as Spark sees them."""
+        from fnmatch import fnmatchcase
+
+        from pyarrow import fs
+
+        dirs, names = [], []
+        for f in files.get_file_info(fs.FileSelector(folder)):
+            hidden = (f.base_name.startswith("_") and "=" not in f.base_name) or f.base_name.startswith(".") or \
+                f.base_name.endswith("._COPYING_")
+            if f.type == fs.FileType.Directory:
+                if not hidden or f.base_name.startswith(("_metadata", "_common_metadata")):
+                    dirs.append(f.path)
+            elif f.size and not hidden and fnmatchcase(f.base_name, glob):
+                names.append(f.path)
+        return dirs, names
+
+    def batch_of(dirs, names):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([pa.array(dirs + names, pa.string()),
+                                           pa.array([True] * len(dirs) + [False] * len(names), pa.bool_())], ["at", "folder"])
+
+    def first(batches):
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                yield batch_of(*inside(at))
+
+    def walked(batches):
+        for batch in batches:
+            for at, folder in zip(*(c.to_pylist() for c in batch.columns)):
+                if not folder:
+                    yield batch_of([], [at])
+                    continue
+                left = [at]
+                while left:
+                    dirs, names = inside(left.pop())
+                    left += dirs
+                    yield batch_of([], names)
+
+    def read(batches):
+        from urllib.parse import quote
+
+        import pyarrow as pa
+
+        def rows(held):
+            paths = [spelled + at[len(base):] for at, _ in held]
+            urls = ["".join(c if ord(c) > 127 else quote(c, safe="/~!@$&*()_+-=:;',.") for c in p) for p in paths]
+            return pa.RecordBatch.from_arrays([
+                pa.array(paths, pa.string()), pa.array(urls, pa.string()),
+                pa.array([len(b) for _, b in held], pa.int64()), pa.array([b for _, b in held], pa.binary())],
+                ["path", "file_path", "length", "content"])
+
+        held, size = [], 0
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                with files.open_input_stream(at, compression=None) as f:
+                    content = f.read()
+                if held and (size + len(content) > most_bytes or len(held) >= most_files):
+                    yield rows(held)
+                    held, size = [], 0
+                held.append((at, content))
+                size += len(content)
+        if held:
+            yield rows(held)
+
+    listed = "at string, folder boolean"
+    top = spark.createDataFrame([(base,)], "at string").coalesce(1).mapInArrow(first, listed)
+    named = top.repartition(parts).mapInArrow(walked, listed)
+    return named.select("at").repartition(parts).mapInArrow(
+        read, "path string, file_path string, length bigint, content binary")
+
+
 def read_filing_corpus(spark: SparkSession, root: str) -> DataFrame:
     """Every ``*.txt`` below ``root`` as one row (whole file), with CIK and
     accession cut from the path ``…/<cik>/<accession>.txt``."""
-    df = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
-    path = F.col("_metadata.file_path")
-    return df.select(
-        path.alias("file_path"),
+    path = F.col("file_path")
+    return whole_files(spark, root, "*.txt").select(
+        path,
         F.regexp_extract(path, r"([^/]+)$", 1).alias("file_name"),
         zero_fill(F.regexp_extract(path, r"/([0-9]+)/[^/]+$", 1), 10).alias("cik"),
         F.regexp_extract(path, r"([^/]+)\.txt$", 1).alias("accession"),
-        F.col("value").alias("raw"),
+        F.col("content").cast("string").alias("raw"),
     )
 
 
@@ -120,7 +237,5 @@ def write_lexicon(spark: SparkSession, lexicon: dict, path: str) -> None:
 
 
 def file_fingerprints(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """SHA-256 of every file's bytes (binaryFile source)."""
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-          .option("pathGlobFilter", glob).load(root))
-    return df.select("path", "length", F.sha2(F.col("content"), 256).alias("sha256"))
+    """SHA-256 of every file's bytes."""
+    return whole_files(spark, root, glob).select("path", "length", F.sha2(F.col("content"), 256).alias("sha256"))
