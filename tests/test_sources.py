@@ -65,6 +65,17 @@ def test_files_are_listed_and_read_by_tasks(spark, tmp_dir):
     assert R.whole_files(spark, f"{tmp_dir}/in/2", "[mn].md").count() == 1
 
 
+def test_stream_of_many_files_takes_few_tasks(spark, tmp_dir):
+    for i in range(320):                                  # ten scan partitions of 32 files
+        _write(f"{tmp_dir}/in/{i % 3}/a-{i}.txt", f"text {i}")
+    q = (stream_filings(spark, f"{tmp_dir}/in").writeStream.format("parquet").option("path", f"{tmp_dir}/out")
+         .option("checkpointLocation", f"{tmp_dir}/ck").trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    got = spark.read.parquet(f"{tmp_dir}/out")
+    assert sorted((r.accession, r.raw) for r in got.collect()) == sorted((f"a-{i}", f"text {i}") for i in range(320))
+    assert len(got.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_index_files_bind_columns_by_header(spark, tmp_dir):
     from tidemark.operators import filings as FI
     header = "Company Name".ljust(62) + "Form Type".ljust(12) + "CIK".ljust(12) + "Date Filed".ljust(12) + "File Name"
