@@ -2,7 +2,11 @@
 
 import re
 
+from pyspark.sql import functions as F
+
+from tidemark.functions.plan import materialize
 from tidemark.operators import filings as FI
+from tidemark.operators import sentiment as S
 
 TEXTS = ["SSN 123-45-6789 and 12-3456789, mail a.b@c.org.", "1-23-4567 x@y 123-45-67890", "", None, "-12- 3-1234567 @",
          "_123-45-6789 (987-65-4321)\nq%r@s-t.example; 99-1234567"]
@@ -27,3 +31,12 @@ def test_trigrams_are_dealt_once(spark):
         (None, "a b c"): (1, 3)}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(i" not in plan
+
+
+def test_median_rows_are_computed_once(spark):
+    """The values of a median may come from a scorer over whole texts: nothing of it is left in the result's plan."""
+    rows = spark.createDataFrame([("2024-01-01", "ab"), ("2024-01-01", "abcd"), ("2024-01-02", None), (None, "x")], "date string, t string")
+    scored = materialize(rows, v=F.length("t").cast("double"))
+    got = S.sentiment_time_series(scored, "date", "v", "median")
+    assert sorted((r.date, r.v) for r in got.collect()) == [("2024-01-01", 3.0), ("2024-01-02", None)]
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()

@@ -18,6 +18,7 @@ from tidemark.functions.models import class_scores, normalize_for_keywords
 from tidemark.functions.plan import materialize
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.functions.text import collapse_ws, count_contained, fill_text, is_blank
+from tidemark.session import cut_lineage
 
 CLASSES = ("positive", "negative", "neutral")
 
@@ -132,7 +133,9 @@ def sentiment_time_series(df: DataFrame, date_col: str, value_col: str, how: str
         out = rows.groupBy(date_col).agg(agg.cast("double").alias(value_col))
     else:
         # exact median without gathering a (possibly hot) date into one task;
-        # dates whose values are all NULL keep a NULL median
+        # dates whose values are all NULL keep a NULL median; the values are computed once for
+        # the dates and the medians (what makes them may be a scorer over whole texts)
+        rows = cut_lineage(rows.select(date_col, value_col))
         med = exact_quantiles(rows, value_col, [0.5], [date_col]).select(date_col, F.col("quantile").alias(value_col))
         out = rows.select(date_col).distinct().join(med, date_col, "left")
     if window:
