@@ -88,3 +88,15 @@ def test_granger_of_a_series_far_from_zero_equals_qr(spark):
         assert got[p].rank == 2 * p + 1
     flat = M.granger_causality(df.withColumn("x", F.lit(3.0)), "y", "x", None, "date", 2).collect()
     assert {(r.lag, r.rank) for r in flat} == {(1, 2), (2, 3)}
+
+
+def test_moments_make_their_rows_once(spark):
+    df = spark.createDataFrame([(float(i), float(i * i % 7), 2.0 * i + i * i % 7) for i in range(50)], "a double, b double, y double")
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+    model = M.fit_ols(df.mapInPandas(counted, df.schema), ["a", "b"], "y")
+    assert np.allclose(model.coefficients, [0.0, 2.0, 1.0], atol=1e-9) and model.n == 50 and made.value == 50

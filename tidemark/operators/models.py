@@ -145,12 +145,13 @@ def fit_ols(df: DataFrame, features: list[str], target: str) -> LinearModel:
 
 def centred_moments(df: DataFrame, features: list[str], target: str) -> dict:
     """n, means and centred cross products of complete rows: one aggregate for the
-    means, one for the products about them (no digits are lost to large means)."""
+    means, one for the products about them (no digits are lost to large means).  The rows are
+    checkpointed, so that what makes them runs once."""
     names = [target, *features]
     complete = F.lit(True)
     for c in names:
         complete = complete & F.col(c).isNotNull()
-    d = df.filter(complete).select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)])
+    d = cut_lineage(df.filter(complete).select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)]))
     first = d.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"v{i}").alias(f"m{i}") for i in range(len(names))]).collect()[0]
     k = len(names)
     if not first["n"]:
