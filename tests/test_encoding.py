@@ -4,11 +4,12 @@ import hashlib
 import math
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.functions.fixed import DEFAULT_LEXICON
-from tidemark.functions.models import hashed_encoder
-from tidemark.functions.text import collapse_ws
+from tidemark.functions.models import hash_values, hashed_encoder
+from tidemark.functions.text import collapse_ws, count_contained
 from tidemark.functions.vectors import cosines_const
 from tidemark.operators import aspects as A
 from tidemark.operators import novelty as NV
@@ -61,3 +62,36 @@ def test_white_space_runs_become_one_space(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     assert {r.i: r.t for r in df.select("i", collapse_ws("t").alias("t")).collect()} == {
         i: " ".join(t.split()) for i, t in enumerate(texts)}
+
+
+def test_white_space_runs_of_every_kind(spark):
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    edges = "\x00\x08\x0e\x1b!~\x7f\x84\x86\x9f\xa1\u200b\u2010\u3001\ufeff\U0001f600"
+    texts = [f"a{x}{y}b{x}" for x in spaces for y in [*spaces[:8], "", "c"]] + [f"{e} {e}  {e}" for e in edges]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert {r.i: r.t for r in df.select("i", collapse_ws("t").alias("t")).collect()} == {
+        i: " ".join(t.split()) for i, t in enumerate(texts)}
+
+
+def test_hashes_become_numbers_in_arrow_batches(spark):
+    digits = ["00000000", "ffffffff", "0123abcd", "9a0f0001", "deadbeef"]
+    assert hash_values(pa.array(digits)).tolist() == [int(x, 16) for x in digits]
+    assert hash_values(pa.array(digits).slice(1, 3)).tolist() == [int(x, 16) for x in digits[1:4]]
+    assert hash_values(pa.array([], pa.string())).tolist() == []
+    # no conversion of a word's hash to a number in the plan
+    df = spark.createDataFrame([("cash flow",)], "text string")
+    assert "conv(" not in plan(NV.encode(df, "text")) and plan(NV.encode(df, "text")).count("md5(") == 1
+
+
+def test_absent_words_cost_no_instr(spark):
+    rows = ["cash flow and a loss", "xcash flowing", "cash  flow", "", None, "against", "straße ÉCLAIR write-down"]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, t string")
+    words = ["cash flow", "gain", "loss", "", "éclair", "straße"]
+    low = F.lower("t")
+    got = {r.i: r.n for r in df.select("i", count_contained(low, words).alias("n")).collect()}
+    assert got == {i: sum(t is not None and w in t.lower() for w in words) for i, t in enumerate(rows)}
+    # each instr stands behind a contains
+    flags = [c.alias(a) for a, c in A.keyword_flags(F.col("t")).items()]
+    for found in (df.select(count_contained(low, words[:3]).alias("n")), df.select(*flags)):
+        text = plan(found)
+        assert text.count("Contains(") == text.count("instr(") > 0
