@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices, texts_of
 from tidemark.llm.wordhash import hashed_words, mix
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, free_finished
 
 WINDOW = 20
 ANCHOR = 8
@@ -242,9 +242,13 @@ def _shared(rows: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     found = rows.mapInArrow(_anchors(window), "anchor bigint, passage bigint, doc bigint, at int, windows int")
     # cut off, so that the join below is dealt out by an exchange of its own and a hot anchor is split
     often = cut_lineage(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
+    free_finished(rows.sparkSession)
     shared = cut_lineage(found.join(often, "anchor"))
+    del often
+    free_finished(rows.sparkSession)
     classes = cut_lineage(shared.groupBy("anchor", "passage", "windows").agg(
         F.min(F.struct("doc", "at")).alias("first")))
+    free_finished(rows.sparkSession)
     return shared, classes
 
 
@@ -263,6 +267,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, shard: int = SHARD) ->
     """(doc, low, high): word ranges of ``rows`` (doc_id, text) that repeated windows cover."""
     shared, classes = _shared(rows, window)
     fetched = cut_lineage(_fetched(rows, classes, window, shard))
+    free_finished(rows.sparkSession)
     within = (fetched.where("words is not null").repartition("anchor")
               .sortWithinPartitions("anchor", "doc", "at", "passage")
               .mapInArrow(_stream(window), "doc bigint, low int, high int"))
