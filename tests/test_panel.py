@@ -100,3 +100,24 @@ def test_moments_make_their_rows_once(spark):
             yield batch
     model = M.fit_ols(df.mapInPandas(counted, df.schema), ["a", "b"], "y")
     assert np.allclose(model.coefficients, [0.0, 2.0, 1.0], atol=1e-9) and model.n == 50 and made.value == 50
+
+
+def test_out_of_sample_keeps_its_rows_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(d, float(x), float(2 * x + e)) for d in range(40) for x, e in rng.normal(size=(5, 2))]
+    folds = [(f, d, "train" if d < 20 + 5 * f else "test") for f in range(4) for d in range(25 + 5 * f)] + [(4, d, "train") for d in range(40)]
+    kept, whole = [], M.cut_lineage
+    monkeypatch.setattr(M, "cut_lineage", lambda df: kept.append(df.count()) or whole(df))
+    df = spark.createDataFrame(rows, "date int, x double, y double")
+    placed = spark.createDataFrame(folds, "fold int, date int, role string")
+    got = {r.fold: r for r in M.out_of_sample(df, ["x"], "y", placed).collect()}
+    assert max(kept) == max(len(rows), len(folds)) and len(kept) == 2
+    for f in range(4):
+        b, a = np.polyfit(*np.array([(x, y) for d, x, y in rows if d < 20 + 5 * f]).T, 1)
+        x, y = np.array([(x, y) for d, x, y in rows if 20 + 5 * f <= d < 25 + 5 * f]).T
+        assert (got[f].n_train, got[f].n_test) == (100 + 25 * f, 25)
+        assert abs(got[f].mse - np.mean((y - a - b * x) ** 2)) < 1e-9 and abs(got[f].mae - np.mean(abs(y - a - b * x))) < 1e-9
+        assert abs(got[f].hit_rate - np.mean(np.sign(y) == np.sign(a + b * x))) < 1e-9
+    assert tuple(got[4])[1:] == (200, 0, None, None, None)
+    with pytest.raises(ValueError):
+        M.out_of_sample(df, ["x"], "y", placed.filter("role = 'test'"))

@@ -143,6 +143,19 @@ def fit_ols(df: DataFrame, features: list[str], target: str) -> LinearModel:
     return LinearModel(features, [float(m["my"] - slopes @ m["mx"]), *map(float, slopes)], int(m["n"]), float(r2))
 
 
+def fit_ols_by(df: DataFrame, key: str, feature: str, target: str) -> dict:
+    """``fit_ols`` on one regressor for every value of ``key`` in one pass; few values are expected."""
+    d = df.filter(F.col(feature).isNotNull() & F.col(target).isNotNull())
+    out = {}
+    for r in d.groupBy(key).agg(F.regr_intercept(target, feature).alias("a"), F.regr_slope(target, feature).alias("b"),
+                                F.regr_r2(target, feature).alias("r2"), F.count(F.lit(1)).alias("n")).collect():
+        if r["b"] is None:
+            raise ValueError(f"{feature} does not vary over the {r['n']} complete rows")
+        out[r[key]] = LinearModel([feature], [float(r["a"]), float(r["b"])], int(r["n"]),
+                                  float("nan") if r["r2"] is None else float(r["r2"]))
+    return out
+
+
 def centred_moments(df: DataFrame, features: list[str], target: str) -> dict:
     """n, means and centred cross products of complete rows: one aggregate for the
     means, one for the products about them (no digits are lost to large means).  The rows are
@@ -745,22 +758,32 @@ def out_of_sample(df: DataFrame, features: list[str], target: str, folds: DataFr
     """Per fold of (fold, date, role): OLS on the fold's train dates, scored on its test
     dates: (fold, n_train, n_test, mse, mae, hit_rate).
 
-    The folds table has a row per fold and date (calendar-sized) and is broadcast;
-    the fits are one pass of centred moments per fold."""
-    parts = F.broadcast(folds.select("fold", date_col, "role"))
+    The folds table has a row per fold and date (calendar-sized) and is broadcast. The rows are
+    kept once, whatever the number of folds; on one regressor all fits are one pass over them and
+    all scores another, several regressors take the passes of ``fit_ols`` a fold."""
+    spark = df.sparkSession
+    parts = F.broadcast(cut_lineage(folds.select("fold", date_col, "role")))
     complete = F.lit(True)
     for c in (target, *features):
         complete = complete & F.col(c).isNotNull()
-    placed = cut_lineage(df.filter(complete).select(date_col, target, *features).join(parts, date_col))
-    out = None
-    for fold in sorted(r["fold"] for r in folds.select("fold").distinct().collect()):
-        mine = placed.filter(F.col("fold") == fold)
-        train, test = mine.filter("role = 'train'"), mine.filter("role = 'test'")
-        model = fit_ols(train, features, target)
-        err = F.col(target) - F.col("_p")
-        row = (test.withColumn("_p", model.predict())
-               .agg(F.count(F.lit(1)).alias("n_test"), F.avg(err * err).alias("mse"), F.avg(F.abs(err)).alias("mae"),
-                    F.avg(F.when(F.signum(target) == F.signum("_p"), 1.0).otherwise(0.0)).alias("hit_rate"))
-               .select(F.lit(fold).cast("int").alias("fold"), F.lit(model.n).cast("bigint").alias("n_train"), "n_test", "mse", "mae", "hit_rate"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    rows = cut_lineage(df.filter(complete).select(date_col, target, *features))
+    train, test = (rows.join(parts.filter(F.col("role") == role), date_col) for role in ("train", "test"))
+    wanted = sorted(r["fold"] for r in parts.select("fold").distinct().collect())
+    if len(features) == 1:
+        fits = fit_ols_by(train, "fold", features[0], target)
+        models = [fits.get(fold) or fit_ols(rows.limit(0), features, target) for fold in wanted]     # the latter raises
+    else:
+        models = [fit_ols(train.filter(F.col("fold") == fold), features, target) for fold in wanted]
+    names = [f"_b{i}" for i in range(len(features) + 1)]
+    fitted = F.broadcast(spark.createDataFrame(
+        [(int(fold), m.n, *m.coefficients) for fold, m in zip(wanted, models)],
+        "_fold int, n_train bigint, " + ", ".join(f"{n} double" for n in names)))
+    predicted = F.col("_b0")
+    for n, c in zip(names[1:], features):
+        predicted = predicted + F.col(c).cast("double") * F.col(n)
+    err = F.col(target) - F.col("_p")
+    scores = (test.join(fitted, F.col("fold") == F.col("_fold")).withColumn("_p", predicted).groupBy("fold")
+              .agg(F.count(F.lit(1)).alias("n_test"), F.avg(err * err).alias("mse"), F.avg(F.abs(err)).alias("mae"),
+                   F.avg(F.when(F.signum(target) == F.signum("_p"), 1.0).otherwise(0.0)).alias("hit_rate")))
+    return fitted.join(scores, F.col("_fold") == F.col("fold"), "left").select(
+        F.col("_fold").alias("fold"), "n_train", F.coalesce("n_test", F.lit(0).cast("bigint")).alias("n_test"), "mse", "mae", "hit_rate")
