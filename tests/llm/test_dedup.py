@@ -1,15 +1,20 @@
 """Line, substring and near-duplicate operators against brute force."""
 
 import hashlib
+import pathlib
 import random
 import re
+import time
 
+import pyarrow as pa
 import pytest
+import xxhash
 from llm_cases import edge, empty, small_docs  # noqa: F401
 from pyspark.sql import functions as F
 
 from tidemark.llm import components as C
-from tidemark.llm import line_dedup, shingle_join, substring_dedup
+from tidemark.llm import line_dedup, shingle_join, substring_dedup, wordhash
+from tidemark.session import cut_lineage, free_finished
 
 WS = re.compile(r"[ \t-\r]+")
 
@@ -44,6 +49,42 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
 
 
+# ------------------------------------------------------------------ words
+
+def test_words_are_hashed_as_the_texts_have_them():
+    rng = random.Random(8)
+    texts = [None, "", " \t", "a", " A\x0bb\r\n\x0c C ", "Ünï\x85x\u3000y \x00 z"]
+    texts += ["".join(rng.choice(" \t\n\x0b\x0c\rabÄ日") for _ in range(rng.randint(0, 30))) for _ in range(200)]
+    for given in (pa.array(texts, pa.string()), pa.array(["x y", *texts], pa.string())[1:], pa.array([], pa.string())):
+        for lower in (False, True):
+            got = [h.tolist() for h in wordhash.hashed_words(given, lower)]
+            assert got == [[xxhash.xxh3_64_intdigest("".join(chr(ord(c) + 32) if lower and "A" <= c <= "Z" else c for c in w))
+                            for w in words(t or "")] for t in given.to_pylist()]
+
+
+def test_words_are_hashed_without_making_strings(monkeypatch):
+    given = pa.array(["a b", "b c"], pa.string())
+    monkeypatch.setattr(wordhash.xxhash, "xxh3_64_intdigest", lambda w: {b"a": 1, b"b": 2, b"c": 3}[w])
+    assert [h.tolist() for h in wordhash.hashed_words(given)] == [[1, 2], [2, 3]]
+
+
+def test_shuffle_files_of_finished_steps_go(spark, tmp_path):
+    def held():
+        return {p for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+                for p in pathlib.Path(d).rglob("shuffle_*.data")}
+
+    before = held()
+    kept = cut_lineage(spark.range(1000).repartition(3, "id"))
+    made = held() - before
+    assert made
+    for _ in range(50):
+        free_finished(spark)
+        time.sleep(0.1)
+        if not made & held():
+            break
+    assert not made & held() and kept.count() == 1000
+
+
 # ------------------------------------------------------------------ components
 
 def test_connected_components(spark):
@@ -261,6 +302,16 @@ def test_line_family_costs_a_pair_each(spark, monkeypatch):
     assert tried == [399, 0]                        # the earliest candidates settle all
 
 
+def test_line_family_is_settled_before_the_join_with_all(spark, monkeypatch):
+    base = [f"w{i}" for i in range(40)]
+    rows = [(k, " ".join([*base[:k % 40], f"q{k}", *base[k % 40:]])) for k in range(120)]
+    joined, whole = [], line_dedup._met
+    monkeypatch.setattr(line_dedup, "_met", lambda x, y: joined.append(whole(x, y).count()) or whole(x, y))
+    assert sum(r.n_removed for r in line_dedup.report(frame(spark, rows)).collect()) == 119
+    prefix = 41 - 37 + 1
+    assert len(joined) == 2 and joined[0] <= 120 * prefix * line_dedup.PIVOTS and joined[1] == 0
+
+
 def test_line_rounds_reach_every_candidate(spark, monkeypatch):
     """Earlier lines that pass the filters but do not match come before the one that does: with
     signatures of the prefix alone and one more candidate a round, several rounds are needed."""

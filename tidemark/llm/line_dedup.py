@@ -12,6 +12,9 @@ reaches the threshold, whether or not that line is itself removed.
 3. Two classes can only match if they share a word among their rarest words.  Each
    class posts that prefix once; the join keeps pairs that pass the length and positional
    filters and whose ``SIGNED`` rarest words do not already lack too many of each other.
+   Where a word is posted more than ``BUSY`` times, all its classes first meet the
+   ``PIVOTS`` earliest of them alone; a family of near copies mostly matches one of these, and only
+   lines that do not go on to the join with all.
 4. One match is enough to remove a line, so a round takes each open line's earliest
    untried candidates only, ``WIDER`` at first and ``WIDER`` times as many in each next round.
    The lines are fetched from the texts and compared word by word, the earliest candidate
@@ -28,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, free_finished
 
 #: Jaccard threshold as a ratio of integers, so that the comparison is exact.
 OVER, UNDER = 9, 10
@@ -42,6 +45,8 @@ ONLY_EQUAL = OVER - 1
 SIGNED = 32
 #: Candidates that a line may try in the first round, and growth of that number from round to round.
 WIDER = 8
+#: Postings of a word from which on its earliest ones, so many, are tried before all others.
+BUSY, PIVOTS = 16, 8
 #: Line numbers of the texts to compare are broadcast up to this size, so that no text is shuffled for
 #: them; more are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
@@ -109,16 +114,14 @@ def _postings(classes: DataFrame) -> DataFrame:
         "doc", "no", "n", "bits", "last", F.posexplode("prefix").alias("at", "word"))
 
 
-def candidate_pairs(classes: DataFrame, opened: DataFrame | None, most: int) -> DataFrame:
-    """(doc, no, other_doc, other_no, nth): of each open class the ``most`` earliest classes before
-    it that pass the filters and come after the last one tried, numbered from 1.
+def _met(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(doc, no, other_doc, other_no), repeated for every common word: postings ``x`` with those
+    of ``y`` that are earlier and pass the filters.
 
-    ``opened`` has (doc, no, tried_doc, tried_no); None: every class is open and untried.
     ``rest`` is what two sets can still share from a common word on.  Of the two runs of
     signed words, the one that ends earlier lies whole within the order range of the other:
     its words that the other's signature lacks are not in the other set at all."""
-    x = _postings(classes if opened is None else classes.join(opened.select("doc", "no"), ["doc", "no"], "left_semi"))
-    x, y = x.alias("x"), _postings(classes).alias("y")
+    x, y = x.alias("x"), y.alias("y")
     rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
     lacks = F.when(F.col("x.last") <= F.col("y.last"),
                    F.col("x.n") - F.bit_count(F.col("x.bits").bitwiseAND(F.bitwise_not("y.bits")))).otherwise(
@@ -126,13 +129,38 @@ def candidate_pairs(classes: DataFrame, opened: DataFrame | None, most: int) ->
     lengths = F.least("x.n", "y.n") * UNDER >= F.greatest("x.n", "y.n") * OVER
     enough = F.least(rest, lacks) * (OVER + UNDER) >= (F.col("x.n") + F.col("y.n")) * OVER
     earlier = (F.col("y.doc") < F.col("x.doc")) | ((F.col("y.doc") == F.col("x.doc")) & (F.col("y.no") < F.col("x.no")))
-    met = x.join(y, (F.col("x.word") == F.col("y.word")) & earlier & lengths & enough).select(
+    return x.join(y, (F.col("x.word") == F.col("y.word")) & earlier & lengths & enough).select(
         F.col("x.doc").alias("doc"), F.col("x.no").alias("no"), F.col("y.doc").alias("other_doc"),
         F.col("y.no").alias("other_no"))
+
+
+def pivot_pairs(classes: DataFrame) -> DataFrame:
+    """(doc, no, other_doc, other_no, nth): the classes of each busy word with its earliest ones, at
+    most ``PIVOTS`` rows a posting; numbered from 1 for each class."""
+    postings = _postings(classes)
+    # cut off, so that the join below is dealt out by an exchange of its own and a hot word is split
+    busy = cut_lineage(postings.groupBy("word").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > BUSY)
+                       .select("word"))
+    first = Window.partitionBy("word").orderBy("doc", "no")
+    pivots = cut_lineage(postings.join(busy, "word", "left_semi").withColumn("nth", F.row_number().over(first)).where(
+        F.col("nth") <= PIVOTS).drop("nth"))
+    order = Window.partitionBy("doc", "no").orderBy("other_doc", "other_no")
+    return _met(postings, pivots).distinct().withColumn("nth", F.row_number().over(order))
+
+
+def candidate_pairs(classes: DataFrame, opened: DataFrame | None, most: int, settled: DataFrame) -> DataFrame:
+    """(doc, no, other_doc, other_no, nth): of each open class the ``most`` earliest classes before
+    it that pass the filters and come after the last one tried, numbered from 1.
+
+    ``opened`` has (doc, no, tried_doc, tried_no); None: every class but those in ``settled``
+    (doc, no) is open and untried."""
+    key = ["doc", "no"]
+    met = _met(_postings(classes.join(settled, key, "left_anti") if opened is None else
+                         classes.join(opened.select(*key), key, "left_semi")), _postings(classes))
     if opened is not None:
-        met = met.join(opened, ["doc", "no"]).where(
+        met = met.join(opened, key).where(
             F.struct("other_doc", "other_no") > F.struct("tried_doc", "tried_no")).drop("tried_doc", "tried_no")
-    order = Window.partitionBy("doc", "no").orderBy("other_doc", "other_no")
+    order = Window.partitionBy(*key).orderBy("other_doc", "other_no")
     return met.withColumn("nth", F.dense_rank().over(order)).where(F.col("nth") <= most).distinct()
 
 
@@ -155,6 +183,13 @@ def _matched(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return sets.where(shared * (UNDER + OVER) >= (F.size("a") + F.size("b")) * OVER).select("doc", "no").distinct()
 
 
+def _settled(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc, no): the lines that match a partner: the first is tried before the others of the round."""
+    at_once = cut_lineage(_matched(docs, pairs.where("nth = 1")))
+    others = pairs.where("nth > 1").join(at_once, ["doc", "no"], "left_anti")
+    return at_once.union(cut_lineage(_matched(docs, others)))
+
+
 def kept_lines(docs: DataFrame) -> DataFrame:
     """(doc, lines): the numbers of the lines of ``docs`` (doc_id, text; ids not null) that
     stay, apart from blank ones, which always do."""
@@ -172,13 +207,16 @@ def kept_lines(docs: DataFrame) -> DataFrame:
                                      *[F.first(c).alias(c) for c in ("n", "bits", "last", "prefix")])
         .select(F.col("first.doc_id").alias("doc"), F.col("first.no").alias("no"), "n", "bits", "last", "prefix"))
 
-    gone, opened, most = None, None, WIDER
+    free_finished(docs.sparkSession)
+    gone = by_pivot = _settled(docs, cut_lineage(pivot_pairs(classes)))
+    opened, most = None, WIDER
     while True:
-        pairs = cut_lineage(candidate_pairs(classes, opened, most))
-        at_once = cut_lineage(_matched(docs, pairs.where("nth = 1")))
-        others = pairs.where("nth > 1").join(at_once, ["doc", "no"], "left_anti")
-        matched = at_once.union(cut_lineage(_matched(docs, others)))
-        gone = matched if gone is None else gone.union(matched)
+        free_finished(docs.sparkSession)
+        pairs = cut_lineage(candidate_pairs(classes, opened, most, by_pivot))
+        if pairs.isEmpty():
+            break
+        matched = _settled(docs, pairs)
+        gone = gone.union(matched)
         last = pairs.where(F.col("nth") == most).select(
             "doc", "no", F.col("other_doc").alias("tried_doc"), F.col("other_no").alias("tried_no"))
         opened = cut_lineage(last.join(matched, ["doc", "no"], "left_anti"))
