@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, texts_of
+from tidemark.llm.common import slices, small_batches, texts_of
 
 #: Bound of the training sample: documents of each language.
 SAMPLE_PER_LANGUAGE = 1500
@@ -141,6 +141,7 @@ def fit(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lan
     """Learn from rows with text and language; others are ignored.  No such row: a
     model without languages.  Only the counts per language and the kept n-grams
     (bounded by the parameters) come to the driver."""
+    small_batches(train.sparkSession)
     rows = train.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                         F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -189,6 +190,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text",
 
     Null, empty and letterless texts are ``und`` with score 0; repeated rows are
     predicted alike; other columns are neither read nor returned."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     src = docs.select(F.col(text_col).alias("_text"), *keep)
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import tokenizing
-from tidemark.llm.common import slices, texts_of
+from tidemark.llm.common import slices, small_batches, texts_of
 from tidemark.session import checkpoint_dir
 
 #: Buckets of one length when ranks are dealt out: so many at least, and one for each so many pieces.
@@ -92,6 +92,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id
     """(doc_id, piece, start, length, ids_crc32): the ids of each whole text followed
     by ``end_id``, cut every ``capacity`` tokens.  Null text counts as empty (one
     piece holding the end id).  No shuffle."""
+    small_batches(docs.sparkSession)
     tail = tokenizing.ids_bytes([end_id])
     step = 4 * capacity
 
